@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,7 +18,9 @@ def _half_chord(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     h = F.pow(F.sin(dlat / 2), F.lit(2.0)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(
         F.sin(dlon / 2), F.lit(2.0)
     )
-    return F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), h))))
+    # Rounding can lift h above 1 at antipodes; asin then gives NaN. (least() would
+    # clip too, but it skips nulls and turns an unknown point into a distance.)
+    return F.nanvl(F.asin(F.sqrt(h)), F.lit(math.pi / 2))
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

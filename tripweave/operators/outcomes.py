@@ -17,6 +17,7 @@ from ..functions.paths import (
     steps_m,
     total,
 )
+from ..functions.rounding import round_exact
 from .events import BATCH, END, START
 from .pairing import pair_events
 
@@ -312,8 +313,8 @@ def _reason(when: Column, reason: str, detail: Column) -> Column:
 def eligibility_failures(cfg: BuildSettings) -> Column:
     """All limits a trip breaks, as an array of (reason, detail)."""
     d, n, m, v = (F.col(c) for c in ("duration_s", "n", "distance", "max_speed"))
-    seconds = F.format_string("duration_s=%.3f", d)
-    metres = F.format_string("distance_m=%.3f", m)
+    seconds = F.format_string("duration_s=%.3f", round_exact(d, 3))
+    metres = F.format_string("distance_m=%.3f", round_exact(m, 3))
     return F.array_compact(
         F.array(
             _reason(d < cfg.min_duration_seconds, "duration_too_short", seconds),
@@ -324,7 +325,7 @@ def eligibility_failures(cfg: BuildSettings) -> Column:
             _reason(
                 v > cfg.max_segment_speed_kmh,
                 "implausible_segment_speed",
-                F.format_string("max_segment_speed_kmh=%.3f", v),
+                F.format_string("max_segment_speed_kmh=%.3f", round_exact(v, 3)),
             ),
         )
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import BuildSettings
 from ..functions.geo import metres_between
+from ..functions.rounding import round_exact
 from .clean import ROW_ID
 from .spread import with_ordinal
 
@@ -44,9 +45,7 @@ def trip_table(accepted: DataFrame, cfg: BuildSettings) -> DataFrame:
     """One row per accepted trip."""
     dp = cfg.coordinate_decimals
 
-    def r(c: Column, digits: int) -> Column:
-        return F.round(c, digits)
-
+    r = round_exact
     meters, seconds = F.col("distance"), F.col("duration_s")
     return accepted.select(
         F.col("vin").alias("VIN"),
@@ -105,13 +104,13 @@ def point_table(accepted: DataFrame, cfg: BuildSettings) -> DataFrame:
             i.alias("point_index"),
             F.when(i == 0, "start").when(i == n - 1, "destination").otherwise("trajectory").alias("point_role"),
             F.timestamp_micros(F.col("start_us") + F.col("offset_us")).alias("timestamp"),
-            F.round(F.col("offset_us") / 1e6, 3).alias("elapsed_seconds"),
-            F.round(F.col("p.latitude"), dp).alias("latitude"),
-            F.round(F.col("p.longitude"), dp).alias("longitude"),
-            F.round(F.col("p.altitude"), 3).alias("altitude_m"),
-            F.round("step", 3).alias("segment_distance_m"),
-            F.round("walked", 3).alias("cumulative_distance_m"),
-            F.round(F.col("step") / (F.col("duration_s") / (n - 1)) * 3.6, 3).alias("segment_speed_kmh"),
+            round_exact(F.col("offset_us") / 1e6, 3).alias("elapsed_seconds"),
+            round_exact(F.col("p.latitude"), dp).alias("latitude"),
+            round_exact(F.col("p.longitude"), dp).alias("longitude"),
+            round_exact(F.col("p.altitude"), 3).alias("altitude_m"),
+            round_exact(F.col("step"), 3).alias("segment_distance_m"),
+            round_exact(F.col("walked"), 3).alias("cumulative_distance_m"),
+            round_exact(F.col("step") / (F.col("duration_s") / (n - 1)) * 3.6, 3).alias("segment_speed_kmh"),
             F.lit(TIME_METHOD).alias("timestamp_method"),
         )
     )
