@@ -11,6 +11,7 @@ from ..config import SampleSettings, SpreadSettings
 from ..functions.features import feature_columns
 from ..functions.geo import grid_cell, in_bounds, km_between
 from ..functions.paths import all_in_bounds, first_of, latlon_from_pairs, observed_prefix
+from ..functions.text import iso_utc
 from ..schema import FEATURES, REQUESTS
 from .clean import strip
 from .samples import completed_destination, normalised_trips, numbered_trips, pseudonym, with_history
@@ -265,7 +266,7 @@ def provenance() -> Column:
         F.col("scenario_id").alias("request_hash"),
         F.col("vin"),
         F.col("reference_trip_id"),
-        F.date_format("departure", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("departure_time"),
+        iso_utc(F.col("departure")).alias("departure_time"),
         F.struct(
             F.when(F.col("departure_time").isNotNull(), "user_override").otherwise("reference_trip").alias("departure_time"),
             F.when(F.col("origin_latitude").isNotNull(), "user_override").otherwise("reference_trip").alias("origin"),

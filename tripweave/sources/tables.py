@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import iso_utc
 from ..operators.clean import Cleaned, cleaning_record
 from ..schema import REQUESTS, TRIPS
 
@@ -47,7 +48,7 @@ def flat_for_csv(df: DataFrame) -> DataFrame:
         c = F.col(f.name)
         kind = f.dataType
         if isinstance(kind, T.TimestampType):
-            return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias(f.name)
+            return iso_utc(c).alias(f.name)
         if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
             if kind.elementType.fieldNames() == ["latitude", "longitude"]:
                 c = F.transform(c, lambda p: F.array(p["latitude"], p["longitude"]))

@@ -276,6 +276,90 @@ step(
 )
 
 
+step(
+    "draws",
+    "accepted",
+    """SELECT vin, sha256('42:' || vin) || ':' || vin AS draw, count(*) OVER () AS n,
+    row_number() OVER (ORDER BY sha256('42:' || vin) || ':' || vin) AS rk FROM (SELECT DISTINCT vin FROM accepted)""",
+)
+step(
+    "manifest",
+    "draws",
+    """SELECT vin, CASE WHEN rk <= t THEN 'test' WHEN rk <= t + v THEN 'validation' ELSE 'train' END AS split
+    FROM (SELECT *, greatest(1, CAST(round_even(n*0.15::DOUBLE, 0) AS BIGINT)) AS t,
+      greatest(1, CAST(round_even(n*0.15::DOUBLE, 0) AS BIGINT)) AS v FROM draws)""",
+)
+step(
+    "past",
+    "accepted manifest",
+    """SELECT a.*, m.split, least(ordinal-1, 20) AS hist_n, lag(elat) OVER w AS last_lat, lag(elon) OVER w AS last_lon,
+    avg(elat) OVER h AS mean_lat, avg(elon) OVER h AS mean_lon, lag(e_us) OVER w AS prior_end
+    FROM accepted a JOIN manifest m USING (vin)
+    WINDOW w AS (PARTITION BY vin ORDER BY s_us), h AS (PARTITION BY vin ORDER BY s_us ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)""",
+)
+step(
+    "expanded",
+    "past",
+    """SELECT p.*, f, CAST(least(CASE WHEN f=0 THEN 1 ELSE greatest(1, ceil(greatest(1,n-1)*f)) END, greatest(1,n-1)) AS BIGINT) AS cnt
+    FROM past p CROSS JOIN (VALUES (0.0::DOUBLE),(0.25::DOUBLE),(0.5::DOUBLE)) v(f)""",
+)
+step(
+    "seen",
+    "expanded points",
+    """SELECT x.trip_id, x.f, max(p.lat) FILTER (p.idx=0) AS olat, max(p.lon) FILTER (p.idx=0) AS olon,
+    max(p.lat) FILTER (p.idx=x.cnt-1) AS plat, max(p.lon) FILTER (p.idx=x.cnt-1) AS plon,
+    coalesce(sum(p.step) FILTER (p.idx BETWEEN 1 AND x.cnt-1), 0)/1000 AS path_km
+    FROM expanded x JOIN points p USING (trip_id) GROUP BY x.trip_id, x.f""",
+)
+step(
+    "samples",
+    "expanded seen",
+    f"""SELECT x.trip_id || printf('@%.3f', x.f) AS sample_id, x.vin, x.trip_id, x.s_us, x.e_us, x.split, x.cnt, x.n, x.ordinal,
+    'vehicle-' || left(sha256(x.vin), 10) AS vehicle_id, x.elat AS actual_latitude, x.elon AS actual_longitude,
+    {cell('x.elat', 'x.elon')} AS actual_cell, olat AS origin_latitude, olon AS origin_longitude,
+    sin(2*pi()*hr/24) AS hour_sin, cos(2*pi()*hr/24) AS hour_cos, sin(2*pi()*wd/7) AS weekday_sin, cos(2*pi()*wd/7) AS weekday_cos,
+    sin(2*pi()*mo/12) AS month_sin, cos(2*pi()*mo/12) AS month_cos, CASE WHEN wd>=5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS weekend,
+    x.f AS prefix_fraction, plat AS prefix_last_latitude, plon AS prefix_last_longitude,
+    {hav('olat', 'olon', 'plat', 'plon', R_KM)} AS prefix_displacement_km, path_km AS prefix_path_km,
+    CASE WHEN cnt > 1 THEN sin(radians({bearing('olat', 'olon', 'plat', 'plon')})) ELSE 0.0::DOUBLE END AS prefix_bearing_sin,
+    CASE WHEN cnt > 1 THEN cos(radians({bearing('olat', 'olon', 'plat', 'plon')})) ELSE 1.0::DOUBLE END AS prefix_bearing_cos,
+    CAST(hist_n AS DOUBLE) AS history_count, coalesce(last_lat, olat) AS last_destination_latitude,
+    coalesce(last_lon, olon) AS last_destination_longitude, coalesce(mean_lat, olat) AS mean_destination_latitude,
+    coalesce(mean_lon, olon) AS mean_destination_longitude
+    FROM (SELECT *, hour(make_timestamp(s_us)) + minute(make_timestamp(s_us))/60.0::DOUBLE AS hr,
+      isodow(make_timestamp(s_us))-1 AS wd, month(make_timestamp(s_us))-1 AS mo FROM expanded) x
+    JOIN seen s ON s.trip_id=x.trip_id AND s.f=x.f""",
+)
+step(
+    "scored",
+    "samples",
+    """SELECT *, actual_latitude + (((s_us // 7) % 1000)/1000.0::DOUBLE - 0.5::DOUBLE) * 0.1::DOUBLE * (1-prefix_fraction) AS predicted_latitude,
+    actual_longitude + (((s_us // 11) % 1000)/1000.0::DOUBLE - 0.5::DOUBLE) * 0.1::DOUBLE * (1-prefix_fraction) AS predicted_longitude FROM samples""",
+)
+step(
+    "candidates",
+    "samples",
+    f"""SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY probability DESC, cell) AS rk FROM (
+    SELECT sample_id, actual_cell, actual_latitude, actual_longitude,
+      {cell('actual_latitude + (i-3)*0.01::DOUBLE', 'actual_longitude').replace('actual_latitude + (i-3)*0.01::DOUBLE', '(actual_latitude + (i-3)*0.01::DOUBLE)')} AS cell,
+      ((s_us // (i+3)) % 50)/50.0::DOUBLE AS probability FROM samples CROSS JOIN range(7) r(i))""",
+)
+step(
+    "top",
+    "candidates",
+    """SELECT *, CAST(split_part(substr(cell,2),':',1) AS BIGINT)*0.01::DOUBLE - 90.0::DOUBLE + 0.005::DOUBLE AS clat,
+    CAST(split_part(cell,':',2) AS BIGINT)*0.01::DOUBLE - 180.0::DOUBLE + 0.005::DOUBLE AS clon FROM candidates WHERE rk <= 5""",
+)
+step(
+    "predictions",
+    "scored top",
+    f"""SELECT s.*, t.cell AS predicted_cell, t.probability AS predicted_cell_probability, r.rk AS actual_rank,
+    {hav('s.actual_latitude', 's.actual_longitude', 's.predicted_latitude', 's.predicted_longitude', R_KM)} AS error_km
+    FROM scored s JOIN top t ON t.sample_id=s.sample_id AND t.rk=1
+    LEFT JOIN top r ON r.sample_id=s.sample_id AND r.cell=s.actual_cell""",
+)
+
+
 def sql(target: str, final: str) -> str:
     """WITH-chain for the (space separated) steps in ``target``, then ``final``."""
     ordered: list[str] = []
