@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,9 +25,17 @@ class Cleaned:
     counts: DataFrame
 
 
+# The characters Python counts as white space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(c.cast("string"), r"^\s+|\s+$", "")
+    return F.btrim(c.cast("string"), F.lit(WHITE_SPACE))
 
 
 def as_utc(df: DataFrame, name: str) -> Column:
@@ -61,8 +69,6 @@ def with_row_id(df: DataFrame) -> DataFrame:
         "_part", F.shiftright("_mono", 33)
     )
     sizes = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
-    from pyspark.sql import Window
-
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     return (
@@ -94,17 +100,28 @@ def canonical(raw: DataFrame, cfg: BuildSettings) -> DataFrame:
     return raw.select(ROW_ID, *[e.alias(n) for n, (_, e) in typed.items()], *extras)
 
 
+def _all_finite(numbers: Column) -> Column:
+    """Non-empty, without null, NaN or infinite members; null for a null array."""
+    # array_contains is null, not false, when it meets a null member.
+    whole = ~F.array_contains(numbers, F.lit(float("nan")))
+    low, high = F.array_min(numbers), F.array_max(numbers)
+    return (F.size(numbers) > 0) & whole & (low > F.lit(float("-inf"))) & (high < F.lit(float("inf")))
+
+
 def series_values(text: Column) -> Column:
     """JSON array text to ARRAY<DOUBLE>; null unless a non-empty array of finite numbers.
 
-    Members are read as text first: a quoted number is a number too.
+    A quoted number is a number too: where the direct reading is not sound, members
+    are read as text and cast one by one.
     """
-    members = F.from_json(text, "array<string>", {"mode": "PERMISSIVE"})
-    numbers = F.transform(members, lambda m: strip(m).try_cast("double"))
-    finite = F.forall(
-        numbers, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    # The parser stops at the first closing bracket; nothing may follow it.
+    closed = F.locate("]", text) == F.length(text)
+    direct = F.from_json(text, "array<double>")
+    members = F.transform(F.from_json(text, "array<string>"), lambda m: strip(m).try_cast("double"))
+    return F.when(
+        closed,
+        F.coalesce(F.when(_all_finite(direct), direct), F.when(_all_finite(members), members)),
     )
-    return F.when((F.size(members) > 0) & F.coalesce(finite, F.lit(False)), numbers)
 
 
 def blank(c: str) -> Column:
@@ -128,8 +145,12 @@ def relevant(cfg: BuildSettings) -> Column:
     ).isin(cfg.latitude_signal, cfg.longitude_signal, cfg.altitude_signal)
 
 
-def late_reason(cfg: BuildSettings) -> Column:
-    """Rules that apply after duplicates are gone; first hit wins."""
+def late_reason(cfg: BuildSettings, values: Column | None = None) -> Column:
+    """Rules that apply after duplicates are gone; first hit wins.
+
+    ``values``: the parsed series, when a column already holds it.
+    """
+    values = series_values(F.col("series")) if values is None else values
     none = F.lit(False)
     not_included = ~F.col("vin").isin(*cfg.include_vins) if cfg.include_vins else none
     excluded = F.col("vin").isin(*cfg.exclude_vins) if cfg.exclude_vins else none
@@ -140,7 +161,7 @@ def late_reason(cfg: BuildSettings) -> Column:
         .when(~relevant(cfg), "irrelevant_trigger_or_signal")
         .when(~periodic & F.col("scalar").isNull(), "invalid_scalar_value")
         .when(periodic & F.col("series").isNull(), "missing_series_value")
-        .when(periodic & series_values(F.col("series")).isNull(), "invalid_series_value")
+        .when(periodic & values.isNull(), "invalid_series_value")
     )
 
 
@@ -157,15 +178,18 @@ def first_copies(rows: DataFrame) -> DataFrame:
 
 
 def retained_rows(rows: DataFrame, cfg: BuildSettings) -> DataFrame:
-    """Canonical rows that pass every rule.
+    """Canonical rows that pass every rule, with ``series_values`` parsed once.
 
-    The late rules read only content, so they commute with removing copies and run
-    first, on the scan; the aggregation then sees no row that is lost anyway.
+    The rules read only content, so they commute with removing copies: the cheap
+    ones run on the scan, the parsing of arrays on first copies alone.
     """
-    kept = rows.filter(relevant(cfg)).filter(early_reason().isNull() & late_reason(cfg).isNull())
+    unparsed = F.array().cast("array<double>")
+    kept = rows.filter(relevant(cfg)).filter(early_reason().isNull() & late_reason(cfg, unparsed).isNull())
     if cfg.drop_exact_duplicates:
         kept = first_copies(kept).drop("_copies")
-    return kept
+    parsed = kept.withColumn("series_values", series_values(F.col("series")))
+    periodic = F.col("trigger") == cfg.periodic_trigger
+    return parsed.filter(~periodic | F.col("series_values").isNotNull())
 
 
 def discard_log(rows: DataFrame, cfg: BuildSettings) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BuildSettings, SpreadSettings
-from .clean import ROW_ID, series_values
+from .clean import ROW_ID
 
 # Order of kinds at one instant: a start opens, a batch belongs to what is open,
 # an end closes. Makes start <= batch <= end inclusive on both sides.
@@ -58,11 +58,11 @@ def extract_events(
     for short, name in signals.items():
         here = F.col("signal") == name
         numbered = here & F.col("scalar").isNotNull() & (F.col("kind") != BATCH)
-        listed = here & F.col("series").isNotNull() & (F.col("kind") == BATCH)
+        listed = here & F.col("series_values").isNotNull() & (F.col("kind") == BATCH)
         latest = F.when(numbered | listed, F.col(ROW_ID))
         aggs += [
             F.max_by(F.when(numbered, F.col("scalar")), F.when(numbered, F.col(ROW_ID))).alias(short),
-            F.max_by(F.when(listed, F.col("series")), F.when(listed, F.col(ROW_ID))).alias(f"{short}_text"),
+            F.max_by(F.when(listed, F.col("series_values")), F.when(listed, F.col(ROW_ID))).alias(f"{short}_values"),
             F.max(latest).alias(f"{short}_row"),
             F.count_if(here).alias(f"{short}_count"),
         ]
@@ -77,8 +77,6 @@ def extract_events(
         ]
     grouped = base.groupBy("vin", "ts_us", "kind").agg(*aggs)
 
-    arrays = {s: series_values(F.col(f"{s}_text")) for s in SHORT}
-    parsed = grouped.withColumns({f"{s}_values": a for s, a in arrays.items()})
     lat, lon, alt = (F.col(f"{s}_values") for s in SHORT)
     is_batch = F.col("kind") == BATCH
     lengths = F.array_compact(
@@ -116,7 +114,7 @@ def extract_events(
         for c in _present_metadata(data, cfg)
     ]
     return (
-        parsed.withColumn("error", error)
+        grouped.withColumn("error", error)
         .select(
             "vin",
             "ts_us",

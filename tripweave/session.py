@@ -44,3 +44,10 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer splits than there are cores (one small or
+    unsplittable file) over all of them; leave every other input alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

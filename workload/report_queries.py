@@ -176,13 +176,13 @@ def _source(c: str) -> str:
 
 
 @register("feature_audit", "samples", " UNION ALL ".join(
-    f"SELECT sample_id, '{c}' AS feature, round({c},6)+0.0::DOUBLE AS value, '{_source(c)}' AS source FROM samples" for c in FEATURES))
+    f"SELECT sample_id, '{c}' AS feature, round({c},9)+0.0::DOUBLE AS value, '{_source(c)}' AS source FROM samples" for c in FEATURES))
 def _(spark, sf):
     sources = F.struct(
         F.lit("reference_trip").alias("departure_time"), F.lit("reference_trip").alias("origin"),
         F.lit("reference_trip").alias("trajectory_prefix"), F.lit("automatic_previous_trips").alias("history"),
     )
-    return _six(report.feature_audit(run(spark, sf).samples, sources))
+    return report.feature_audit(run(spark, sf).samples, sources).withColumn("value", F.round("value", 9))
 
 
 def _split_trips(spark, sf):

@@ -14,13 +14,18 @@ from .oracle import R_KM, bearing, cell, hav
 from .queries import SAMPLES, joined, register, run, us
 
 
-def rounded(*names: str, digits: int = 6):
-    return [F.round(n, digits).alias(n) for n in names]
+def _digits(name: str) -> int:
+    # A mean of few values can tie at the sixth decimal.
+    return 9 if name.startswith("mean_") else 6
 
 
-def sql_rounded(*names: str, digits: int = 6) -> str:
+def rounded(*names: str):
+    return [F.round(n, _digits(n)).alias(n) for n in names]
+
+
+def sql_rounded(*names: str) -> str:
     # Adding zero turns a rounded -0.0 into 0.0, which is what Spark's round gives.
-    return ", ".join(f"round({n},{digits})+0.0::DOUBLE AS {n}" for n in names)
+    return ", ".join(f"round({n},{_digits(n)})+0.0::DOUBLE AS {n}" for n in names)
 
 
 def places(spark, sf):
@@ -54,27 +59,28 @@ def geo_query(name: str, final: str):
     return wrap
 
 
-P = [F.col(c) for c in ("a_lat", "a_lon", "b_lat", "b_lon")]
+def ab():
+    return [F.col(c) for c in ("a_lat", "a_lon", "b_lat", "b_lon")]
 
 
 @geo_query("haversine", f"SELECT event_id, round({hav('a_lat', 'a_lon', 'b_lat', 'b_lon')},3) AS metres, "
            f"round({hav('a_lat', 'a_lon', 'b_lat', 'b_lon', R_KM)},6) AS km FROM places")
 def _(spark, sf):
     return places(spark, sf).select(
-        "event_id", F.round(geo.haversine_m(*P), 3).alias("metres"), F.round(geo.haversine_km(*P), 6).alias("km")
+        "event_id", F.round(geo.haversine_m(*ab()), 3).alias("metres"), F.round(geo.haversine_km(*ab()), 6).alias("km")
     )
 
 
 @geo_query("bearing", f"SELECT event_id, round({bearing('a_lat', 'a_lon', 'b_lat', 'b_lon')},6) AS degrees FROM places")
 def _(spark, sf):
-    return places(spark, sf).select("event_id", F.round(geo.bearing_degrees(*P), 6).alias("degrees"))
+    return places(spark, sf).select("event_id", F.round(geo.bearing_degrees(*ab()), 6).alias("degrees"))
 
 
 @geo_query("grid_encode", f"""SELECT event_id, {cell('a_lat', 'a_lon')} AS cell_a, {cell('b_lat', 'b_lon')} AS cell_b FROM places""")
 def _(spark, sf):
     size = SAMPLES.grid_cell_degrees
     return places(spark, sf).select(
-        "event_id", geo.grid_cell(*P[:2], size).alias("cell_a"), geo.grid_cell(*P[2:], size).alias("cell_b")
+        "event_id", geo.grid_cell(*ab()[:2], size).alias("cell_a"), geo.grid_cell(*ab()[2:], size).alias("cell_b")
     )
 
 
@@ -86,7 +92,7 @@ _COL = "floor((a_lon+180.0::DOUBLE)/0.01::DOUBLE)"
   round({_COL}*0.01::DOUBLE-180.0::DOUBLE+0.005::DOUBLE,6) AS lon FROM places""")
 def _(spark, sf):
     size = SAMPLES.grid_cell_degrees
-    c = geo.grid_centre(geo.grid_cell(*P[:2], size), size)
+    c = geo.grid_centre(geo.grid_cell(*ab()[:2], size), size)
     return places(spark, sf).select("event_id", F.round(c["latitude"], 6).alias("lat"), F.round(c["longitude"], 6).alias("lon"))
 
 
@@ -95,7 +101,7 @@ def _(spark, sf):
   FROM places CROSS JOIN (SELECT CAST(range AS INT) AS i FROM range(5))""")
 def _(spark, sf):
     size = SAMPLES.grid_cell_degrees
-    ring = geo.grid_polygon(geo.grid_cell(*P[:2], size), size)
+    ring = geo.grid_polygon(geo.grid_cell(*ab()[:2], size), size)
     return places(spark, sf).select("event_id", F.posexplode(ring).alias("i", "p")).select(
         "event_id", "i", F.round(F.get("p", F.lit(0)), 6).alias("lon"), F.round(F.get("p", F.lit(1)), 6).alias("lat")
     )

@@ -157,7 +157,7 @@ def _made(spark, sf):
   round(plon,6) AS prefix_last_longitude, round({hav('hlat', 'hlon', 'plat', 'plon', R_KM)},6) AS prefix_displacement_km,
   round(CASE WHEN seen > 1 THEN cos(radians({bearing('hlat', 'hlon', 'plat', 'plon')})) ELSE 1.0::DOUBLE END,6)+0.0::DOUBLE AS prefix_bearing_cos,
   CAST(cnt_h AS DOUBLE) AS history_count, round(last_lat,6) AS last_destination_latitude, round(last_lon,6) AS last_destination_longitude,
-  round(mean_lat,6) AS mean_destination_latitude, round(mean_lon,6) AS mean_destination_longitude FROM ready JOIN manifest USING (vin)""")
+  round(mean_lat,9) AS mean_destination_latitude, round(mean_lon,9) AS mean_destination_longitude FROM ready JOIN manifest USING (vin)""")
 def _(spark, sf):
     s = _made(spark, sf).samples
     names = [
@@ -168,7 +168,7 @@ def _(spark, sf):
     assert set(FEATURES) <= set(s.columns)
     return s.select(
         "trip_id", us("StartTrip").alias("start_us"), us("EndTrip").alias("end_us"), "split", "prefix_fraction", "history_count",
-        F.size("trajectory_prefix").cast("bigint").alias("seen"), *[F.round(n, 6).alias(n) for n in names],
+        F.size("trajectory_prefix").cast("bigint").alias("seen"), *[F.round(n, 9 if n.startswith("mean_") else 6).alias(n) for n in names],
     )
 
 

@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripweave.config import BuildSettings
+from tripweave.session import widen
 
 SETTINGS = BuildSettings(row_id_column="row_id", metadata_columns=("fuel", "hyb", "model"))
 D = SETTINGS
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ev = widen(spark.read.parquet(f"{sf_dir}/events.parquet"))
     k = F.get_json_object("props", "$.k").cast("int")
     e, kind = F.col("event_id"), F.col("event_type")
     dirty = F.when(kind == "error", e % 9)
@@ -32,47 +33,35 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         (50 + e % 100).cast("double").alias("alt"),
         F.coalesce(dirty, F.lit(-1)).alias("dirty"),
     )
-    names = [D.latitude_signal, D.longitude_signal, D.altitude_signal]
-    columns, increments = ["lat", "lon", "alt"], [0.001, 0.002, 0.0]
+    # Slots 0 to 2: one signal each; 3: latitude again; 10 to 12: copies of 0 to 2.
+    wide = base.withColumn("slot", F.explode(F.array(*[F.lit(x) for x in (0, 1, 2, 3, 10, 11, 12)])))
+    slot = F.col("slot")
+    triggers = kind.isin("signup", "purchase")
+    repeated = triggers & (e % 13 == 0)
+    wide = wide.filter(
+        F.when(slot >= 10, F.col("dirty") == 8).when(slot == 3, repeated).otherwise(F.lit(True))
+    )
+    signal = F.when(slot >= 10, slot - 10).otherwise(slot % 3)
 
-    def text(c: Column) -> Column:
-        return F.format_string("%.6f", c)
+    def pick(*options: Column) -> Column:
+        return F.when(signal == 0, options[0]).when(signal == 1, options[1]).otherwise(options[2])
 
-    def slot(s: int, copy: bool = False) -> Column:
-        """One telemetry row of an event; slot 3 repeats the latitude signal."""
-        i = s % 3
-        value = F.col(columns[i]) + (0.0005 if s == 3 else 0.0)
-        row_id = F.col("event_id") * 4 + s
-        periodic = F.concat(
-            F.lit("["),
-            F.concat_ws(",", *[text(F.col(columns[i]) + j * increments[i]) for j in range(3)]),
-            F.lit("]"),
-        )
-        if i == 1:
-            short = F.concat(F.lit("["), F.concat_ws(",", *[text(F.col("lon") + j * 0.002) for j in range(2)]), F.lit("]"))
-            periodic = F.when(F.col("event_id") % 17 == 0, short).otherwise(periodic)
-        if i == 2:
-            periodic = F.when(F.col("event_id") % 19 != 0, periodic)
-        series = (
-            F.when(kind == "view", periodic)
-            .when(F.col("dirty") == 6, "[1,")
-            .when(F.col("dirty") == 7, '[1,"NaN"]')
-        )
-        scalar = F.when(kind.isin("signup", "purchase"), text(value)).when(F.col("dirty") == 4, "abc")
-        return F.struct(
-            (-row_id - 1 if copy else row_id).alias("row_id"),
-            F.lit(names[i]).alias("name"),
-            scalar.alias("scalarValue"),
-            series.alias("timeSeriesValue"),
-            F.lit(s).alias("s"),
-            F.lit(copy).alias("copy"),
-        )
+    def text(c: Column) -> Column:
+        return c.cast("decimal(14,6)").cast("string")
 
-    wide = base.select("*", F.explode(F.array(*[slot(s) for s in range(4)], *[slot(s, True) for s in range(3)])).alias("r"))
-    repeated = kind.isin("signup", "purchase") & (F.col("event_id") % 13 == 0)
-    wide = wide.filter(
-        F.when(F.col("r.copy"), F.col("dirty") == 8).when(F.col("r.s") == 3, repeated).otherwise(F.lit(True))
+    base_value = pick(F.col("lat"), F.col("lon"), F.col("alt"))
+    step = pick(F.lit(0.001), F.lit(0.002), F.lit(0.0))
+    ticks = [text(base_value), text(base_value + step), text(base_value + step * 2)]
+    two, three = (F.concat(F.lit("["), F.concat_ws(",", *ticks[:n]), F.lit("]")) for n in (2, 3))
+    series = (
+        F.when((kind == "view") & (signal == 1) & (e % 17 == 0), two)
+        .when((kind == "view") & ~((signal == 2) & (e % 19 == 0)), three)
+        .when(F.col("dirty") == 6, "[1,")
+        .when(F.col("dirty") == 7, '[1,"NaN"]')
     )
+    extra = F.when(slot == 3, 0.0005).otherwise(0.0)
+    scalar = F.when(triggers, text(base_value + extra)).when(F.col("dirty") == 4, "abc")
+    row_id = F.when(slot >= 10, -(e * 4 + slot - 10) - 1).otherwise(e * 4 + slot)
     vin = F.concat(F.lit("VIN"), F.lpad(F.col("user_id").cast("string"), 6, "0"))
     vin = F.when((kind == "view") & (F.col("event_id") % 4 == 0), F.concat(F.lit(" "), vin, F.lit("\t"))).otherwise(vin)
     trigger = (
@@ -85,12 +74,14 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("Vehicle/Context/Unused")
     )
     return wide.select(
-        F.col("r.row_id").alias("row_id"),
+        row_id.alias("row_id"),
         F.when(F.col("dirty") == 0, "   ").otherwise(vin).alias("vin"),
         trigger.alias("triggerOrContext"),
-        F.when(F.col("dirty") == 2, "").otherwise(F.col("r.name")).alias("name"),
-        F.col("r.scalarValue").alias("scalarValue"),
-        F.col("r.timeSeriesValue").alias("timeSeriesValue"),
+        F.when(F.col("dirty") == 2, "")
+        .otherwise(pick(F.lit(D.latitude_signal), F.lit(D.longitude_signal), F.lit(D.altitude_signal)))
+        .alias("name"),
+        scalar.alias("scalarValue"),
+        series.alias("timeSeriesValue"),
         F.when(F.col("dirty") == 3, "not-a-time")
         .otherwise(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))
         .alias("vehicleCollectionTime"),
