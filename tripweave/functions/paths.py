@@ -48,22 +48,26 @@ def drop_equal_neighbours(points: Column) -> Column:
     )
 
 
-def drop_repeats(points: Column) -> Column:
+def drop_repeats(points: Column, steps: Column) -> Column:
     """Keep a point only at REPEAT_M or more from the last kept point.
 
-    ``points`` must have no equal neighbours. Almost always every step is then
-    at least REPEAT_M and the array is already the answer; only arrays with a
-    shorter step take the fold, whose growing array makes it quadratic.
+    ``points`` must have no equal neighbours; ``steps`` are the distances between
+    them. Almost always every step is at least REPEAT_M and the array is already
+    the answer; only others take the fold, whose growing array makes it quadratic.
     """
-    empty = F.slice(points, F.lit(1), F.lit(0))
     folded = F.aggregate(
         points,
-        empty,
+        F.slice(points, F.lit(1), F.lit(0)),
         lambda kept, p: F.when(
             (F.size(kept) > 0) & (metres_between(F.element_at(kept, -1), p) < REPEAT_M), kept
         ).otherwise(F.concat(kept, F.array(p))),
     )
-    return F.when(F.exists(steps_m(points), lambda d: d < REPEAT_M), folded).otherwise(points)
+    return F.when(F.array_min(steps) < REPEAT_M, folded).otherwise(points)
+
+
+def shortened(points: Column, steps: Column) -> Column:
+    """drop_repeats() has removed something: ``steps`` no longer belong to ``points``."""
+    return F.size(points) <= F.size(steps)
 
 
 def all_in_bounds(points: Column) -> Column:

@@ -108,19 +108,30 @@ def _all_finite(numbers: Column) -> Column:
     return (F.size(numbers) > 0) & whole & (low > F.lit(float("-inf"))) & (high < F.lit(float("inf")))
 
 
-def series_values(text: Column) -> Column:
-    """JSON array text to ARRAY<DOUBLE>; null unless a non-empty array of finite numbers.
+def with_series_values(df: DataFrame, text: str = "series", when: Column | None = None) -> DataFrame:
+    """Append ``series_values``: the JSON array in ``text`` as ARRAY<DOUBLE>.
 
+    Null unless a non-empty array of finite numbers, and on rows outside ``when``.
     A quoted number is a number too: where the direct reading is not sound, members
-    are read as text and cast one by one.
+    are read as text and cast one by one. Columns hold the readings between steps,
+    so each is parsed once however often the checks look at it.
     """
+    c = F.col(text)
     # The parser stops at the first closing bracket; nothing may follow it.
-    closed = F.locate("]", text) == F.length(text)
-    direct = F.from_json(text, "array<double>")
-    members = F.transform(F.from_json(text, "array<string>"), lambda m: strip(m).try_cast("double"))
-    return F.when(
-        closed,
-        F.coalesce(F.when(_all_finite(direct), direct), F.when(_all_finite(members), members)),
+    closed = F.locate("]", c) == F.length(c)
+    wanted = closed if when is None else when & closed
+    direct, members = F.col("_direct"), F.col("_members")
+    sound = F.coalesce(_all_finite(direct), F.lit(False))
+    cast = F.transform(F.from_json(c, "array<string>"), lambda m: strip(m).try_cast("double"))
+    return (
+        df.withColumn("_direct", F.when(wanted, F.from_json(c, "array<double>")))
+        .withColumn("_sound", sound)
+        .withColumn("_members", F.when(wanted & ~F.col("_sound"), cast))
+        .withColumn(
+            "series_values",
+            F.when(F.col("_sound"), direct).otherwise(F.when(_all_finite(members), members)),
+        )
+        .drop("_direct", "_sound", "_members")
     )
 
 
@@ -148,23 +159,30 @@ def relevant(cfg: BuildSettings) -> Column:
 def late_reason(cfg: BuildSettings, values: Column | None = None) -> Column:
     """Rules that apply after duplicates are gone; first hit wins.
 
-    ``values``: the parsed series, when a column already holds it.
+    ``values``: the parsed series of the row; without it arrays are not judged.
     """
-    values = series_values(F.col("series")) if values is None else values
     none = F.lit(False)
     not_included = ~F.col("vin").isin(*cfg.include_vins) if cfg.include_vins else none
     excluded = F.col("vin").isin(*cfg.exclude_vins) if cfg.exclude_vins else none
     periodic = F.col("trigger") == cfg.periodic_trigger
+    unreadable = none if values is None else periodic & values.isNull()
     return (
         F.when(not_included, "vin_not_included")
         .when(excluded, "vin_excluded")
         .when(~relevant(cfg), "irrelevant_trigger_or_signal")
         .when(~periodic & F.col("scalar").isNull(), "invalid_scalar_value")
         .when(periodic & F.col("series").isNull(), "missing_series_value")
-        .when(periodic & values.isNull(), "invalid_series_value")
+        .when(unreadable, "invalid_series_value")
     )
 
 
+def with_late_reason(rows: DataFrame, cfg: BuildSettings) -> DataFrame:
+    """Append ``reason`` by the late rules; only rows that reach the last one are parsed."""
+    reaches = late_reason(cfg).isNull() & (F.col("trigger") == cfg.periodic_trigger)
+    parsed = with_series_values(rows, when=reaches)
+    return parsed.withColumn("reason", late_reason(cfg, F.col("series_values"))).drop("series_values")
+
+
 def first_copies(rows: DataFrame) -> DataFrame:
     """One row per distinct content, with its smallest row id and its copy count.
 
@@ -183,13 +201,11 @@ def retained_rows(rows: DataFrame, cfg: BuildSettings) -> DataFrame:
     The rules read only content, so they commute with removing copies: the cheap
     ones run on the scan, the parsing of arrays on first copies alone.
     """
-    unparsed = F.array().cast("array<double>")
-    kept = rows.filter(relevant(cfg)).filter(early_reason().isNull() & late_reason(cfg, unparsed).isNull())
+    kept = rows.filter(relevant(cfg)).filter(early_reason().isNull() & late_reason(cfg).isNull())
     if cfg.drop_exact_duplicates:
         kept = first_copies(kept).drop("_copies")
-    parsed = kept.withColumn("series_values", series_values(F.col("series")))
     periodic = F.col("trigger") == cfg.periodic_trigger
-    return parsed.filter(~periodic | F.col("series_values").isNotNull())
+    return with_series_values(kept, when=periodic).filter(~periodic | F.col("series_values").isNotNull())
 
 
 def discard_log(rows: DataFrame, cfg: BuildSettings) -> DataFrame:
@@ -197,16 +213,14 @@ def discard_log(rows: DataFrame, cfg: BuildSettings) -> DataFrame:
     early = rows.withColumn("reason", early_reason())
     lost_early = early.filter(F.col("reason").isNotNull()).select(ROW_ID, "reason")
     survivors = early.filter(F.col("reason").isNull()).drop("reason")
+    firsts = first_copies(survivors) if cfg.drop_exact_duplicates else survivors
+    late = with_late_reason(firsts, cfg).filter(F.col("reason").isNotNull()).select(ROW_ID, "reason")
+    log = lost_early.unionByName(late)
     if not cfg.drop_exact_duplicates:
-        late = survivors.select(ROW_ID, late_reason(cfg).alias("reason"))
-        return lost_early.unionByName(late.filter(F.col("reason").isNotNull()))
-    firsts = first_copies(survivors)
-    late = firsts.select(ROW_ID, late_reason(cfg).alias("reason")).filter(F.col("reason").isNotNull())
+        return log
     # Row ids are unique, so this anti join has no hot key however hot a content is.
     repeated = survivors.select(ROW_ID).join(firsts.select(ROW_ID), ROW_ID, "left_anti")
-    return lost_early.unionByName(late).unionByName(
-        repeated.withColumn("reason", F.lit("exact_duplicate"))
-    )
+    return log.unionByName(repeated.withColumn("reason", F.lit("exact_duplicate")))
 
 
 def reason_counts(rows: DataFrame, cfg: BuildSettings) -> DataFrame:
@@ -217,23 +231,16 @@ def reason_counts(rows: DataFrame, cfg: BuildSettings) -> DataFrame:
     )
     survivors = early.filter(F.col("reason").isNull()).drop("reason")
     if not cfg.drop_exact_duplicates:
-        late = survivors.groupBy(late_reason(cfg).alias("reason")).agg(F.count(F.lit(1)).alias("row_count"))
+        late = with_late_reason(survivors, cfg).groupBy("reason").agg(F.count(F.lit(1)).alias("row_count"))
         return lost_early.unionByName(late)
-    firsts = first_copies(survivors).withColumn("reason", late_reason(cfg))
-    per_reason = firsts.groupBy("reason").agg(
-        F.count(F.lit(1)).alias("row_count"), F.sum(F.col("_copies") - 1).alias("_repeats")
-    )
     # Each group stands for one kept row and its dropped copies.
-    split = per_reason.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("reason").alias("reason"), F.col("row_count").alias("row_count")),
-                F.struct(
-                    F.lit("exact_duplicate").alias("reason"), F.col("_repeats").alias("row_count")
-                ),
-            )
-        ).alias("r")
-    ).select("r.reason", "r.row_count")
+    per_reason = (
+        with_late_reason(first_copies(survivors), cfg)
+        .groupBy("reason")
+        .agg(F.count(F.lit(1)).alias("row_count"), F.sum(F.col("_copies") - 1).alias("_repeats"))
+    )
+    repeats = F.struct(F.lit("exact_duplicate").alias("reason"), F.col("_repeats").alias("row_count"))
+    split = per_reason.select(F.inline(F.array(F.struct("reason", "row_count"), repeats)))
     return (
         lost_early.unionByName(split)
         .groupBy("reason")

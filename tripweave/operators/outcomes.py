@@ -14,12 +14,13 @@ from ..functions.paths import (
     drop_repeats,
     first_of,
     last_of,
+    shortened,
     steps_m,
     total,
 )
 from ..functions.rounding import round_exact
 from .events import BATCH, END, START
-from .pairing import pair_events
+from .pairing import ALONE, LONG, SHORT
 
 # Rejection reasons with their constant detail texts.
 DETAILS = {
@@ -53,16 +54,26 @@ def _ends_of_trip() -> list[Column]:
     ]
 
 
-def _point_stats(points: Column) -> list[Column]:
-    steps = steps_m(points)
-    return [
-        F.size(points).cast("bigint").alias("n"),
-        total(steps).alias("distance"),
-        F.coalesce(F.array_max(steps), F.lit(0.0)).alias("longest_step"),
-        first_of(points).alias("first_point"),
-        last_of(points).alias("last_point"),
-        all_in_bounds(points).alias("in_bounds"),
-    ]
+def _settle_points(df: DataFrame) -> DataFrame:
+    """Drop repeats from ``points`` and append their figures (STATS).
+
+    Each intermediate array gets a column of its own: an array expression used
+    inside a lambda would be evaluated again for every element.
+    """
+    points, steps = F.col("points"), F.col("_steps")
+    return (
+        df.withColumn("points", drop_equal_neighbours(points))
+        .withColumn("_steps", steps_m(points))
+        .withColumn("points", drop_repeats(points, steps))
+        .withColumn("_steps", F.when(shortened(points, steps), steps_m(points)).otherwise(steps))
+        .withColumn("n", F.size(points).cast("bigint"))
+        .withColumn("distance", total(steps))
+        .withColumn("longest_step", F.coalesce(F.array_max(steps), F.lit(0.0)))
+        .withColumn("first_point", first_of(points))
+        .withColumn("last_point", last_of(points))
+        .withColumn("in_bounds", all_in_bounds(points))
+        .drop("_steps")
+    )
 
 
 def _short_trips(rows: DataFrame) -> DataFrame:
@@ -76,10 +87,7 @@ def _short_trips(rows: DataFrame) -> DataFrame:
     )
     batches = F.col("batches")
     raw_points = F.flatten(F.filter(F.transform(batches, lambda b: b["points"]), lambda p: p.isNotNull()))
-    return (
-        gathered.withColumn("points", drop_equal_neighbours(raw_points))
-        .withColumn("points", drop_repeats(F.col("points")))
-        .select(
+    return _settle_points(gathered.withColumn("points", raw_points)).select(
             *TRIP,
             "start",
             "end",
@@ -89,41 +97,38 @@ def _short_trips(rows: DataFrame) -> DataFrame:
             F.exists(batches, lambda b: b["truncated"]).alias("truncated"),
             F.flatten(F.transform(batches, lambda b: b["source_row_ids"])).alias("batch_rows"),
             "points",
-            *_point_stats(F.col("points")),
+            *STATS,
         )
-    )
 
 
-def _long_trips(rows: DataFrame, spread: SpreadSettings) -> DataFrame:
+def _long_trips(rows: DataFrame) -> DataFrame:
     """Trips over the duration limit. They are rejected, but with exact figures, and
     one may span any number of batches: work per time bucket, combine the figures.
     """
     heads = rows.filter(F.col("kind") != BATCH).groupBy(*TRIP).agg(*_ends_of_trip())
     batches = rows.filter(F.col("kind") == BATCH)
-    per_bucket = batches.groupBy(*TRIP, "bucket").agg(
-        F.array_sort(F.collect_list(F.struct("ts_us", "error", "points"))).alias("b"),
-        F.max("truncated").alias("truncated"),
+    # All branches below start from this one aggregation, with the same columns, so
+    # that the plan computes its exchange once.
+    gathered = batches.groupBy(*TRIP, "bucket").agg(
+        F.array_sort(F.collect_list(F.struct("ts_us", "error", "points", "truncated"))).alias("b")
     )
-    per_bucket = per_bucket.select(
-        *TRIP,
-        "bucket",
-        "truncated",
-        F.array_join(F.filter(F.transform("b", lambda x: x["error"]), lambda e: e.isNotNull()), "; ").alias(
-            "errors"
-        ),
-        drop_equal_neighbours(
-            F.flatten(F.filter(F.transform("b", lambda x: x["points"]), lambda p: p.isNotNull()))
-        ).alias("points"),
+    errors = F.array_join(F.filter(F.transform("b", lambda x: x["error"]), lambda e: e.isNotNull()), "; ")
+    notes = (
+        gathered.withColumn("errors", errors)
+        .groupBy(*TRIP)
+        .agg(
+            F.array_sort(
+                F.collect_list(F.when(F.col("errors") != "", F.struct("bucket", "errors")))
+            ).alias("found"),
+            F.max(F.exists("b", lambda x: x["truncated"])).alias("truncated"),
+        )
+        .select(
+            *TRIP, F.array_join(F.transform("found", lambda x: x["errors"]), "; ").alias("errors"), "truncated"
+        )
     )
-    notes = per_bucket.groupBy(*TRIP).agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.when(F.col("errors") != "", F.struct("bucket", "errors")))),
-                lambda x: x["errors"],
-            ),
-            "; ",
-        ).alias("errors"),
-        F.max("truncated").alias("truncated"),
+    raw_points = F.flatten(F.filter(F.transform("b", lambda x: x["points"]), lambda p: p.isNotNull()))
+    per_bucket = gathered.select(*TRIP, "bucket", raw_points.alias("points")).withColumn(
+        "points", drop_equal_neighbours(F.col("points"))
     )
     # A bucket whose first point is surely kept starts a chunk the repeat filter can
     # treat on its own; other buckets (a parked vehicle) join the chunk before.
@@ -143,9 +148,8 @@ def _long_trips(rows: DataFrame, spread: SpreadSettings) -> DataFrame:
         .groupBy(*TRIP, "chunk")
         .agg(F.array_sort(F.collect_list(F.struct("bucket", "points"))).alias("parts"))
         .withColumn("points", F.flatten(F.transform("parts", lambda p: p["points"])))
-        .withColumn("points", drop_repeats(drop_equal_neighbours(F.col("points"))))
-        .select(*TRIP, "chunk", *_point_stats(F.col("points")))
     )
+    chunked = _settle_points(chunked).select(*TRIP, "chunk", *STATS)
     by_chunk = Window.partitionBy(*TRIP).orderBy("chunk")
     bridged = chunked.withColumn(
         "bridge",
@@ -190,18 +194,14 @@ def _flag(when: Column, text: str) -> Column:
     return F.when(when, F.lit(text))
 
 
-def candidates(paired: DataFrame, cfg: BuildSettings, spread: SpreadSettings) -> DataFrame:
+def candidates(paired: DataFrame, cfg: BuildSettings) -> DataFrame:
     """Paired trips with their final geometry figures and quality flags.
 
     Fallback to the trigger points and endpoint repair are applied to the figures
     and to the points alike.
     """
-    in_trip = F.col("start_us").isNotNull() & F.col("end_us").isNotNull()
-    matched = paired.filter(in_trip)
-    limit_us = F.lit(int(round(cfg.max_duration_seconds * 1000000)))
-    is_short = (F.col("end_us") - F.col("start_us")) <= limit_us
-    built = _short_trips(matched.filter(is_short)).unionByName(
-        _long_trips(matched.filter(~is_short), spread)
+    built = _short_trips(paired.filter(F.col("route") == SHORT)).unionByName(
+        _long_trips(paired.filter(F.col("route") == LONG))
     )
 
     start, end = _plain_point(F.col("start")), _plain_point(F.col("end"))
@@ -331,14 +331,14 @@ def eligibility_failures(cfg: BuildSettings) -> Column:
     )
 
 
-def outcomes(events: DataFrame, cfg: BuildSettings, spread: SpreadSettings | None = None) -> DataFrame:
-    """One row per start event and per unmatched end.
+def outcomes(paired: DataFrame, cfg: BuildSettings, spread: SpreadSettings | None = None) -> DataFrame:
+    """One row per start event and per unmatched end, from ``routed_events``.
 
     ``reasons`` is empty exactly for accepted trips; only those keep their points.
+    Reads ``paired`` once per route: pass it staged by route.
     """
     spread = spread or SpreadSettings()
-    paired = pair_events(events)
-    judged = candidates(paired, cfg, spread).withColumn("failure", first_failure(cfg))
+    judged = candidates(paired, cfg).withColumn("failure", first_failure(cfg))
     fixed = F.create_map(*[F.lit(x) for kv in DETAILS.items() for x in kv])
     detail = (
         F.when(F.col("failure") == "invalid_trajectory_array", F.col("errors"))
@@ -375,10 +375,8 @@ def outcomes(events: DataFrame, cfg: BuildSettings, spread: SpreadSettings | Non
             F.struct(F.lit(reason).alias("reason"), F.lit(DETAILS[reason]).alias("detail"))
         )
 
-    kind = F.col("kind")
-    widowed = (kind == START) & F.col("end_us").isNull()
-    stray = (kind == END) & F.col("start_us").isNull()
-    unpaired = paired.filter(widowed | stray).select(
+    widowed = F.col("kind") == START
+    unpaired = paired.filter(F.col("route") == ALONE).select(
         *TRIP,
         F.when(widowed, lone("missing_end_trigger")).otherwise(lone("unmatched_end_trigger")).alias("reasons"),
         "bucket",

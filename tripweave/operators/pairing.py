@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import BuildSettings
 from .events import BATCH, END, START, mark_kind, mark_time
 from .spread import with_neighbour_marks
 
@@ -42,6 +43,21 @@ def pair_events(events: DataFrame) -> DataFrame:
     )
 
 
+# How a timeline row goes on: a trip within the duration limit, one beyond it, or
+# no trip at all.
+SHORT, LONG, ALONE = "short", "long", "alone"
+
+
+def routed_events(events: DataFrame, cfg: BuildSettings) -> DataFrame:
+    """Paired events with ``route``; batches outside every trip are dropped."""
+    limit_us = F.lit(int(round(cfg.max_duration_seconds * 1000000)))
+    span = F.col("end_us") - F.col("start_us")
+    route = F.when(span.isNull(), ALONE).when(span <= limit_us, SHORT).otherwise(LONG)
+    meta = [c for c in events.columns if c.startswith("meta_")]
+    paired = pair_events(events.drop("source_rows", *meta)).withColumn("route", route)
+    return paired.filter((F.col("kind") != BATCH) | (F.col("route") != ALONE))
+
+
 def pairs(events: DataFrame) -> DataFrame:
     """(vin, start_us, end_us) of every start; null end_us when it has none."""
     slim = events.filter(F.col("kind") != BATCH).select("vin", "bucket", "ts_us", "kind", "pos")

@@ -12,6 +12,7 @@ from ..config import BuildSettings, SpreadSettings
 from ..operators import clean as C
 from ..operators import events as E
 from ..operators import outcomes as O
+from ..operators import pairing as P
 from ..operators import trips as T
 from ..session import prepare, stage
 
@@ -26,9 +27,9 @@ TIMESTAMP_NOTE = (
 class TripBuild:
     """Outputs of one build.
 
-    Two tables are staged because several outputs read them: ``events`` (end of the
-    work on raw rows) and ``outcomes`` (end of the work per trip). Everything else
-    is a lazy view of those two and of the raw table.
+    Three tables are staged because several steps read them: ``events`` (end of the
+    work on raw rows), ``paired`` (the timeline, by route) and ``outcomes`` (end of
+    the work per trip). Everything else is a lazy view of those and the raw table.
     """
 
     raw: DataFrame
@@ -55,9 +56,13 @@ class TripBuild:
     def events(self) -> DataFrame:
         return stage(E.extract_events(self.data, self.settings, self.spread), "events")
 
+    @cached_property
+    def paired(self) -> DataFrame:
+        return stage(P.routed_events(self.events, self.settings), "paired", ("route",))
+
     @cached_property
     def outcomes(self) -> DataFrame:
-        return stage(O.outcomes(self.events, self.settings, self.spread), "outcomes")
+        return stage(O.outcomes(self.paired, self.settings, self.spread), "outcomes")
 
     @cached_property
     def accepted(self) -> DataFrame:

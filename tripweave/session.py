@@ -34,15 +34,16 @@ def staging_root(spark: SparkSession) -> str:
     return made
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the staging area once and return a scan of it.
 
     Used where several outputs read one expensive table: the written table cuts
-    the lineage, survives the loss of executors, and later reads prune columns.
+    the lineage, survives the loss of executors, and later reads prune columns and
+    partitions.
     """
     spark = df.sparkSession
     path = f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

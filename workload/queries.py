@@ -33,9 +33,13 @@ class Run:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    @cached_property
+    def raw(self) -> DataFrame:
+        return stage(telemetry(self.spark, self.sf_dir), "raw")
+
     @cached_property
     def build(self) -> TripBuild:
-        return build_trips(telemetry(self.spark, self.sf_dir), SETTINGS)
+        return build_trips(self.raw, SETTINGS)
 
     @cached_property
     def trips(self) -> DataFrame:
