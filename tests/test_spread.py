@@ -4,12 +4,13 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tripweave.config import BuildSettings, SpreadSettings
 from tripweave.operators.events import BATCH, END, START
 from tripweave.operators.pairing import pair_events
-from tripweave.operators.spread import exact_quantiles, with_ordinal
+from tripweave.operators.spread import exact_quantiles, with_ordinal, with_time_bucket
 
 
 def timeline(seed, hot=400, cold=40):
@@ -67,6 +68,23 @@ def test_no_window_over_a_whole_vehicle_holds_its_rows(spark):
                 assert "_first" in line or "_last" in line
 
 
+def test_hot_time_spans_are_cut_at_their_own_quantiles(spark):
+    # One span holds nearly all rows, most of them within a thousandth of it.
+    df = spark.range(0, 40000, numPartitions=8).select(
+        F.when(F.col("id") % 10 == 0, F.concat(F.lit("V"), F.col("id") % 7)).otherwise(F.lit("HOT")).alias("vin"),
+        F.when(F.col("id") < 39000, F.col("id")).otherwise(F.col("id") * 80000).alias("ts"),
+    )
+    out = with_time_bucket(df, "vin", "ts", SpreadSettings(), hot_rows=1000).cache()
+    assert out.count() == 40000 and out.columns == ["vin", "ts", "bucket"]
+    largest = out.filter("vin = 'HOT'").groupBy("vin", "bucket").count().agg(F.max("count")).first()[0]
+    assert largest <= 400
+    w = Window.partitionBy("vin").orderBy("ts")
+    falls = out.withColumn("before", F.lag("bucket").over(w)).filter("bucket < before")
+    assert falls.count() == 0
+    cold = with_time_bucket(df, "vin", "ts", SpreadSettings())
+    assert "_cuts" not in cold._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_ordinal(spark):
     rows = [("HOT", i) for i in range(500)] + [("A", i * 3) for i in range(5)]
     df = spark.createDataFrame(rows, "k string, t int").withColumn("b", F.floor(F.col("t") / 10)).repartition(6)

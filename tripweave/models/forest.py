@@ -44,7 +44,7 @@ class DestinationModel:
         # Unseen cells must pass: the label is not an input of scoring.
         assembler, classifier = self.cells.stages[1:]
         scored = self.places.transform(classifier.transform(assembler.transform(_with_floats(samples))))
-        names = F.array(*[F.lit(c) for c in self.labels])
+        names = F.lit(self.labels)
         return scored.withColumn("cells", names).withColumn("probabilities", vector_to_array("probability"))
 
     def predict(self, samples: DataFrame, top_k: Column | int = 5, extra: tuple[str, ...] = ()) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import BuildSettings, SpreadSettings
+from ..config import BuildSettings
 from .clean import ROW_ID
 
 # Order of kinds at one instant: a start opens, a batch belongs to what is open,
@@ -36,17 +36,14 @@ def _present_metadata(data: DataFrame, cfg: BuildSettings) -> list[str]:
     return [c for c in cfg.metadata_columns if c in data.columns]
 
 
-def extract_events(
-    data: DataFrame, cfg: BuildSettings, spread: SpreadSettings | None = None
-) -> DataFrame:
+def extract_events(data: DataFrame, cfg: BuildSettings) -> DataFrame:
     """Start events, end events and trajectory batches in one aggregation.
 
-    Columns: vin, ts_us, kind, bucket, pos; lat/lon/alt (last number by row id) and
+    Columns: vin, ts_us, kind, pos; lat/lon/alt (last number by row id) and
     duplicate_signals for triggers; points, error, truncated for batches;
     source_row_ids for both; source_rows (rows aggregated); one ``meta_<c>`` struct per
     metadata column: the first value in canonical order and whether several exist.
     """
-    spread = spread or SpreadSettings()
     signals = dict(zip(SHORT, (cfg.latitude_signal, cfg.longitude_signal, cfg.altitude_signal)))
     kind = (
         F.when(F.col("trigger") == cfg.start_trigger, START)
@@ -119,7 +116,6 @@ def extract_events(
             "vin",
             "ts_us",
             "kind",
-            F.floor(F.col("ts_us") / F.lit(spread.bucket_us)).alias("bucket"),
             position(F.col("ts_us"), F.col("kind")).alias("pos"),
             *SHORT,
             F.when(~is_batch, duplicates).alias("duplicate_signals"),

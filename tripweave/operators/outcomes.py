@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import BuildSettings, SpreadSettings
+from ..config import BuildSettings
 from ..functions.geo import in_bounds, metres_between
 from ..functions.paths import (
     SURELY_KEPT_M,
@@ -51,6 +51,7 @@ def _ends_of_trip() -> list[Column]:
     return [
         F.first(F.when(F.col("kind") == START, _trigger_struct()), ignorenulls=True).alias("start"),
         F.first(F.when(F.col("kind") == END, _trigger_struct()), ignorenulls=True).alias("end"),
+        F.first(F.when(F.col("kind") == START, F.col("bucket")), ignorenulls=True).alias("bucket"),
     ]
 
 
@@ -89,6 +90,7 @@ def _short_trips(rows: DataFrame) -> DataFrame:
     raw_points = F.flatten(F.filter(F.transform(batches, lambda b: b["points"]), lambda p: p.isNotNull()))
     return _settle_points(gathered.withColumn("points", raw_points)).select(
             *TRIP,
+            "bucket",
             "start",
             "end",
             F.array_join(
@@ -168,6 +170,7 @@ def _long_trips(rows: DataFrame) -> DataFrame:
         .join(stats, TRIP, "left")
         .select(
             *TRIP,
+            "bucket",
             "start",
             "end",
             F.coalesce("errors", F.lit("")).alias("errors"),
@@ -331,13 +334,12 @@ def eligibility_failures(cfg: BuildSettings) -> Column:
     )
 
 
-def outcomes(paired: DataFrame, cfg: BuildSettings, spread: SpreadSettings | None = None) -> DataFrame:
+def outcomes(paired: DataFrame, cfg: BuildSettings) -> DataFrame:
     """One row per start event and per unmatched end, from ``routed_events``.
 
     ``reasons`` is empty exactly for accepted trips; only those keep their points.
-    Reads ``paired`` once per route: pass it staged by route.
+    ``bucket`` is that of the start event. Reads ``paired`` once per route: pass it staged by route.
     """
-    spread = spread or SpreadSettings()
     judged = candidates(paired, cfg).withColumn("failure", first_failure(cfg))
     fixed = F.create_map(*[F.lit(x) for kv in DETAILS.items() for x in kv])
     detail = (
@@ -367,7 +369,7 @@ def outcomes(paired: DataFrame, cfg: BuildSettings, spread: SpreadSettings | Non
         "straight_m",
         "duration_s",
         "max_speed",
-        F.floor(F.col("start_us") / F.lit(spread.bucket_us)).alias("bucket"),
+        "bucket",
     )
 
     def lone(reason: str) -> Column:

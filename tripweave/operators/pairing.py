@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import BuildSettings
+from ..config import BuildSettings, SpreadSettings
 from .events import BATCH, END, START, mark_kind, mark_time
-from .spread import with_neighbour_marks
+from .spread import with_neighbour_marks, with_time_bucket
 
 
 def pair_events(events: DataFrame) -> DataFrame:
     """Events with ``start_us`` and ``end_us`` of the trip they belong to.
 
+    ``events`` carries ``bucket``; see ``with_time_bucket``.
+
     On a vehicle's timeline of starts and ends, a start pairs with the mark right
     after it when that is an end; this is the first end in [start, next start). So
     the nearest mark on each side decides everything, for batches too, and neither
@@ -48,8 +50,13 @@ def pair_events(events: DataFrame) -> DataFrame:
 SHORT, LONG, ALONE = "short", "long", "alone"
 
 
-def routed_events(events: DataFrame, cfg: BuildSettings) -> DataFrame:
+def bucketed(events: DataFrame, spread: SpreadSettings) -> DataFrame:
+    return with_time_bucket(events, "vin", "ts_us", spread)
+
+
+def routed_events(events: DataFrame, cfg: BuildSettings, spread: SpreadSettings | None = None) -> DataFrame:
     """Paired events with ``route``; batches outside every trip are dropped."""
+    events = bucketed(events, spread or SpreadSettings())
     limit_us = F.lit(int(round(cfg.max_duration_seconds * 1000000)))
     span = F.col("end_us") - F.col("start_us")
     route = F.when(span.isNull(), ALONE).when(span <= limit_us, SHORT).otherwise(LONG)
@@ -58,16 +65,16 @@ def routed_events(events: DataFrame, cfg: BuildSettings) -> DataFrame:
     return paired.filter((F.col("kind") != BATCH) | (F.col("route") != ALONE))
 
 
-def pairs(events: DataFrame) -> DataFrame:
+def _marks(events: DataFrame, spread: SpreadSettings | None) -> DataFrame:
+    slim = events.filter(F.col("kind") != BATCH).select("vin", "ts_us", "kind", "pos")
+    return pair_events(bucketed(slim, spread or SpreadSettings()))
+
+
+def pairs(events: DataFrame, spread: SpreadSettings | None = None) -> DataFrame:
     """(vin, start_us, end_us) of every start; null end_us when it has none."""
-    slim = events.filter(F.col("kind") != BATCH).select("vin", "bucket", "ts_us", "kind", "pos")
-    return pair_events(slim).filter(F.col("kind") == START).select("vin", "start_us", "end_us")
+    return _marks(events, spread).filter(F.col("kind") == START).select("vin", "start_us", "end_us")
 
 
-def unmatched_ends(events: DataFrame) -> DataFrame:
-    slim = events.filter(F.col("kind") != BATCH).select("vin", "bucket", "ts_us", "kind", "pos")
-    return (
-        pair_events(slim)
-        .filter((F.col("kind") == END) & F.col("start_us").isNull())
-        .select("vin", "end_us")
-    )
+def unmatched_ends(events: DataFrame, spread: SpreadSettings | None = None) -> DataFrame:
+    stray = (F.col("kind") == END) & F.col("start_us").isNull()
+    return _marks(events, spread).filter(stray).select("vin", "end_us")

@@ -14,7 +14,7 @@ from ..functions.geo import grid_cell, in_bounds
 from ..functions.paths import latlon_from_pairs, observed_prefix, usable_trajectory
 from ..schema import FEATURES, TRIPS_NEEDED, require_columns
 from .split import attach_split, distinct_vins, split_by_cutoffs, split_cutoffs
-from .spread import with_ordinal
+from .spread import with_ordinal, with_time_bucket
 
 # Fixed value: longest history a sample carries.
 MOST_HISTORY = 20
@@ -62,9 +62,8 @@ def normalised_trips(trips: DataFrame) -> DataFrame:
 
 def numbered_trips(trips: DataFrame, spread: SpreadSettings) -> DataFrame:
     """Append ``ordinal``: 1, 2, ... per vehicle by (StartTrip, trip_id)."""
-    bucketed = trips.withColumn(
-        "_bucket", F.floor(F.unix_micros("StartTrip") / F.lit(spread.bucket_us))
-    )
+    timed = trips.withColumn("_us", F.unix_micros("StartTrip"))
+    bucketed = with_time_bucket(timed, "VIN", "_us", spread, "_bucket").drop("_us")
     return with_ordinal(
         bucketed,
         ["VIN"],

@@ -15,7 +15,7 @@ from ..functions.text import iso_utc
 from ..schema import FEATURES, REQUESTS
 from .clean import strip
 from .samples import completed_destination, normalised_trips, numbered_trips, pseudonym, with_history
-from .spread import with_neighbour_marks
+from .spread import with_neighbour_marks, with_time_bucket
 
 # Request defaults and how near a custom prefix must start.
 DEFAULT_TOP_K = 5
@@ -110,7 +110,7 @@ def _with_completed(requests: DataFrame, trips: DataFrame, spread: SpreadSetting
     # At one instant the request sorts first: only earlier ends count.
     asked = requests.withColumn("_at", F.unix_micros("departure")).withColumn("_order", F.col("_at") * 2)
     line = asked.unionByName(ends.withColumn("_order", F.col("_at") * 2 + 1), allowMissingColumns=True)
-    line = line.withColumn("_bucket", F.floor(F.col("_at") / F.lit(spread.bucket_us)))
+    line = with_time_bucket(line, "vin", "_at", spread, "_bucket")
     return (
         with_neighbour_marks(line, ["vin"], "_bucket", "_order", "_mark")
         .filter(F.col("scenario_id").isNotNull())

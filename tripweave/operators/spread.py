@@ -13,6 +13,65 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import SpreadSettings
+
+
+# A bucket is hot when it holds more than this share of all rows, so there are fewer
+# than 1/HOT_SHARE of them; each is cut into HOT_PIECES of about equal row counts.
+HOT_SHARE = 1.0 / 512
+HOT_PIECES = 256
+# Below this a bucket is no burden to a task, whatever its share.
+HOT_ROWS = 100000
+
+
+def with_time_bucket(
+    df: DataFrame,
+    key: str,
+    ts_us: str,
+    spread: SpreadSettings,
+    name: str = "bucket",
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Append a bucket number that never decreases along a key's time.
+
+    Buckets are fixed spans of time. A span that is still hot (a key that stands for
+    many vehicles, a replay stamped within one hour) is cut at quantiles of its own
+    times. The hot list is found at once, by counting two columns of ``df``; it is
+    bounded, so it may go to every task. Pass a staged table.
+    """
+    span = F.floor(F.col(ts_us) / F.lit(spread.bucket_us))
+    slim = df.select(F.col(key).alias("_key"), span.alias("_span"), F.col(ts_us).alias("_ts"))
+    sizes = slim.groupBy("_key", "_span").agg(F.count(F.lit(1)).alias("_rows"))
+    all_rows = sizes.agg(F.coalesce(F.sum("_rows"), F.lit(0))).scalar()
+    hot = sizes.filter(
+        (F.col("_rows") > hot_rows) & (F.col("_rows") > F.lit(HOT_SHARE) * all_rows)
+    ).select("_key", "_span").collect()
+    tagged = df.withColumn("_span", span)
+    piece = F.lit(0)
+    if hot:
+        spark = df.sparkSession
+        listed = F.broadcast(spark.createDataFrame(hot, "_key string, _span bigint"))
+        marks = [i / HOT_PIECES for i in range(1, HOT_PIECES)]
+        cuts = (
+            slim.join(listed, ["_key", "_span"])
+            .groupBy("_key", "_span")
+            .agg(F.percentile_approx("_ts", marks, 10000).alias("_cuts"))
+            .collect()
+        )
+        table = spark.createDataFrame(cuts, "_key string, _span bigint, _cuts array<bigint>")
+        tagged = (
+            tagged.join(
+                F.broadcast(table.withColumnRenamed("_span", "_hot_span")),
+                (F.col(key) == F.col("_key")) & (F.col("_span") == F.col("_hot_span")),
+                "left",
+            )
+            .drop("_key", "_hot_span")
+        )
+        below = F.size(F.filter("_cuts", lambda c: c <= F.col(ts_us)))
+        piece = F.when(F.col("_cuts").isNull(), 0).otherwise(below)
+    out = tagged.withColumn(name, F.col("_span") * F.lit(2 * HOT_PIECES) + piece)
+    return out.drop("_span", "_cuts")
+
 
 def with_ordinal(
     df: DataFrame,

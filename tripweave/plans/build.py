@@ -54,15 +54,15 @@ class TripBuild:
 
     @cached_property
     def events(self) -> DataFrame:
-        return stage(E.extract_events(self.data, self.settings, self.spread), "events")
+        return stage(E.extract_events(self.data, self.settings), "events")
 
     @cached_property
     def paired(self) -> DataFrame:
-        return stage(P.routed_events(self.events, self.settings), "paired", ("route",))
+        return stage(P.routed_events(self.events, self.settings, self.spread), "paired", ("route",))
 
     @cached_property
     def outcomes(self) -> DataFrame:
-        return stage(O.outcomes(self.paired, self.settings, self.spread), "outcomes")
+        return stage(O.outcomes(self.paired, self.settings), "outcomes")
 
     @cached_property
     def accepted(self) -> DataFrame:

@@ -110,8 +110,9 @@ def _(spark, sf):
 @register("trip_batches", "paired trip_batches", """SELECT vin, s_us AS start_us, e_us AS end_us, ts AS ts_us,
   coalesce(error,'') AS error FROM trip_batches""")
 def _(spark, sf):
-    slim = build(spark, sf).events.select("vin", "bucket", "ts_us", "kind", "pos", "error")
-    return pairing.pair_events(slim).filter("kind = 1 AND start_us IS NOT NULL").select(
+    b = build(spark, sf)
+    slim = b.events.select("vin", "ts_us", "kind", "pos", "error")
+    return pairing.pair_events(pairing.bucketed(slim, b.spread)).filter("kind = 1 AND start_us IS NOT NULL").select(
         "vin", "start_us", "end_us", "ts_us", F.coalesce("error", F.lit("")).alias("error")
     )
 
