@@ -76,31 +76,38 @@ def test_naive_time_is_utc_and_a_trip_ending_at_departure_is_not_history(spark,
     assert s.provenance.history_trip_ids == ["V00_0000"]
 
 
-@pytest.mark.parametrize(
-    "values, message",
-    [
-        ({"vin": "  "}, "VIN cannot be empty"),
-        ({"reference_trip_id": ""}, "reference_trip_id cannot be empty"),
-        ({"prefix_fraction": 1.0}, "prefix_fraction must be"),
-        ({"top_k": 0}, "top_k must be positive"),
-        ({"history_limit": -1}, "history_limit"),
-        ({"origin_latitude": 1.0}, "supplied together"),
-        ({"origin_latitude": 91.0, "origin_longitude": 1.0}, "origin_latitude must"),
-        ({"origin_latitude": 1.0, "origin_longitude": 181.0}, "origin_longitude must"),
-        ({"prefix_points": []}, "at least one point"),
-        ({"prefix_points": [[1.0]]}, "latitude and longitude"),
-        ({"prefix_points": [[91.0, 1.0]]}, "invalid coordinate"),
-        ({"reference_trip_id": "V01_0001"}, "does not belong to VIN"),
-        ({"departure_time": "soon"}, "not a timestamp"),
-        ({"history_trip_ids": ["V00_0004"]}, "end before departure: V00_0004"),
-        ({"history_trip_ids": [ID]}, "end before departure"),
-        ({"prefix_points": [[49.0, 3.0]], "prefix_fraction": 0.25}, "start at the configured origin"),
-        ({"origin_latitude": 89.9999, "origin_longitude": 2.0, "prefix_fraction": 0.9}, "Translated prefix"),
-    ],
-)
-def test_errors(spark, trips, manifest, values, message):
-    sample, error = run(spark, trips, manifest, **values)
-    assert sample is None and message in error
+BROKEN = [
+    ({"vin": "  "}, "VIN cannot be empty"),
+    ({"reference_trip_id": ""}, "reference_trip_id cannot be empty"),
+    ({"prefix_fraction": 1.0}, "prefix_fraction must be"),
+    ({"top_k": 0}, "top_k must be positive"),
+    ({"history_limit": -1}, "history_limit"),
+    ({"origin_latitude": 1.0}, "supplied together"),
+    ({"origin_latitude": 91.0, "origin_longitude": 1.0}, "origin_latitude must"),
+    ({"origin_latitude": 1.0, "origin_longitude": 181.0}, "origin_longitude must"),
+    ({"prefix_points": []}, "at least one point"),
+    ({"prefix_points": [[1.0]]}, "latitude and longitude"),
+    ({"prefix_points": [[91.0, 1.0]]}, "invalid coordinate"),
+    ({"reference_trip_id": "V01_0001"}, "does not belong to VIN"),
+    ({"departure_time": "soon"}, "not a timestamp"),
+    ({"history_trip_ids": ["V00_0004"]}, "end before departure: V00_0004"),
+    ({"history_trip_ids": [ID]}, "end before departure"),
+    ({"prefix_points": [[49.0, 3.0]], "prefix_fraction": 0.25}, "start at the configured origin"),
+    ({"origin_latitude": 89.9999, "origin_longitude": 2.0, "prefix_fraction": 0.9}, "Translated prefix"),
+]
+
+
+def test_every_broken_request_gets_its_error(spark, trips, manifest):
+    from functools import reduce
+
+    frames = [request(spark, **values) for values, _ in BROKEN]
+    ids = [S.validated(f).first().scenario_id for f in frames]
+    made = S.prepare_scenarios(reduce(lambda a, b: a.union(b), [*frames, request(spark)]), trips, manifest)
+    assert made.samples.count() == 1
+    errors = {r.scenario_id: r.error for r in made.errors.collect()}
+    assert len(errors) == len(BROKEN)
+    for scenario, (_, message) in zip(ids, BROKEN):
+        assert message in errors[scenario]
 
 
 def test_unknown_vehicle_and_too_much_history(spark, trips, manifest):

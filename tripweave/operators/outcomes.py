@@ -337,7 +337,7 @@ def eligibility_failures(cfg: BuildSettings) -> Column:
 def outcomes(paired: DataFrame, cfg: BuildSettings) -> DataFrame:
     """One row per start event and per unmatched end, from ``routed_events``.
 
-    ``reasons`` is empty exactly for accepted trips; only those keep their points.
+    ``accepted`` rows have no ``reasons``; only they keep their points.
     ``bucket`` is that of the start event. Reads ``paired`` once per route: pass it staged by route.
     """
     judged = candidates(paired, cfg).withColumn("failure", first_failure(cfg))
@@ -383,12 +383,13 @@ def outcomes(paired: DataFrame, cfg: BuildSettings) -> DataFrame:
         F.when(widowed, lone("missing_end_trigger")).otherwise(lone("unmatched_end_trigger")).alias("reasons"),
         "bucket",
     )
-    return judged.unionByName(unpaired, allowMissingColumns=True)
+    everything = judged.unionByName(unpaired, allowMissingColumns=True)
+    return everything.withColumn("accepted", F.size("reasons") == 0)
 
 
 def rejections(result: DataFrame) -> DataFrame:
     """(VIN, StartTrip, EndTrip, reason, detail), one row per reason."""
-    return result.filter(F.size("reasons") > 0).select(
+    return result.filter(~F.col("accepted")).select(
         F.col("vin").alias("VIN"),
         F.timestamp_micros("start_us").alias("StartTrip"),
         F.timestamp_micros("end_us").alias("EndTrip"),

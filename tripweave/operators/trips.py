@@ -17,7 +17,7 @@ TIME_METHOD = "interpolated_between_trip_triggers"
 
 def accepted_trips(result: DataFrame, metadata: DataFrame) -> DataFrame:
     """Accepted outcomes with trip_id, ordinal, metadata and final flags."""
-    accepted = result.filter(F.size("reasons") == 0)
+    accepted = result.filter("accepted")
     numbered = with_ordinal(
         accepted,
         ["vin"],

@@ -62,7 +62,7 @@ class TripBuild:
 
     @cached_property
     def outcomes(self) -> DataFrame:
-        return stage(O.outcomes(self.paired, self.settings), "outcomes")
+        return stage(O.outcomes(self.paired, self.settings), "outcomes", ("accepted",))
 
     @cached_property
     def accepted(self) -> DataFrame:
@@ -122,7 +122,7 @@ class TripBuild:
             F.count_if(F.col("kind") == E.END).alias("end_events"),
             F.count_if(F.col("kind") == E.BATCH).alias("trajectory_batches"),
         )
-        ok = F.size("reasons") == 0
+        ok = F.col("accepted")
         done = self.outcomes.agg(
             F.count_if(ok).alias("accepted_trips"),
             F.coalesce(F.sum(F.when(ok, F.col("n"))), F.lit(0)).alias("accepted_points"),
