@@ -62,19 +62,21 @@ def _settle_points(df: DataFrame) -> DataFrame:
     inside a lambda would be evaluated again for every element.
     """
     points, steps = F.col("points"), F.col("_steps")
-    return (
+    settled = (
         df.withColumn("points", drop_equal_neighbours(points))
         .withColumn("_steps", steps_m(points))
         .withColumn("points", drop_repeats(points, steps))
         .withColumn("_steps", F.when(shortened(points, steps), steps_m(points)).otherwise(steps))
-        .withColumn("n", F.size(points).cast("bigint"))
-        .withColumn("distance", total(steps))
-        .withColumn("longest_step", F.coalesce(F.array_max(steps), F.lit(0.0)))
-        .withColumn("first_point", first_of(points))
-        .withColumn("last_point", last_of(points))
-        .withColumn("in_bounds", all_in_bounds(points))
-        .drop("_steps")
     )
+    figures = {
+        "n": F.size(points).cast("bigint"),
+        "distance": total(steps),
+        "longest_step": F.coalesce(F.array_max(steps), F.lit(0.0)),
+        "first_point": first_of(points),
+        "last_point": last_of(points),
+        "in_bounds": all_in_bounds(points),
+    }
+    return settled.withColumns(figures).drop("_steps")
 
 
 def _short_trips(rows: DataFrame) -> DataFrame:
@@ -208,24 +210,30 @@ def candidates(paired: DataFrame, cfg: BuildSettings) -> DataFrame:
     )
 
     start, end = _plain_point(F.col("start")), _plain_point(F.col("end"))
-    straight = metres_between(F.col("start"), F.col("end"))
     no_path = F.col("n") == 0
-    falls_back = no_path & F.lit(cfg.fallback_to_triggers)
-    built = (
-        built.withColumn("straight_m", straight)
-        .withColumn("no_path", no_path)
-        .withColumn("fell_back", falls_back)
-        .withColumn("points", F.when(F.col("fell_back"), F.array(start, end)).otherwise(F.col("points")))
-        .withColumn("first_point", F.when(F.col("fell_back"), start).otherwise(F.col("first_point")))
-        .withColumn("last_point", F.when(F.col("fell_back"), end).otherwise(F.col("last_point")))
-        .withColumn("n", F.when(F.col("fell_back"), F.lit(2)).otherwise(F.col("n")))
-        .withColumn("distance", F.when(F.col("fell_back"), F.col("straight_m")).otherwise(F.col("distance")))
-        .withColumn(
-            "longest_step", F.when(F.col("fell_back"), F.col("straight_m")).otherwise(F.col("longest_step"))
-        )
-        # Both gaps come from the path before anything is inserted.
-        .withColumn("start_gap", metres_between(F.col("start"), F.col("first_point")))
-        .withColumn("end_gap", metres_between(F.col("last_point"), F.col("end")))
+    built = built.withColumns(
+        {
+            "straight_m": metres_between(F.col("start"), F.col("end")),
+            "no_path": no_path,
+            "fell_back": no_path & F.lit(cfg.fallback_to_triggers),
+        }
+    )
+    instead = {
+        "points": F.array(start, end),
+        "first_point": start,
+        "last_point": end,
+        "n": F.lit(2),
+        "distance": F.col("straight_m"),
+        "longest_step": F.col("straight_m"),
+    }
+    fell = F.col("fell_back")
+    built = built.withColumns({c: F.when(fell, e).otherwise(F.col(c)) for c, e in instead.items()})
+    # Both gaps come from the path before anything is inserted.
+    built = built.withColumns(
+        {
+            "start_gap": metres_between(F.col("start"), F.col("first_point")),
+            "end_gap": metres_between(F.col("last_point"), F.col("end")),
+        }
     )
     far_start = F.coalesce(F.col("start_gap") > cfg.endpoint_tolerance_m, F.lit(False))
     far_end = F.coalesce(F.col("end_gap") > cfg.endpoint_tolerance_m, F.lit(False))
@@ -234,32 +242,19 @@ def candidates(paired: DataFrame, cfg: BuildSettings) -> DataFrame:
         _flag(F.col("fell_back"), "trajectory_fallback_to_trigger_endpoints"),
     ]
     if cfg.add_trigger_endpoints:
-        zero = F.lit(0.0)
         nothing = F.slice(F.col("points"), F.lit(1), F.lit(0))
-        built = (
-            built.withColumn(
-                "points",
-                F.concat(
+        gaps = [F.when(far, F.col(gap)).otherwise(0.0) for far, gap in ((far_start, "start_gap"), (far_end, "end_gap"))]
+        built = built.withColumns(
+            {
+                "points": F.concat(
                     F.when(far_start, F.array(start)).otherwise(nothing),
                     F.col("points"),
                     F.when(far_end, F.array(end)).otherwise(nothing),
                 ),
-            )
-            .withColumn("n", F.col("n") + far_start.cast("int") + far_end.cast("int"))
-            .withColumn(
-                "distance",
-                F.col("distance")
-                + F.when(far_start, F.col("start_gap")).otherwise(zero)
-                + F.when(far_end, F.col("end_gap")).otherwise(zero),
-            )
-            .withColumn(
-                "longest_step",
-                F.greatest(
-                    F.col("longest_step"),
-                    F.when(far_start, F.col("start_gap")).otherwise(zero),
-                    F.when(far_end, F.col("end_gap")).otherwise(zero),
-                ),
-            )
+                "n": F.col("n") + far_start.cast("int") + far_end.cast("int"),
+                "distance": F.col("distance") + gaps[0] + gaps[1],
+                "longest_step": F.greatest(F.col("longest_step"), *gaps),
+            }
         )
         flags += [_flag(far_start, "start_trigger_point_added"), _flag(far_end, "end_trigger_point_added")]
     else:
@@ -270,23 +265,18 @@ def candidates(paired: DataFrame, cfg: BuildSettings) -> DataFrame:
 
     seconds = (F.col("end_us") - F.col("start_us")) / 1e6
     # Points are spread evenly in time, so the longest step is also the fastest.
-    interval = F.col("duration_s") / (F.col("n") - 1)
-    return (
-        built.withColumn("duration_s", seconds)
-        .withColumn(
-            "max_speed",
-            F.when((F.col("n") > 1) & (F.col("duration_s") > 0), F.col("longest_step") / interval * 3.6).otherwise(
-                F.lit(0.0)
-            ),
-        )
-        .withColumn(
-            "flags",
-            F.concat(
+    interval = seconds / (F.col("n") - 1)
+    moving = (F.col("n") > 1) & (seconds > 0)
+    return built.withColumns(
+        {
+            "duration_s": seconds,
+            "max_speed": F.when(moving, F.col("longest_step") / interval * 3.6).otherwise(0.0),
+            "flags": F.concat(
                 prefixed("duplicate_start_signal:", "start"),
                 prefixed("duplicate_end_signal:", "end"),
                 F.array_compact(F.array(*flags)),
             ),
-        )
+        }
     )
 
 

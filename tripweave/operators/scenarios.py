@@ -13,6 +13,7 @@ from ..functions.geo import grid_cell, in_bounds, km_between
 from ..functions.paths import all_in_bounds, first_of, latlon_from_pairs, observed_prefix
 from ..functions.text import iso_utc
 from ..schema import FEATURES, REQUESTS
+from ..session import stage
 from .clean import strip
 from .samples import completed_destination, normalised_trips, numbered_trips, pseudonym, with_history
 from .spread import with_neighbour_marks, with_time_bucket
@@ -303,12 +304,14 @@ def prepare_scenarios(
 ) -> Scenarios:
     """One model-ready sample per sound request; every other request gets its error.
 
-    Features come from the same expressions as training samples. ``trips`` is read
-    several times: pass a written table.
+    Features come from the same expressions as training samples. The numbered trips
+    and the located requests are staged, as four and three steps read them.
     """
     cfg, spread = cfg or SampleSettings(), spread or SpreadSettings()
-    ordered = ordered_trips(trips, spread)
-    located = eligible_history(_paths(located_requests(validated(requests), ordered, spread)))
+    ordered = stage(ordered_trips(trips, spread), "ordered")
+    located = stage(
+        eligible_history(_paths(located_requests(validated(requests), ordered, spread))), "located"
+    )
     history = chosen_history(located, ordered, cfg)
     known = manifest.select("vin", "split")
     frame = located.join(history, "scenario_id", "left").join(known, "vin", "left")
