@@ -24,6 +24,9 @@ CASES = [
     (row(name="ambientTemperature"), "irrelevant_trigger_or_signal"),
     (row(scalar="abc"), "invalid_scalar_value"),
     (row(scalar="NaN", fuel="g"), "invalid_scalar_value"),
+    (row(scalar="1d", fuel="h"), "invalid_scalar_value"),
+    (row(scalar="0x1p3", fuel="i"), "invalid_scalar_value"),
+    (row(t="12:30"), "invalid_timestamp"),
     (row(trig=B.periodic_trigger, scalar=None), "missing_series_value"),
     (row(trig=B.periodic_trigger, series="  "), "missing_series_value"),
     (row(trig=B.periodic_trigger, series="[1,"), "invalid_series_value"),
@@ -82,6 +85,12 @@ def test_vin_lists_and_kept_duplicates(spark):
     assert counts == {None: 6, "vin_excluded": 3, "exact_duplicate": 3}
 
 
+def test_nan_equals_null_in_extra_columns(spark):
+    rows = [(*r, x) for r, x in zip(start("A", 0)[:1] * 3, (float("nan"), None, 1.0))]
+    c = clean(spark.createDataFrame(rows, RAW_SCHEMA + ", speed double").coalesce(1))
+    assert [r.source_row_id for r in c.discarded.collect()] == [1]
+
+
 def test_missing_columns_fail_before_any_job(spark):
     raw = spark.createDataFrame(end("A", 0) + batch("A", 1, [1.0], [1.0]), RAW_SCHEMA)
     with pytest.raises(ValueError, match="name"):

@@ -44,12 +44,25 @@ def as_utc(df: DataFrame, name: str) -> Column:
         return F.col(name)
     if isinstance(kind, (T.TimestampNTZType, T.DateType)):
         return F.col(name).cast("timestamp")
-    return F.try_to_timestamp(strip(F.col(name)))
+    text = strip(F.col(name))
+    # Spark would read a bare time of day as today's; a value must start with a year.
+    return F.when(F.substring(text, 5, 1).isin("-", ""), F.try_to_timestamp(text))
+
+
+def number_of(text: Column) -> Column:
+    """Trimmed text to DOUBLE; null when it is no number.
+
+    The cast also takes Java's type suffixes and hexadecimal digits, which are not
+    numbers here; "inf" is the one ending in f that is.
+    """
+    low = F.lower(text)
+    java_only = low.contains("x") | (F.right(low, F.lit(1)).isin("d", "f") & ~low.endswith("inf"))
+    return F.when(~java_only, text.try_cast("double"))
 
 
 def as_number(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType
-    number = F.col(name).cast("double") if isinstance(kind, T.NumericType) else strip(F.col(name)).try_cast("double")
+    number = F.col(name).cast("double") if isinstance(kind, T.NumericType) else number_of(strip(F.col(name)))
     return F.when(~F.isnan(number), number)
 
 
@@ -96,7 +109,14 @@ def canonical(raw: DataFrame, cfg: BuildSettings) -> DataFrame:
     if cfg.ingestion_column in raw.columns:
         typed["ingestion_timestamp"] = (cfg.ingestion_column, as_utc(raw, cfg.ingestion_column))
     sources = {source for source, _ in typed.values()}
-    extras = [c for c in raw.columns if c not in sources and c != ROW_ID]
+    # NaN and null both mean missing, also when rows are compared for equality.
+    extras = [
+        F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name)
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType))
+        else F.col(f.name)
+        for f in raw.schema.fields
+        if f.name not in sources and f.name != ROW_ID
+    ]
     return raw.select(ROW_ID, *[e.alias(n) for n, (_, e) in typed.items()], *extras)
 
 
@@ -122,7 +142,7 @@ def with_series_values(df: DataFrame, text: str = "series", when: Column | None
     wanted = closed if when is None else when & closed
     direct, members = F.col("_direct"), F.col("_members")
     sound = F.coalesce(_all_finite(direct), F.lit(False))
-    cast = F.transform(F.from_json(c, "array<string>"), lambda m: strip(m).try_cast("double"))
+    cast = F.transform(F.from_json(c, "array<string>"), lambda m: number_of(strip(m)))
     return (
         df.withColumn("_direct", F.when(wanted, F.from_json(c, "array<double>")))
         .withColumn("_sound", sound)

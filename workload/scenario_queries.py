@@ -114,9 +114,17 @@ def _(spark, sf):
     return v.select("vin", F.col("reference_trip_id").alias("trip_id"), "error")
 
 
-@register("request_hash")
+@register("request_hash", "requests", """SELECT trip_id, sha256('{"departure_time":' ||
+  CASE WHEN moved IS NULL THEN 'null' ELSE '"' || strftime(make_timestamp(moved), '%Y-%m-%dT%H:%M:%S') ||
+    CASE WHEN moved % 1000000 <> 0 THEN strftime(make_timestamp(moved), '.%f') ELSE '' END || '+00:00"' END ||
+  ',"history_limit":' || coalesce(CAST(lim AS VARCHAR), 'null') || ',"history_trip_ids":' || CASE WHEN wanted IS NULL THEN 'null' ELSE '["' || wanted || '"]' END ||
+  ',"origin_latitude":' || CASE WHEN shifted THEN CAST(rlat AS VARCHAR) ELSE 'null' END ||
+  ',"origin_longitude":' || CASE WHEN shifted AND s_us % 23 <> 0 THEN CAST(rlon AS VARCHAR) ELSE 'null' END || ',"prefix_fraction":' || CAST(f AS VARCHAR) ||
+  ',"prefix_points":' || CASE WHEN custom THEN '[[' || CAST(rlat + CASE WHEN far THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS VARCHAR) || ',' || CAST(rlon AS VARCHAR) || '],[' ||
+    CAST(rlat + 0.001::DOUBLE AS VARCHAR) || ',' || CAST(rlon + 0.001::DOUBLE AS VARCHAR) || ']]' ELSE 'null' END ||
+  ',"reference_trip_id":"' || trip_id || '","top_k":' || k || ',"vin":"' || vin || '"}') AS scenario_id FROM requests""")
 def _(spark, sf):
-    return S.validated(requests(spark, sf)).select("reference_trip_id", "scenario_id")
+    return S.validated(requests(spark, sf)).select(F.col("reference_trip_id").alias("trip_id"), "scenario_id")
 
 
 def _located(spark, sf):
