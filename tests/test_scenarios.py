@@ -55,7 +55,7 @@ def test_overrides_are_recorded(spark, trips, manifest):
     assert s.prefix_last_latitude == pytest.approx(48.501)
     p = s.provenance
     assert p.history_trip_ids == ["V00_0001", "V00_0004"]
-    # Trips 0..4 have ended, the reference itself does not count.
+    # Trips 0..4 have ended; the reference trip itself does not count.
     assert p.eligible_history_trips == 4
     assert p.input_sources.origin == p.input_sources.departure_time == "user_override"
     assert p.input_sources.trajectory_prefix == "translated_reference_trip"

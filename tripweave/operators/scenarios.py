@@ -145,19 +145,27 @@ def located_requests(requests: DataFrame, trips: DataFrame, spread: SpreadSettin
 
 def eligible_history(located: DataFrame) -> DataFrame:
     """How much history each request may use: a trip counts when it ended before
-    departure and is not the reference. Ordinals 1..completed without the reference's."""
+    departure and is not the reference trip: ordinals 1..completed without its own."""
     own = (F.col("ref.ordinal") <= F.col("completed")).cast("int")
     return located.withColumn("eligible_count", F.col("completed") - F.coalesce(own, F.lit(0)))
 
 
 def eligible_history_rows(located: DataFrame, trips: DataFrame) -> DataFrame:
-    """The eligible trips as rows (scenario_id, trip_id). As large as its answer."""
-    numbers = located.filter("error IS NULL AND completed > 0").select(
+    """The eligible trips as rows (scenario_id, ordinal, trip_id). As large as its answer.
+
+    Ordinals are written out in blocks, so no array grows with a vehicle's trips.
+    """
+    block = 65536
+    blocks = located.filter("error IS NULL AND completed > 0").select(
         "scenario_id",
         F.col("vin").alias("VIN"),
         F.col("ref.ordinal").alias("_own"),
-        F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("completed"))).alias("ordinal"),
+        "completed",
+        F.explode(F.expr(f"sequence(0L, (completed - 1) div {block})")).alias("_block"),
     )
+    low = F.col("_block") * block + 1
+    high = F.least(F.col("completed"), F.col("_block") * block + block)
+    numbers = blocks.select("scenario_id", "VIN", "_own", F.explode(F.sequence(low, high)).alias("ordinal"))
     return (
         numbers.filter(~F.col("ordinal").eqNullSafe(F.col("_own")))
         .join(trips.select("VIN", "ordinal", "trip_id"), ["VIN", "ordinal"])
@@ -169,7 +177,7 @@ def chosen_history(located: DataFrame, trips: DataFrame, cfg: SampleSettings) ->
     """(scenario_id, history, history_ids, rejected_ids) per request.
 
     Automatic: the last min(limit, maximum) eligible ordinals, at most maximum + 1
-    numbers before the reference is taken out. Selected: the given ids, eligible or
+    numbers before the reference trip is taken out. Selected: the given ids, eligible or
     rejected. Both look trips up by an equality on a unique key.
     """
     sound = located.filter(F.col("error").isNull())

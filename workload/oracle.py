@@ -356,7 +356,8 @@ step(
     f"""SELECT s.*, t.cell AS predicted_cell, t.probability AS predicted_cell_probability, r.rk AS actual_rank,
     {hav('s.actual_latitude', 's.actual_longitude', 's.predicted_latitude', 's.predicted_longitude', R_KM)} AS error_km
     FROM scored s JOIN top t ON t.sample_id=s.sample_id AND t.rk=1
-    LEFT JOIN top r ON r.sample_id=s.sample_id AND r.cell=s.actual_cell""",
+    LEFT JOIN (SELECT sample_id, cell, min(rk) AS rk FROM top GROUP BY ALL) r
+      ON r.sample_id=s.sample_id AND r.cell=s.actual_cell""",
 )
 
 
