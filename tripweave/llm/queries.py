@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripweave.llm import exact_dedup, language, near_dup, packing, substring_dedup
+from tripweave.llm import decontaminate, exact_dedup, language, near_dup, packing, substring_dedup
 from tripweave.llm.common import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,27 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_substring_dedup")
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op8_decontamination",
+    r"""
+    WITH cut AS (
+        SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents
+        UNION ALL
+        SELECT 'i', item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM benchmark
+    ),
+    shingles AS (
+        SELECT DISTINCT kind, id, array_to_string(w[i:i + 4], ' ') AS s
+        FROM (SELECT kind, id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM cut WHERE len(w) > 0)
+    ),
+    sizes AS (SELECT id AS item_id, count(*) AS n_shingles FROM shingles WHERE kind = 'i' GROUP BY id)
+    SELECT d.id AS doc_id, i.id AS item_id, any_value(n_shingles) AS n_shingles, count(*) AS n_shared
+    FROM shingles d JOIN shingles i ON d.kind = 'd' AND i.kind = 'i' AND d.s = i.s
+    JOIN sizes ON sizes.item_id = i.id
+    GROUP BY d.id, i.id
+    HAVING count(*) >= 0.8 * any_value(n_shingles)
+    """,
+)
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
