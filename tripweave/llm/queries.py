@@ -5,8 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from tripweave.llm import decontaminate, exact_dedup, language, near_dup, packing, substring_dedup
+from pyspark.sql import functions as F
+
+from tripweave.llm import (
+    decontaminate,
+    exact_dedup,
+    language,
+    near_dup,
+    packing,
+    pii,
+    substring_dedup,
+    url_rules,
+)
 from tripweave.llm.common import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +97,14 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_url_rules")
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.report(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_pii")
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.report(table(spark, sf_dir, "documents"))
+    return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
