@@ -11,9 +11,11 @@ from tripweave.llm import (
     decontaminate,
     exact_dedup,
     language,
+    licenses,
     near_dup,
     packing,
     pii,
+    quoting,
     substring_dedup,
     url_rules,
 )
@@ -108,3 +110,24 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.report(table(spark, sf_dir, "documents"))
     return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
+
+
+@query("op2_license_scan")
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
+@query("op4_quote_linking")
+def op4_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quoting.link_quotes(table(spark, sf_dir, "conversations"))
+    return found.select(
+        "message.conv_id",
+        "message.turn",
+        "message.role",
+        "root_turn",
+        "reply_to",
+        "n_quotes",
+        "n_linked",
+        "from_conv",
+        "text",
+    )
