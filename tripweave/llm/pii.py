@@ -32,8 +32,8 @@ KINDS = ("email", "ip", "card", "phone")
 
 #: Islands that the field is fitted on, and the longest of them in characters.
 SAMPLE_ISLANDS, SAMPLE_CHARS = 600, 200
-#: Tokens of a segment.
-LONGEST = 14
+#: Tokens of a segment, and digits of one without an @.
+LONGEST, LEAST_DIGITS = 14, 4
 #: Log odds that an added segment needs.
 MARGIN = 4.0
 
@@ -147,12 +147,36 @@ def features(tokens: list[str], first: int, last: int, before: str) -> list[str]
     if 13 <= len(digits) <= 19:
         out.append(f"luhn:{luhn(digits)}")
     if len(groups) == 4 and marks == ".":
-        out.append(f"octets:{all(_octet(t) for t in part if t[0].isdigit())}")
+        out.append(f"octets:{all(_octet(t) for t in part if "0" <= t[0] <= "9")}")
     if "@" in text:
         out.append(f"at:{text.count('@')}:{'.' in text.split('@')[-1].strip('.')}")
     return out
 
 
+def candidates(tokens: list[str]) -> Iterator[tuple[int, int]]:
+    """Segments that can be data at all: with an @, or without letters and with
+    ``LEAST_DIGITS`` digits; on one line, from a letter, digit, + or ( to a letter or digit."""
+    n = len(tokens)
+    next_at = [n + LONGEST] * (n + 1)  # none ahead: out of reach
+    for i in range(n - 1, -1, -1):
+        next_at[i] = i if tokens[i] == "@" else next_at[i + 1]
+    for i, token in enumerate(tokens):
+        if not (token[0].isalnum() or token[0] in "+("):
+            continue
+        at, digits = next_at[i], 0
+        for j in range(i, min(n, i + LONGEST)):
+            c = tokens[j][0]
+            if c.isspace():
+                if j < at < i + LONGEST or "\n" in tokens[j]:
+                    break  # no blanks in an address, no data over lines
+            elif c.isdigit():
+                digits += len(tokens[j])
+            elif c.isalpha() and at >= i + LONGEST:
+                break
+            if c.isalnum() and (at < j or at >= i + LONGEST and digits >= LEAST_DIGITS):
+                yield i, j + 1
+
+
 class Field:
     """The weights, and what they say of one island."""
 
@@ -163,15 +187,9 @@ class Field:
         """For each candidate segment its features and its score by kind (plain text: 0)."""
         out = {}
         weigh = self.weights
-        for i, token in enumerate(tokens):
-            if token[0].isspace() or not (token[0].isalnum() or token[0] in "+("):
-                continue
-            word = before if i == 0 else ""
-            for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
-                if not tokens[j - 1][0].isalnum():
-                    continue
-                found = features(tokens, i, j, word)
-                out[i, j] = found, [sum(weigh.get((k, f), 0.0) for f in found) for k in KINDS]
+        for i, j in candidates(tokens):
+            found = features(tokens, i, j, before if i == 0 else "")
+            out[i, j] = found, [sum(weigh.get((k, f), 0.0) for f in found) for k in KINDS]
         return out
 
     def best(self, tokens: list[str], before: str) -> list[tuple[int, int, str, float]]:
@@ -259,7 +277,10 @@ def all_spans(text: str, field: Field) -> list[tuple[str, int, int]]:
     for start, end in islands(text):
         while at < len(taken) and taken[at][1] <= start:
             at += 1
-        near = [s for s in taken[at:] if s[0] < end] if at < len(taken) and taken[at][0] < end else []
+        upto = at
+        while upto < len(taken) and taken[upto][0] < end:
+            upto += 1
+        near = taken[at:upto]
         tokens, starts, before = _island(text, start, end)
         for i, j, kind, odds in field.best(tokens, before):
             a, b = starts[i], starts[j - 1] + len(tokens[j - 1])
