@@ -53,7 +53,7 @@ def _starts(array: Column) -> Column:
 def hashed_shingles(array: Column) -> Column:
     """Sorted distinct 63-bit hashes of the shingles."""
     each = F.transform(_starts(array), lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(array, i, SHINGLE)), 1))
-    return F.array_sort(F.array_distinct(each))
+    return F.sort_array(F.array_distinct(each))
 
 
 def exact_shingles(array: Column) -> Column:
@@ -84,7 +84,7 @@ def signature(hashes: Column, extra: int | None) -> Column:
 
 def _items(items: DataFrame, item_id: str, text: str) -> DataFrame:
     made = items.select(F.col(item_id).alias("item_id"), words(F.col(text)).alias("words"))
-    return made.select("item_id", "words", hashed_shingles(F.col("words")).alias("hashes")).filter("size(hashes) > 0")
+    return made.select("item_id", "words", hashed_shingles(F.col("words")).alias("hashes"))
 
 
 class Leaks:
@@ -93,7 +93,7 @@ class Leaks:
     def __init__(self, docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str, contained: float):
         spark = ready(docs.sparkSession)
         scratch = Scratch(spark, "leaks")
-        index = scratch.keep(_items(items, item_id, text), "items")
+        index = scratch.keep(_items(items, item_id, text), "items").filter("size(hashes) > 0")
         shape = index.agg(F.min(F.size("hashes")).alias("least"), F.sum(F.size("hashes")).alias("all")).first()
         extra, p = resolution(shape["least"] or 1)
         postings = index.select("item_id", F.size("hashes").alias("q"), F.explode("hashes").alias("value"))
@@ -104,7 +104,9 @@ class Leaks:
         )
         # Hashes are read twice below, so each array is a column of its own.
         hashed = rows.select("doc_id", "body", hashed_shingles(F.col("words")).alias("hashes"))
-        values = hashed.select("doc_id", "body", F.explode(signature(F.col("hashes"), extra)).alias("value"))
+        # The outer form, since explode adds a filter on its array that Spark moves below the
+        # projections, where the words would be cut anew for every shingle.
+        values = hashed.select("doc_id", "body", F.explode_outer(signature(F.col("hashes"), extra)).alias("value"))
         candidates = (
             values.join(postings, "value")
             .groupBy("doc_id", "body", "item_id", "q")

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tripweave.llm.common import Scratch, ready, text_or_empty
 
+_QUOTING = r"(?m)^[ \t]*>"
 _MARKS = r"^(?:[ \t]*>)+[ \t]?"
 
 
@@ -42,7 +43,7 @@ def normalised(text: Column) -> Column:
 def with_passages(rows: DataFrame, text: str) -> DataFrame:
     """Adds ``runs``, array of (level, body, lines): runs of lines of one level, in order."""
     shape = "array<struct<level:int,body:string,line:string>>"
-    quoting = F.col(text).rlike(r"(?m)^[ \t]*>")
+    quoting = F.col(text).rlike(_QUOTING)
     lines = F.transform(
         F.split(text, "\r?\n"),
         lambda line: F.struct(
@@ -84,9 +85,11 @@ def offered(runs: Column) -> Column:
 
 def _links(cut: DataFrame, scratch: Scratch) -> DataFrame:
     """(conv_id, turn, body, at, level, from_conv, from_turn) of each linked passage."""
-    quoted = cut.filter(F.size(F.filter("runs", lambda r: r["level"] > 0)) > 0)
+    # Outer explodes, since the others add filters that Spark moves below the projections,
+    # where the lines would be cut anew for every passage.
     quotes = scratch.keep(
-        quoted.select("conv_id", "turn", "body", F.posexplode("runs").alias("at", "run"))
+        cut.filter(F.col("content").rlike(_QUOTING))
+        .select("conv_id", "turn", "body", F.posexplode_outer("runs").alias("at", "run"))
         .filter("run.level > 0")
         .select("conv_id", "turn", "body", "at", "run.level", normalised(F.col("run.body")).alias("passage"))
         .filter("passage != ''")
@@ -95,7 +98,7 @@ def _links(cut: DataFrame, scratch: Scratch) -> DataFrame:
     )
     originals = (
         cut.filter("conv_id IS NOT NULL AND turn IS NOT NULL")
-        .select("conv_id", "turn", F.explode(offered(F.col("runs"))).alias("passage"))
+        .select("conv_id", "turn", F.explode_outer(offered(F.col("runs"))).alias("passage"))
         .select("conv_id", "turn", F.sha2("passage", 256).alias("hash"))
         .join(quotes.select("hash").distinct(), "hash", "left_semi")
     )
@@ -145,7 +148,7 @@ def link_quotes(
         content.alias("content"),
     )
     rows = with_passages(rows, "content")
-    links = _links(rows.select("conv_id", "turn", "body", "runs"), scratch)
+    links = _links(rows.drop("message"), scratch)
     inside = links.filter(F.col("from_conv") == F.col("conv_id"))
     lowest = F.min(F.struct("level", (-F.col("from_turn")).alias("minus"))).alias("m")
     replies = inside.groupBy("conv_id", "turn", "body").agg(lowest).select(

@@ -53,6 +53,8 @@ MIN_CONFIDENCE = 0.6
 #: Labelled pages that it must be in at least, however few there are.
 MIN_PAGES = 20
 BLOCK = "label=block"
+#: Labels of the host suffixes that are tokens; the whole host is one besides.
+SUFFIXES = (1, 2, 3, 4)
 #: Rules up to which the index is broadcast; beyond that the join shuffles.
 BROADCAST_RULES = 100_000
 
@@ -76,12 +78,7 @@ def tokens(url: Column) -> Column:
     Digits are folded, so that page numbers do not make tokens of their own.
     """
     host, path = host_and_path(url)
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    suffixes = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.concat(F.lit("host="), F.array_join(F.slice(labels, i, n - i + 1), ".")),
-    )
+    suffixes = F.array(*[F.concat(F.lit("host="), F.substring_index(host, ".", -n)) for n in SUFFIXES])
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
     folded = F.transform(
         segments,
@@ -94,7 +91,7 @@ def tokens(url: Column) -> Column:
     )
     scheme = F.array(F.concat(F.lit("scheme="), _lower_ascii(F.regexp_extract(url, r"(?s)^(.*?)://", 1))))
     mark = F.when(F.instr(url, "#") > 0, F.array(F.lit("fragment"))).otherwise(F.array().cast("array<string>"))
-    every = F.array_distinct(F.concat(scheme, suffixes, folded, keys, mark))
+    every = F.array_distinct(F.concat(scheme, suffixes, F.array(F.concat(F.lit("host="), host)), folded, keys, mark))
     return F.when(F.instr(url, "://") > 0, every).otherwise(F.array().cast("array<string>"))
 
 
