@@ -115,3 +115,19 @@ def test_series_reader(spark):
     df = with_series_values(spark.createDataFrame([(t,) for t in texts], "series string"))
     got = [r.series_values for r in df.collect()]
     assert got == [[1.0, 2.0], [1.5], [1.0], [1000.0, -2.0], None, None, None, None, None]
+
+
+def test_forms_of_time(spark):
+    from tripweave.operators.clean import as_utc
+
+    forms = [
+        "2026-02-13T07:00:00Z", "2026-02-13 08:00:00+01:00", "2026/02/13 07:00:00", "20260213T070000Z", "2/13/2026 7:00",
+        "Feb 13 2026 07:00", "Feb 13, 2026 07:00:00", "13 Feb 2026 07:00", "2026.02.13 07:00:00.000000",
+    ]
+    rows = [(i, f) for i, f in enumerate(forms)] + [(-1, "07:00"), (-2, "soon"), (-3, ""), (-4, "2026/13/40"), (-5, None)]
+    df = spark.createDataFrame(rows, "i int, t string")
+    got = {r.i: r.s for r in df.select("i", F.unix_seconds(as_utc(df, "t")).alias("s")).collect()}
+    assert {got[i] for i in range(len(forms))} == {1770966000}
+    assert all(got[i] is None for i in range(-5, 0))
+    number = spark.createDataFrame([(1770966000_123456789,)], "t bigint")
+    assert number.select(F.unix_micros(as_utc(number, "t"))).first()[0] == 1770966000123456

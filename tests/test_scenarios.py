@@ -141,7 +141,44 @@ def test_request_file(spark, tmp_path):
     good = tmp_path / "r.json"
     good.write_text('{"vin": "V00", "reference_trip_id": "x", "prefix_points": [[1, 2]]}\n')
     assert read_requests(spark, str(good)).first().prefix_points == [[1.0, 2.0]]
-    bad = tmp_path / "bad.json"
-    bad.write_text('{"vin": "V00", "speed": 3}\n')
-    with pytest.raises(ValueError, match="speed"):
-        read_requests(spark, str(bad))
+
+
+def test_every_bad_line_of_a_request_file_is_its_own_error(spark, tmp_path, trips, manifest):
+    sound = '{"vin": "V00", "reference_trip_id": "%s"' % ID
+    lines = [
+        sound + "}", "", sound + "}", "nonsense", "nonsense", sound + "} more", sound + ', "speed": 3}',
+        sound + ', "prefix_fraction": "x"}', sound + ', "top_k": [1]}', sound + ', "prefix_points": 5}', "[1]",
+        sound + ', "prefix_fraction": "0.25"}',
+    ]
+    (tmp_path / "bad.json").write_text("\n".join(lines))
+    made = S.prepare_scenarios(read_requests(spark, str(tmp_path / "bad.json")), trips, manifest)
+    assert made.samples.count() == 2  # two equal requests are one
+    errors = [r.error for r in made.errors.collect()]
+    assert sorted(e.split(":")[0] for e in errors) == ["The line is not one JSON object"] * 4 + ["Unknown settings"] + [
+        "Values of the wrong type"
+    ] * 3
+
+
+def test_a_trip_under_way_is_no_history(spark, manifest):
+    # A 08:00-12:00, B 09:00-10:00, C 13:00-14:00; asked for 11:00.
+    def timed(i, start, end):
+        vin, name, _, _, *rest = trip("V00", i)
+        return (vin, name, T0.replace(hour=start), T0.replace(hour=end), *rest)
+
+    table = spark.createDataFrame([timed(0, 8, 12), timed(1, 9, 10), timed(2, 13, 14)], SCHEMA)
+    s, _ = run(spark, table, manifest, reference_trip_id="V00_0002", departure_time=T0.replace(hour=11).isoformat())
+    assert s.provenance.history_trip_ids == ["V00_0001"] and s.provenance.eligible_history_trips == 1
+    _, error = run(
+        spark, table, manifest, reference_trip_id="V00_0002", departure_time=T0.replace(hour=11).isoformat(),
+        history_trip_ids=["V00_0000"],
+    )
+    assert "end before departure: V00_0000" in error
+    d = {r.reference_trip_id: r for r in S.reference_defaults(table, 0.0, 5).collect()}
+    assert d["V00_0001"].history_trip_ids == [] and d["V00_0002"].history_trip_ids == ["V00_0000", "V00_0001"]
+
+
+def test_equal_departures_are_one_moment(spark, trips):
+    ordered = S.ordered_trips(trips)
+    same = spark.range(1000).selectExpr("'V00' AS vin", "timestamp'2026-02-13 12:30:00' AS departure", "id")
+    counted = S.with_trip_counts(same, ordered, __import__("tripweave").SpreadSettings())
+    assert counted.count() == 1000 and counted.select("completed", "started").distinct().count() == 1

@@ -131,3 +131,51 @@ def test_result_does_not_depend_on_buckets_or_partitions(spark):
         b = build_trips(raw.repartition(parts), cfg, SpreadSettings(bucket_seconds=seconds))
         seen.append(sorted(b.trips.collect()) + sorted(b.lineage.collect()))
     assert seen[0] == seen[1] and len(seen[0]) > 100
+
+
+def test_a_bucket_is_cut_by_its_own_rows_not_by_its_share(spark):
+    # 400 of 300,000 rows: far below any share of the table, above the target.
+    df = spark.range(0, 300000, numPartitions=4).select(
+        F.when(F.col("id") < 400, "HOT").otherwise(F.concat(F.lit("V"), F.col("id") % 3000)).alias("vin"),
+        F.when(F.col("id") < 400, F.col("id")).otherwise(F.col("id") * 10_000_000).alias("ts"),
+    )
+    out = with_time_bucket(df, "vin", "ts", SpreadSettings(), hot_rows=100)
+    assert out.filter("vin = 'HOT'").select("bucket").distinct().count() >= 4
+
+
+def test_the_repeat_filter_is_not_quadratic(spark):
+    import time
+
+    from tripweave.functions.paths import drop_repeats, steps_m
+
+    def run(near):
+        step = F.when(F.col("id") == 7, 1e-9 if near else 1e-4).otherwise(1e-4)
+        points = spark.range(60000).select((F.col("id") * 1e-5 + step).alias("latitude"), F.lit(2.0).alias("longitude"), "id")
+        one = points.agg(F.sort_array(F.collect_list(F.struct("id", "latitude", "longitude"))).alias("p"))
+        one = one.select(F.transform("p", lambda x: F.struct(x["latitude"].alias("latitude"), x["longitude"].alias("longitude"))).alias("p"))
+        one = one.withColumn("s", steps_m(F.col("p")))
+        at = time.perf_counter()
+        n = one.select(F.size(drop_repeats(F.col("p"), F.col("s")))).first()[0]
+        return n, time.perf_counter() - at
+
+    run(False)
+    assert run(True)[1] < 10
+
+
+def test_repeat_filter_equals_brute_force(spark):
+    from tripweave.functions.paths import REPEAT_M, drop_repeats, steps_m
+
+    from .helpers import haversine
+
+    rnd = random.Random(5)
+    lat, path = 48.0, []
+    for _ in range(2000):
+        lat += rnd.choice([2e-8, 5e-8, 1e-5])
+        path.append((lat, 2.0))
+    df = spark.createDataFrame([(path,)], "p array<struct<latitude:double,longitude:double>>").withColumn("s", steps_m(F.col("p")))
+    got = [tuple(x) for x in df.select(drop_repeats(F.col("p"), F.col("s"))).first()[0]]
+    kept = []
+    for p in path:
+        if not kept or haversine(kept[-1], p) >= REPEAT_M:
+            kept.append(p)
+    assert got == kept and len(kept) < 1900

@@ -12,6 +12,8 @@ REPEAT_M = 0.01
 # A point this far from its raw predecessor is kept whatever was kept before it:
 # the last kept point lies within REPEAT_M of that predecessor.
 SURELY_KEPT_M = 2 * REPEAT_M
+# Kept points that the repeat filter gathers before it closes a block.
+KEPT_BLOCK = 256
 
 
 def same_place(a: Column, b: Column) -> Column:
@@ -52,15 +54,25 @@ def drop_repeats(points: Column, steps: Column) -> Column:
     """Keep a point only at REPEAT_M or more from the last kept point.
 
     ``points`` must have no equal neighbours; ``steps`` are the distances between
-    them. Almost always every step is at least REPEAT_M and the array is already
-    the answer; only others take the fold, whose growing array makes it quadratic.
+    them. Almost always every step is at least REPEAT_M and the array is already the
+    answer. Others take a fold that gathers kept points in blocks of KEPT_BLOCK, so a
+    step copies one block and now and then the list of blocks, never all that was kept.
     """
+    none = F.slice(points, F.lit(1), F.lit(0))
+    empty = F.struct(F.get(none, F.lit(0)).alias("last"), none.alias("block"), F.array(none).alias("blocks"))
+
+    def step(state: Column, p: Column) -> Column:
+        near = F.coalesce(metres_between(state["last"], p) < REPEAT_M, F.lit(False))
+        full = F.size(state["block"]) >= KEPT_BLOCK
+        taken = F.struct(
+            p.alias("last"),
+            F.when(full, F.array(p)).otherwise(F.concat(state["block"], F.array(p))).alias("block"),
+            F.when(full, F.concat(state["blocks"], F.array(state["block"]))).otherwise(state["blocks"]).alias("blocks"),
+        )
+        return F.when(near, state).otherwise(taken)
+
     folded = F.aggregate(
-        points,
-        F.slice(points, F.lit(1), F.lit(0)),
-        lambda kept, p: F.when(
-            (F.size(kept) > 0) & (metres_between(F.element_at(kept, -1), p) < REPEAT_M), kept
-        ).otherwise(F.concat(kept, F.array(p))),
+        points, empty, step, lambda state: F.flatten(F.concat(state["blocks"], F.array(state["block"])))
     )
     return F.when(F.array_min(steps) < REPEAT_M, folded).otherwise(points)
 

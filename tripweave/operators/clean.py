@@ -38,15 +38,35 @@ def strip(c: Column) -> Column:
     return F.btrim(c.cast("string"), F.lit(WHITE_SPACE))
 
 
+# Forms of time that are read besides ISO text: year first with / or ., compact, month
+# first with /, and month names. Without an offset a time is UTC.
+TIME_FORMS = (
+    "yyyy/M/d[ H:mm[:ss[.SSSSSS]]][XXX]",
+    "yyyy.M.d[ H:mm[:ss[.SSSSSS]]][XXX]",
+    "yyyyMMdd['T'HHmmss[.SSSSSS]][XXX]",
+    "M/d/yyyy[ H:mm[:ss[.SSSSSS]]][XXX]",
+    "MMM d[,] yyyy[ H:mm[:ss[.SSSSSS]]][XXX]",
+    "d MMM yyyy[ H:mm[:ss[.SSSSSS]]][XXX]",
+)
+
+
 def as_utc(df: DataFrame, name: str) -> Column:
+    """A time column as TIMESTAMP; null where it holds no time.
+
+    Times of any type, ISO text and the TIME_FORMS are read, row by row; numbers are
+    nanoseconds since 1970.
+    """
     kind = df.schema[name].dataType
     if isinstance(kind, T.TimestampType):
         return F.col(name)
     if isinstance(kind, (T.TimestampNTZType, T.DateType)):
         return F.col(name).cast("timestamp")
+    if isinstance(kind, T.NumericType):
+        return F.timestamp_micros(F.floor(F.col(name).cast("decimal(28,0)") / 1000).cast("bigint"))
     text = strip(F.col(name))
-    # Spark would read a bare time of day as today's; a value must start with a year.
-    return F.when(F.substring(text, 5, 1).isin("-", ""), F.try_to_timestamp(text))
+    # Spark would read a bare time of day as today's; ISO text must start with a year.
+    iso = F.when(F.substring(text, 5, 1).isin("-", ""), F.try_to_timestamp(text))
+    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(form)) for form in TIME_FORMS])
 
 
 def number_of(text: Column) -> Column:

@@ -385,7 +385,3 @@ def rejections(result: DataFrame) -> DataFrame:
         F.timestamp_micros("end_us").alias("EndTrip"),
         F.inline("reasons"),
     )
-
-
-def sorted_rejections(rejected: DataFrame) -> DataFrame:
-    return rejected.orderBy(*[F.col(c).asc_nulls_last() for c in ("VIN", "StartTrip", "EndTrip", "reason")])

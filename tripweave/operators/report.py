@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import BuildSettings
 from ..functions.geo import km_between
-from ..schema import FEATURES
+from ..schema import FEATURE_INPUTS
 from .spread import exact_quantiles
 
 
@@ -150,22 +150,14 @@ def feature_audit(samples: DataFrame, sources: Column | None = None) -> DataFram
     def source(of: str) -> Column:
         return F.lit("derived") if sources is None else F.coalesce(sources[of], F.lit("derived"))
 
-    # Which input a feature's name points to; first match wins.
-    def origin_of(name: str) -> str:
-        if name.startswith(("hour_", "weekday_", "month_", "weekend")):
-            return "departure_time"
-        if name.startswith("history_") or "destination_" in name:
-            return "history"
-        return "origin" if name.startswith("origin_") else "trajectory_prefix"
-
     rows = F.array(
         *[
             F.struct(
                 F.lit(name).alias("feature"),
                 F.col(name).cast("double").alias("value"),
-                source(origin_of(name)).alias("source"),
+                source(read).alias("source"),
             )
-            for name in FEATURES
+            for name, read in FEATURE_INPUTS.items()
         ]
     )
     return samples.select("sample_id", F.inline(rows))

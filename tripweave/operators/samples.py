@@ -198,9 +198,3 @@ def checked_targets(samples: DataFrame) -> DataFrame:
     ok = F.coalesce(_finite(lat) & _finite(lon), F.lit(False))
     fail = F.raise_error(F.lit("Destination targets contain missing or non-finite values")).cast("array<double>")
     return samples.withColumn("target", F.when(ok, F.array(lat, lon)).otherwise(fail))
-
-
-def target_violations(samples: DataFrame) -> DataFrame:
-    """One row: samples whose target is off the globe or not finite."""
-    ok = in_bounds(F.col("actual_latitude"), F.col("actual_longitude"))
-    return samples.agg(F.count(F.lit(1)).alias("samples"), F.count_if(~ok).alias("violations"))

@@ -15,8 +15,8 @@ from ..functions.text import iso_utc
 from ..schema import FEATURES, REQUESTS
 from ..session import stage
 from .clean import strip
-from .samples import completed_destination, normalised_trips, numbered_trips, pseudonym, with_history
-from .spread import with_neighbour_marks, with_time_bucket
+from .samples import completed_destination, normalised_trips, numbered_trips, pseudonym
+from .spread import with_neighbour_marks, with_ordinal, with_time_bucket
 
 # Request defaults and how near a custom prefix must start.
 DEFAULT_TOP_K = 5
@@ -35,13 +35,13 @@ class Scenarios:
 def complete_requests(requests: DataFrame) -> DataFrame:
     """Known columns only, defaults filled, texts trimmed, repeated history ids dropped."""
     known = {f.name: f.dataType for f in REQUESTS.fields}
-    unknown = sorted(set(requests.columns) - set(known))
+    unknown = sorted(set(requests.columns) - set(known) - {"parse_error", "line"})
     if unknown:
         raise ValueError(f"Unknown request columns: {unknown}")
     filled = requests.select(
         *[
             (F.col(n) if n in requests.columns else F.lit(None)).cast(t).alias(n)
-            for n, t in known.items()
+            for n, t in (known | {"parse_error": "string", "line": "bigint"}).items()
         ]
     )
     return (
@@ -84,11 +84,14 @@ def scenario_hash() -> Column:
 
 
 def validated(requests: DataFrame) -> DataFrame:
-    """Completed requests with ``scenario_id`` and ``error``; equal requests are one scenario."""
+    """Completed requests with ``scenario_id`` and ``error``; equal requests are one scenario,
+    lines that could not be read are one each."""
     done = complete_requests(requests)
+    unread = F.concat(scenario_hash(), F.lit(":"), F.col("line").cast("string"))
     return (
-        done.withColumn("scenario_id", scenario_hash())
-        .withColumn("error", request_error())
+        done.withColumn("scenario_id", F.when(F.col("line").isNotNull(), unread).otherwise(scenario_hash()))
+        .withColumn("error", F.coalesce("parse_error", request_error()))
+        .drop("parse_error", "line")
         .dropDuplicates(["scenario_id"])
     )
 
@@ -99,29 +102,46 @@ def _blame(error: Column, when: Column, message: Column | str) -> Column:
     return F.coalesce(error, F.when(when, text))
 
 
-def _with_completed(requests: DataFrame, trips: DataFrame, spread: SpreadSettings) -> DataFrame:
-    """Append ``completed``: ordinal of the vehicle's last trip that ended before departure.
-
-    Trips of a vehicle do not overlap, so those ended before a moment are exactly
-    the ordinals up to that one. Requests and trip ends share one bucketed timeline.
-    """
-    ends = trips.select(
-        F.col("VIN").alias("vin"), F.unix_micros("EndTrip").alias("_at"), F.col("ordinal").alias("_mark")
-    )
-    # At one instant the request sorts first: only earlier ends count.
-    asked = requests.withColumn("_at", F.unix_micros("departure")).withColumn("_order", F.col("_at") * 2)
-    line = asked.unionByName(ends.withColumn("_order", F.col("_at") * 2 + 1), allowMissingColumns=True)
+def _last_before(moments: DataFrame, marked: DataFrame, name: str, spread: SpreadSettings) -> DataFrame:
+    """Append ``name``: the mark of the last row of ``marked`` (vin, _at, _mark) before each
+    moment (vin, departure), 0 if there is none. Both share one bucketed timeline."""
+    asked = moments.withColumn("_at", F.unix_micros("departure")).withColumn("_order", F.col("_at") * 2)
+    # At one instant the moment sorts first: only what is earlier counts.
+    line = asked.unionByName(marked.withColumn("_order", F.col("_at") * 2 + 1), allowMissingColumns=True)
     line = with_time_bucket(line, "vin", "_at", spread, "_bucket")
     return (
         with_neighbour_marks(line, ["vin"], "_bucket", "_order", "_mark")
-        .filter(F.col("scenario_id").isNotNull())
-        .withColumn("completed", F.coalesce("prev_mark", F.lit(0)))
-        .drop("_at", "_order", "_bucket", "_mark", "prev_mark", "next_mark")
+        .filter(F.col("departure").isNotNull())
+        .withColumn(name, F.coalesce("prev_mark", F.lit(0)))
+        .select(*moments.columns, name)
     )
 
 
+def with_trip_counts(rows: DataFrame, trips: DataFrame, spread: SpreadSettings) -> DataFrame:
+    """Append ``completed`` and ``started``: how many trips of ``vin`` had ended, and how
+    many had begun, before ``departure``.
+
+    ``trips``: output of ``ordered_trips``. Only distinct (vin, departure) stand on the
+    timelines, whatever the rows carry; the counts come back by equality. Trips may
+    overlap: ends are numbered for themselves.
+    """
+    starts = trips.select(F.col("VIN").alias("vin"), F.unix_micros("StartTrip").alias("_at"), F.col("ordinal").alias("_mark"))
+    ends = trips.select(F.col("VIN").alias("vin"), F.unix_micros("EndTrip").alias("_at"), "trip_id")
+    ends = with_time_bucket(ends, "vin", "_at", spread, "_bucket")
+    ends = stage(with_ordinal(ends, ["vin"], "_bucket", ["_at", "trip_id"], "_mark").select("vin", "_at", "_mark"), "ends")
+    moments = stage(rows.filter("departure IS NOT NULL").select("vin", "departure").distinct(), "moments")
+    counted = _last_before(_last_before(moments, ends, "completed", spread), starts, "started", spread)
+    return rows.join(counted, ["vin", "departure"], "left").withColumns(
+        {n: F.coalesce(n, F.lit(0)) for n in ("completed", "started")}
+    )
+
+
+def ended_before(end: Column, departure: Column) -> Column:
+    return F.coalesce(end < departure, F.lit(False))
+
+
 def located_requests(requests: DataFrame, trips: DataFrame, spread: SpreadSettings) -> DataFrame:
-    """Requests with their reference trip, departure and ``completed``.
+    """Requests with their reference trip, departure and the counts of trips before it.
 
     ``trips``: output of ``ordered_trips``. Errors: earlier ones, unknown trip, bad time.
     """
@@ -140,14 +160,14 @@ def located_requests(requests: DataFrame, trips: DataFrame, spread: SpreadSettin
         error, F.col("departure_time").isNotNull() & override.isNull(), "departure_time is not a timestamp"
     )
     found = found.withColumn("error", error).withColumn("departure", F.coalesce(override, F.col("ref.StartTrip")))
-    return _with_completed(found, trips, spread)
+    return with_trip_counts(found, trips, spread)
 
 
 def eligible_history(located: DataFrame) -> DataFrame:
     """How much history each request may use: a trip counts when it ended before
-    departure and is not the reference trip: ordinals 1..completed without its own."""
-    own = (F.col("ref.ordinal") <= F.col("completed")).cast("int")
-    return located.withColumn("eligible_count", F.col("completed") - F.coalesce(own, F.lit(0)))
+    departure and is not the reference trip."""
+    own = ended_before(F.col("ref.EndTrip"), F.col("departure")).cast("int")
+    return located.withColumn("eligible_count", F.col("completed") - own)
 
 
 def eligible_history_rows(located: DataFrame, trips: DataFrame) -> DataFrame:
@@ -156,58 +176,73 @@ def eligible_history_rows(located: DataFrame, trips: DataFrame) -> DataFrame:
     Ordinals are written out in blocks, so no array grows with a vehicle's trips.
     """
     block = 65536
-    blocks = located.filter("error IS NULL AND completed > 0").select(
+    blocks = located.filter("error IS NULL AND started > 0").select(
         "scenario_id",
         F.col("vin").alias("VIN"),
-        F.col("ref.ordinal").alias("_own"),
-        "completed",
-        F.explode(F.expr(f"sequence(0L, (completed - 1) div {block})")).alias("_block"),
+        "reference_trip_id",
+        "departure",
+        "started",
+        F.explode(F.expr(f"sequence(0L, (started - 1) div {block})")).alias("_block"),
     )
     low = F.col("_block") * block + 1
-    high = F.least(F.col("completed"), F.col("_block") * block + block)
-    numbers = blocks.select("scenario_id", "VIN", "_own", F.explode(F.sequence(low, high)).alias("ordinal"))
+    high = F.least(F.col("started"), F.col("_block") * block + block)
+    numbers = blocks.select(
+        "scenario_id", "VIN", "reference_trip_id", "departure", F.explode(F.sequence(low, high)).alias("ordinal")
+    )
     return (
-        numbers.filter(~F.col("ordinal").eqNullSafe(F.col("_own")))
-        .join(trips.select("VIN", "ordinal", "trip_id"), ["VIN", "ordinal"])
+        numbers.join(trips.select("VIN", "ordinal", "trip_id", "EndTrip"), ["VIN", "ordinal"])
+        .filter((F.col("EndTrip") < F.col("departure")) & (F.col("trip_id") != F.col("reference_trip_id")))
         .select("scenario_id", "ordinal", "trip_id")
     )
 
 
+def last_ended(rows: DataFrame, key: str, trips: DataFrame, item: Column) -> DataFrame:
+    """(key, item) of the last ``_limit`` eligible trips by start, for rows with VIN,
+    reference_trip_id, departure, completed, started and _limit.
+
+    Of the trips that had begun, ``started - completed`` were still under way. So many
+    numbers more than the limit, and one for the reference trip, hold the answer.
+    """
+    reach = F.col("_limit") + F.col("started") - F.col("completed")
+    numbers = F.sequence(F.greatest(F.lit(1).cast("bigint"), F.col("started") - reach), F.col("started"))
+    found = (
+        rows.filter("started > 0 AND _limit > 0")
+        .select(key, "VIN", "reference_trip_id", "departure", "_limit", F.explode(numbers).alias("ordinal"))
+        .join(trips, ["VIN", "ordinal"])
+        .filter((F.col("EndTrip") < F.col("departure")) & (F.col("trip_id") != F.col("reference_trip_id")))
+    )
+    latest = found.groupBy(key, "_limit").agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    size = F.size("_items")
+    return latest.select(
+        key, F.explode(F.slice("_items", F.greatest(size - F.col("_limit"), F.lit(0)) + 1, F.col("_limit"))).alias("item")
+    )
+
+
 def chosen_history(located: DataFrame, trips: DataFrame, cfg: SampleSettings) -> DataFrame:
     """(scenario_id, history, history_ids, rejected_ids) per request.
 
-    Automatic: the last min(limit, maximum) eligible ordinals, at most maximum + 1
-    numbers before the reference trip is taken out. Selected: the given ids, eligible or
-    rejected. Both look trips up by an equality on a unique key.
+    Automatic: the last min(limit, maximum) eligible trips by start. Selected: the given
+    ids, eligible or rejected. Both look trips up by an equality on a unique key and
+    compare each trip's own end with the departure.
     """
-    sound = located.filter(F.col("error").isNull())
+    sound = located.filter(F.col("error").isNull()).withColumn("VIN", F.col("vin"))
     limit = F.least(F.coalesce("history_limit", F.lit(cfg.max_history_trips)), F.lit(cfg.max_history_trips))
-    own, done = F.col("ref.ordinal"), F.col("completed")
-    recent = F.filter(
-        F.sequence(F.greatest(F.lit(1).cast("bigint"), done - limit), done), lambda x: x != own
-    )
-    taken = F.least(limit, F.size(recent))
-    automatic = F.when(
-        (done > 0) & (limit > 0), F.slice(recent, F.size(recent) - taken + 1, taken)
-    ).otherwise(F.array().cast("array<bigint>"))
     item = F.struct(
         F.col("ordinal"),
         F.col("trip_id"),
         completed_destination().alias("h"),
     )
     slim = trips.select("VIN", "ordinal", "trip_id", "EndTrip", "end_latitude", "end_longitude")
-    by_number = (
-        sound.filter(F.col("history_trip_ids").isNull())
-        .select("scenario_id", F.col("vin").alias("VIN"), F.explode(automatic).alias("ordinal"))
-        .join(slim, ["VIN", "ordinal"])
-        .select("scenario_id", item.alias("item"), F.lit(None).cast("string").alias("rejected"))
+    automatic = sound.filter(F.col("history_trip_ids").isNull()).withColumn("_limit", limit)
+    by_number = last_ended(automatic, "scenario_id", slim, item).select(
+        "scenario_id", "item", F.lit(None).cast("string").alias("rejected")
     )
     by_id = (
         sound.filter(F.col("history_trip_ids").isNotNull())
-        .select("scenario_id", F.col("vin").alias("VIN"), "completed", own.alias("own"), F.explode("history_trip_ids").alias("trip_id"))
+        .select("scenario_id", "VIN", "departure", "reference_trip_id", F.explode("history_trip_ids").alias("trip_id"))
         .join(slim, ["VIN", "trip_id"], "left")
     )
-    fits = F.coalesce((F.col("ordinal") <= F.col("completed")) & (F.col("ordinal") != F.col("own")), F.lit(False))
+    fits = ended_before(F.col("EndTrip"), F.col("departure")) & (F.col("trip_id") != F.col("reference_trip_id"))
     by_id = by_id.select(
         "scenario_id", F.when(fits, item).alias("item"), F.when(~fits, F.col("trip_id")).alias("rejected")
     )
@@ -373,26 +408,39 @@ def prepare_scenarios(
 def reference_defaults(
     trips: DataFrame, fraction: float, history_limit: int, spread: SpreadSettings | None = None
 ) -> DataFrame:
-    """What a request form starts from, for every (vin, trip).
+    """What a request form starts from, for every (vin, trip); trips may overlap.
 
-    Earlier trips of a vehicle have all ended, so ``ordinal - 1`` of them are eligible
-    and the default history is the last ``history_limit``.
+    ``eligible_history_trips`` counts what :func:`eligible_history_rows` lists.
     """
     spread = spread or SpreadSettings()
-    ordered = ordered_trips(trips, spread)
-    seen = with_history(ordered, history_limit, spread, F.col("trip_id"))
+    ordered = stage(ordered_trips(trips, spread), "ordered")
+    asked = ordered.select(
+        F.col("VIN").alias("vin"), "trip_id", "trajectory", "end_latitude", "end_longitude", "EndTrip",
+        F.col("StartTrip").alias("departure"),
+    )
+    counted = stage(with_trip_counts(asked, ordered, spread).withColumn("reference_trip_id", F.col("trip_id")), "defaults")
+    keyed = counted.select(
+        F.struct("vin", "reference_trip_id").alias("_asked"), F.col("vin").alias("VIN"), "reference_trip_id",
+        "departure", "completed", "started", F.lit(int(history_limit)).cast("bigint").alias("_limit"),
+    )
+    slim = ordered.select("VIN", "ordinal", "trip_id", "EndTrip")
+    chosen = last_ended(keyed, "_asked", slim, F.struct("ordinal", "trip_id")).groupBy("_asked").agg(
+        F.transform(F.array_sort(F.collect_list("item")), lambda x: x["trip_id"]).alias("history")
+    )
+    chosen = chosen.select("_asked.vin", "_asked.reference_trip_id", "history")
+    seen = counted.join(chosen, ["vin", "reference_trip_id"], "left")
     prefix = observed_prefix(F.col("trajectory"), F.lit(float(fraction)))
     origin = first_of(F.col("trajectory"))
     return seen.select(
-        F.col("VIN").alias("vin"),
-        F.col("trip_id").alias("reference_trip_id"),
-        F.col("StartTrip").alias("departure_time"),
+        "vin",
+        "reference_trip_id",
+        F.col("departure").alias("departure_time"),
         origin["latitude"].alias("origin_latitude"),
         origin["longitude"].alias("origin_longitude"),
         F.lit(float(fraction)).alias("prefix_fraction"),
         prefix.alias("prefix_points"),
-        (F.col("ordinal") - 1).alias("eligible_history_trips"),
-        F.col("history").alias("history_trip_ids"),
-        F.col("end_latitude").alias("actual_latitude"),
-        F.col("end_longitude").alias("actual_longitude"),
-    )
+        F.col("completed").alias("eligible_history_trips"),
+        F.coalesce("history", F.array().cast("array<string>")).alias("history_trip_ids"),
+        "end_latitude",
+        "end_longitude",
+    ).withColumnsRenamed({"end_latitude": "actual_latitude", "end_longitude": "actual_longitude"})

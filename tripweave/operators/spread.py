@@ -14,14 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SpreadSettings
+from ..session import stage
 
 
-# A bucket is hot when it holds more than this share of all rows, so there are fewer
-# than 1/HOT_SHARE of them; each is cut into HOT_PIECES of about equal row counts.
-HOT_SHARE = 1.0 / 512
-HOT_PIECES = 256
-# Below this a bucket is no burden to a task, whatever its share.
+# A bucket of more rows than this is cut, however many rows the table has.
 HOT_ROWS = 100000
+# Numbers of pieces that a hot bucket may be cut into; it takes the least that brings a
+# piece to HOT_ROWS. Quantile marks are constants, so each number is one aggregation.
+PIECES = (16, 256, 4096)
 
 
 def with_time_bucket(
@@ -36,40 +36,36 @@ def with_time_bucket(
 
     Buckets are fixed spans of time. A span that is still hot (a key that stands for
     many vehicles, a replay stamped within one hour) is cut at quantiles of its own
-    times. The hot list is found at once, by counting two columns of ``df``; it is
-    bounded, so it may go to every task. Pass a staged table.
+    times, into as many pieces as its own count asks for. Sizes are counted at once,
+    from two columns of ``df``; the cuts stay a table and are joined. Pass a staged
+    table.
     """
     span = F.floor(F.col(ts_us) / F.lit(spread.bucket_us))
     slim = df.select(F.col(key).alias("_key"), span.alias("_span"), F.col(ts_us).alias("_ts"))
     sizes = slim.groupBy("_key", "_span").agg(F.count(F.lit(1)).alias("_rows"))
-    all_rows = sizes.agg(F.coalesce(F.sum("_rows"), F.lit(0))).scalar()
-    hot = sizes.filter(
-        (F.col("_rows") > hot_rows) & (F.col("_rows") > F.lit(HOT_SHARE) * all_rows)
-    ).select("_key", "_span").collect()
+    hot = sizes.filter(F.col("_rows") > hot_rows)
     tagged = df.withColumn("_span", span)
     piece = F.lit(0)
-    if hot:
-        spark = df.sparkSession
-        listed = F.broadcast(spark.createDataFrame(hot, "_key string, _span bigint"))
-        marks = [i / HOT_PIECES for i in range(1, HOT_PIECES)]
-        cuts = (
-            slim.join(listed, ["_key", "_span"])
-            .groupBy("_key", "_span")
-            .agg(F.percentile_approx("_ts", marks, 10000).alias("_cuts"))
-            .collect()
-        )
-        table = spark.createDataFrame(cuts, "_key string, _span bigint, _cuts array<bigint>")
-        tagged = (
-            tagged.join(
-                F.broadcast(table.withColumnRenamed("_span", "_hot_span")),
-                (F.col(key) == F.col("_key")) & (F.col("_span") == F.col("_hot_span")),
-                "left",
+    if not hot.isEmpty():
+        cuts = None
+        for least, pieces in zip((1, *PIECES), PIECES):
+            fits = F.col("_rows") > least * hot_rows
+            if pieces != PIECES[-1]:
+                fits &= F.col("_rows") <= pieces * hot_rows
+            marks = [i / pieces for i in range(1, pieces)]
+            found = (
+                slim.join(hot.filter(fits).select("_key", "_span"), ["_key", "_span"])
+                .groupBy("_key", "_span")
+                .agg(F.percentile_approx("_ts", marks, 10 * pieces).alias("_cuts"))
             )
-            .drop("_key", "_hot_span")
-        )
+            cuts = found if cuts is None else cuts.unionByName(found)
+        cuts = stage(cuts.withColumnsRenamed({"_span": "_hot_span", "_key": "_hot_key"}), "cuts")
+        tagged = tagged.join(
+            cuts, (F.col(key) == F.col("_hot_key")) & (F.col("_span") == F.col("_hot_span")), "left"
+        ).drop("_hot_key", "_hot_span")
         below = F.size(F.filter("_cuts", lambda c: c <= F.col(ts_us)))
         piece = F.when(F.col("_cuts").isNull(), 0).otherwise(below)
-    out = tagged.withColumn(name, F.col("_span") * F.lit(2 * HOT_PIECES) + piece)
+    out = tagged.withColumn(name, F.col("_span") * F.lit(2 * PIECES[-1]) + piece)
     return out.drop("_span", "_cuts")
 
 
@@ -151,10 +147,6 @@ def with_neighbour_marks(
     )
 
 
-# Bounds tables up to this many groups are small enough to ship to every task.
-BROADCAST_GROUPS = 10000
-
-
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -184,11 +176,9 @@ def exact_quantiles(
         *[F.when(whole, F.col("_min")).otherwise(F.col(f"_lo_{n}")).alias(f"_lo_{n}") for n in quantiles],
         *[F.when(whole, F.col("_max")).otherwise(F.col(f"_hi_{n}")).alias(f"_hi_{n}") for n in quantiles],
     )
-    # Few groups (the usual case) go to every task; with many, no group is large
-    # against the whole and an ordinary join on the keys serves.
-    found = bounds.limit(BROADCAST_GROUPS + 1).collect()
-    if len(found) <= BROADCAST_GROUPS:
-        bounds = F.broadcast(df.sparkSession.createDataFrame(found, bounds.schema))
+    # Written before the join, so that adaptive execution knows its size and may split
+    # the other side.
+    bounds = stage(bounds, "bounds")
 
     match = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
     v = F.col("_v")

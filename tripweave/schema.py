@@ -15,22 +15,8 @@ def _struct(*cols: tuple[str, T.DataType]) -> T.StructType:
 
 
 LATLON = _struct(("latitude", D), ("longitude", D))
-POINT = _struct(("latitude", D), ("longitude", D), ("altitude", D))
-HISTORY_ITEM = _struct(("latitude", D), ("longitude", D), ("completed_at", D))
-
-RAW = _struct(
-    ("vin", S),
-    ("triggerOrContext", S),
-    ("name", S),
-    ("scalarValue", S),
-    ("timeSeriesValue", S),
-    ("vehicleCollectionTime", S),
-    ("inCdpTime", S),
-    ("fuel", S),
-    ("hyb", S),
-    ("model", S),
-)
 
+# Columns of the trips table, in order.
 TRIP_COLUMNS = (
     "VIN",
     "trip_id",
@@ -74,7 +60,7 @@ TRIPS = _struct(
     ("model", S),
 )
 
-# What the sample and scenario steps need from a trips table.
+# What the sample and scenario steps need from a trips table.
 TRIPS_NEEDED = (
     "VIN",
     "trip_id",
@@ -85,6 +71,7 @@ TRIPS_NEEDED = (
     "end_longitude",
 )
 
+# Fields of a scenario request.
 REQUESTS = _struct(
     ("vin", S),
     ("reference_trip_id", S),
@@ -98,30 +85,32 @@ REQUESTS = _struct(
     ("top_k", I),
 )
 
-# The model's input columns, in model order.
-FEATURES = (
-    "origin_latitude",
-    "origin_longitude",
-    "hour_sin",
-    "hour_cos",
-    "weekday_sin",
-    "weekday_cos",
-    "month_sin",
-    "month_cos",
-    "weekend",
-    "prefix_fraction",
-    "prefix_last_latitude",
-    "prefix_last_longitude",
-    "prefix_displacement_km",
-    "prefix_path_km",
-    "prefix_bearing_sin",
-    "prefix_bearing_cos",
-    "history_count",
-    "last_destination_latitude",
-    "last_destination_longitude",
-    "mean_destination_latitude",
-    "mean_destination_longitude",
-)
+# The model's input columns, in model order, each with the input of a request
+# that it is made from.
+FEATURE_INPUTS = {
+    "origin_latitude": "origin",
+    "origin_longitude": "origin",
+    "hour_sin": "departure_time",
+    "hour_cos": "departure_time",
+    "weekday_sin": "departure_time",
+    "weekday_cos": "departure_time",
+    "month_sin": "departure_time",
+    "month_cos": "departure_time",
+    "weekend": "departure_time",
+    "prefix_fraction": "trajectory_prefix",
+    "prefix_last_latitude": "trajectory_prefix",
+    "prefix_last_longitude": "trajectory_prefix",
+    "prefix_displacement_km": "trajectory_prefix",
+    "prefix_path_km": "trajectory_prefix",
+    "prefix_bearing_sin": "trajectory_prefix",
+    "prefix_bearing_cos": "trajectory_prefix",
+    "history_count": "history",
+    "last_destination_latitude": "history",
+    "last_destination_longitude": "history",
+    "mean_destination_latitude": "history",
+    "mean_destination_longitude": "history",
+}
+FEATURES = tuple(FEATURE_INPUTS)
 
 
 def require_columns(df: DataFrame, needed: Iterable[str], what: str) -> None:

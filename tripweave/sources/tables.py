@@ -140,13 +140,41 @@ def load_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """Scenario requests as JSON lines. A key outside the request schema is an error."""
-    allowed = {f.name for f in REQUESTS.fields}
-    lines = spark.read.text(path)
-    keys = lines.select(F.explode(F.json_object_keys("value")).alias("key"))
-    odd = [r["key"] for r in keys.filter(~F.col("key").isin(*sorted(allowed))).distinct().limit(20).collect()]
-    if odd:
-        raise ValueError(f"Unknown inference request settings: {sorted(odd)}")
-    return lines.select(F.from_json("value", REQUESTS).alias("r")).select("r.*")
-
-
+    """Scenario requests as JSON lines, one row per line that is not blank.
+
+    ``parse_error`` says why a line is no request (null for a sound one): it is not one
+    JSON object, names settings that do not exist, or holds a value of another type.
+    Each bad line keeps a row and an error of its own, told apart by ``line``.
+    """
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    # All fields as text first, so that a value of another type is seen, not dropped. In
+    # brackets, text after the object makes the line malformed.
+    loose = T.ArrayType(T.StructType([T.StructField(f.name, T.StringType()) for f in REQUESTS.fields]))
+    parsed = lines.select(
+        "value",
+        F.monotonically_increasing_id().alias("_line"),
+        F.from_json(F.concat(F.lit("["), "value", F.lit("]")), loose).alias("_all"),
+        F.json_object_keys("value").alias("_keys"),
+    )
+    one = (F.size("_all") == 1) & F.col("_keys").isNotNull()
+    parsed = parsed.withColumn("r", F.when(one, F.get("_all", F.lit(0))))
+    typed, wrong = [], []
+    for f in REQUESTS.fields:
+        text = F.col(f"r.{f.name}")
+        if isinstance(f.dataType, T.StringType):
+            value = text
+        elif isinstance(f.dataType, T.ArrayType):
+            value = F.from_json(text, f.dataType)
+        else:
+            value = text.try_cast(f.dataType)
+        typed.append(value.alias(f.name))
+        wrong.append(F.when(text.isNotNull() & value.isNull(), F.lit(f.name)))
+    known = F.array(*[F.lit(f.name) for f in REQUESTS.fields])
+    unknown = F.array_sort(F.array_except("_keys", known))
+    mistyped = F.array_compact(F.array(*wrong))
+    error = (
+        F.when(F.coalesce(~one, F.lit(True)), "The line is not one JSON object")
+        .when(F.size(unknown) > 0, F.concat(F.lit("Unknown settings: "), F.array_join(unknown, ", ")))
+        .when(F.size(mistyped) > 0, F.concat(F.lit("Values of the wrong type: "), F.array_join(mistyped, ", ")))
+    )
+    return parsed.select(*typed, error.alias("parse_error"), F.when(error.isNotNull(), F.col("_line")).alias("line"))

@@ -209,3 +209,30 @@ def _(spark, sf):
         F.col("reference_trip_id").alias("trip_id"), us("departure_time").alias("departure_us"), *[F.round(c, 6).alias(c) for c in ("origin_latitude", "origin_longitude")],
         F.col("eligible_history_trips").alias("eligible"), joined("history_trip_ids").alias("ids"),
     )
+
+
+@register("eligible_history_rows", "located", """SELECT r.trip_id, t.trip_id AS eligible_trip_id FROM located r
+  JOIN accepted t ON t.vin=r.vin AND t.e_us < r.dep AND t.trip_id <> r.trip_id WHERE r.flaw IS NULL""")
+def _(spark, sf):
+    d, ordered = _located(spark, sf)
+    named = d.select("scenario_id", F.col("reference_trip_id").alias("asked"))
+    rows = S.eligible_history_rows(d, ordered).join(named, "scenario_id")
+    return rows.select(F.col("asked").alias("trip_id"), F.col("trip_id").alias("eligible_trip_id"))
+
+
+def _overlapping(spark, sf) -> DataFrame:
+    """Trips of the build whose ends are moved by up to three days, so that many overlap."""
+    t = run(spark, sf).trips
+    hours = F.pmod(F.floor(us("StartTrip") / 1_000_000), F.lit(73))
+    return t.withColumn("EndTrip", F.timestamp_micros(us("EndTrip") + hours * F.lit(3_600_000_000)))
+
+
+_MOVED = "(SELECT vin, trip_id, ordinal, s_us, e_us + ((s_us // 1000000) % 73) * 3600000000 AS end_us FROM accepted)"
+
+
+@register("overlapping_history", "accepted", f"""SELECT trip_id, count(earlier) AS eligible, coalesce(string_agg(earlier, ';' ORDER BY o) FILTER (back <= 5), '') AS ids
+  FROM (SELECT a.trip_id, b.trip_id AS earlier, b.ordinal AS o, row_number() OVER (PARTITION BY a.trip_id ORDER BY b.ordinal DESC NULLS LAST) AS back
+    FROM {_MOVED} a LEFT JOIN {_MOVED} b ON b.vin = a.vin AND b.end_us < a.s_us AND b.trip_id <> a.trip_id) GROUP BY trip_id""")
+def _(spark, sf):
+    d = S.reference_defaults(_overlapping(spark, sf), 0.0, 5, SPREAD)
+    return d.select(F.col("reference_trip_id").alias("trip_id"), F.col("eligible_history_trips").alias("eligible"), joined("history_trip_ids").alias("ids"))
