@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import grid_centre, with_error_km
 
+# Columns of the predictions table, in order.
 PREDICTION_COLUMNS = (
     "sample_id",
     "VIN",

@@ -130,7 +130,7 @@ def model_arrays(
 ) -> DataFrame:
     """Inputs, targets and weights of a sequence model, one row per sample."""
     statistics = statistics if statistics is not None else context_statistics(samples)
-    words = words if words is not None else vocabulary(samples)
+    words = require_vocabulary(words if words is not None else vocabulary(samples))
     ready = labelled(scaled_context(samples, statistics), words)
     return ready.select(
         "sample_id",

@@ -5,11 +5,13 @@ Trees have no SQL counterpart; the driver checks rows only. The forest is kept s
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import functions as F
 
 from tripweave.config import ForestSettings, ProjectSettings
+from tripweave.functions.geo import km_between
 from tripweave.models.forest import load_model
 from tripweave.models.forest import train
 from tripweave.operators import evaluate
@@ -38,6 +40,42 @@ def _(spark, sf):
     return model(spark, sf).predict(run(spark, sf).samples, 5).drop("top_k_candidates")
 
 
+@register("prediction_checks", "samples", """SELECT sample_id, split, actual_cell, true AS error_holds, true AS rank_holds, true AS order_holds FROM samples""")
+def _(spark, sf):
+    """What must hold of every prediction, whatever the trees say."""
+    p = model(spark, sf).predict(run(spark, sf).samples, 5)
+    c, rank = F.col("top_k_candidates"), F.col("actual_rank")
+    away = km_between(
+        F.struct(F.col("predicted_latitude").alias("latitude"), F.col("predicted_longitude").alias("longitude")),
+        F.struct(F.col("actual_latitude").alias("latitude"), F.col("actual_longitude").alias("longitude")),
+    )
+    among = F.filter(c, lambda x: x["cell"] == F.col("actual_cell"))
+    ranked = F.when(F.size(among) > 0, F.get(among, F.lit(0))["rank"] == rank).otherwise(rank.isNull() | (rank > F.size(c)))
+    ordered = F.forall(
+        F.sequence(F.lit(1), F.size(c)),
+        lambda i: (F.get(c, i - 1)["rank"] == i)
+        & ((i == 1) | (F.get(c, i - 1)["probability"] <= F.get(c, F.greatest(i - 2, F.lit(0)))["probability"])),
+    )
+    return p.select(
+        "sample_id", "split", "actual_cell", (F.abs(F.col("error_km") - away) < 1e-9).alias("error_holds"),
+        F.coalesce(ranked, F.lit(False)).alias("rank_holds"), ordered.alias("order_holds"),
+    )
+
+
+@register("reload_parity", "samples", "SELECT split, count(*) AS predicted, 0::BIGINT AS differing FROM samples GROUP BY split")
+def _(spark, sf):
+    """A model read back predicts what the saved one does, over all splits."""
+    path = f"{staging_root(spark)}/parity-{uuid.uuid4().hex}"
+    samples = run(spark, sf).samples
+    model(spark, sf).save(path)
+    cols = ["predicted_latitude", "predicted_longitude", "predicted_cell", "actual_rank", "error_km"]
+    here = model(spark, sf).predict(samples, 3).select("sample_id", "split", F.struct(*cols).alias("here"))
+    back = load_model(spark, path).predict(samples, 3).select("sample_id", F.struct(*cols).alias("back"))
+    return here.join(back, "sample_id").groupBy("split").agg(
+        F.count(F.lit(1)).alias("predicted"), F.count_if(~F.col("here").eqNullSafe(F.col("back"))).alias("differing")
+    )
+
+
 @register("model_metrics")
 def _(spark, sf):
     return evaluate.evaluate_split(model(spark, sf).predict(run(spark, sf).samples, 5), "test", CFG.evaluation)
