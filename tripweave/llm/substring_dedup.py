@@ -144,9 +144,13 @@ def _keep_words(window: int):
     return run
 
 
-def _repeated(rows: DataFrame, times: Column) -> DataFrame:
-    """(class, places): the places of (class, value, place) whose value repeats."""
+def _repeated(rows: DataFrame, times: Column, scratch: Scratch) -> DataFrame:
+    """(class, places): the places of (class, value, place) whose value repeats.
+
+    Repeated values are written before the join, whose tasks Spark can split then.
+    """
     often = rows.groupBy("value").agg(times.alias("times")).filter("times > 1").select("value")
+    often = scratch.keep(often, "often")
     return rows.join(often, "value").groupBy("class").agg(F.collect_set("place").alias("places"))
 
 
@@ -193,7 +197,7 @@ class Repeats:
         classes = keep(merged.select("class", "sha", "copies", "doc_id"), "classes")
         named = merged.select("class", "copies", F.explode(F.arrays_zip("named", "places")).alias("w"))
         named = named.select("class", "copies", F.col("w.named").alias("value"), F.col("w.places").alias("place"))
-        places = keep(_repeated(named, F.sum("copies")), "places")
+        places = keep(_repeated(named, F.sum("copies"), scratch), "places")
         scratch.drop(merged)
         self.copied = classes.filter("copies > 1").select("sha")
         candidates = places.join(classes.withColumnRenamed("doc_id", "first_id"), "class")
@@ -209,7 +213,7 @@ class Repeats:
             rows = keep(
                 work.mapInArrow(_named_rows(window, before, size), "class long, value long, place int"), "rows"
             )
-            places = keep(_repeated(rows, F.count(F.lit(1))), "places")
+            places = keep(_repeated(rows, F.count(F.lit(1)), scratch), "places")
             scratch.drop(rows)
             work = texts.drop("places").join(places, "class").select("class", "sha", "text", "places")
         single = texts.filter("copies = 1").drop("places").join(places, "class")
