@@ -263,7 +263,7 @@ def test_url_rules_are_mined_and_fixed_rules_go_first(spark):
     rows, labels = [], []
     for i in range(400):
         bad = i % 4 == 0
-        host = "www.casino.example.net" if bad else f"{rnd.choice('abcd')}.example.{rnd.choice(['org', 'net', 'com'])}"
+        host = "www.casino.example.info" if bad else f"{rnd.choice('abcd')}.example.{rnd.choice(['org', 'net', 'com'])}"
         rows.append((i, f"https://{host}/{rnd.choice(['en', 'de', 'fr', 'es'])}/{i}?page=2"))
         if i % 3:
             labels.append((i, 0 if bad else 1, 0))

@@ -67,12 +67,62 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(ids)
 
 
-@query("op3_near_dedup")
+@query(
+    "op3_near_dedup",
+    r"""
+    WITH RECURSIVE cut AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'
+        ) AS w FROM documents
+    ),
+    shingles AS (
+        SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM cut WHERE len(w) > 0)
+    ),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    shared AS (
+        SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+        FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+    ),
+    links AS (
+        SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+        WHERE 100 * c >= 80 * (p.n + q.n - c)
+    ),
+    reach AS (
+        SELECT x AS node, y AS other FROM links
+        UNION SELECT node, y FROM reach JOIN links ON other = x
+    ),
+    least_of AS (SELECT node, least(node, min(other)) AS component_id FROM reach GROUP BY node)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id,
+           coalesce(component_id, d.doc_id) = d.doc_id AS kept
+    FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of ON node = d.doc_id
+    """,
+)
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.report(table(spark, sf_dir, "documents"), shingle=4)
 
 
-@query("op7_substring_dedup")
+@query(
+    "op7_substring_dedup",
+    r"""
+    WITH cut AS (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ),
+    places AS (
+        SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM cut WHERE len(w) >= 35)
+    ),
+    repeated AS (SELECT doc_id, i FROM places JOIN (SELECT s FROM places GROUP BY s HAVING count(*) > 1) USING (s)),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM repeated),
+    words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM cut),
+    kept AS (
+        SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS body
+        FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id
+    )
+    SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+    FROM cut LEFT JOIN kept USING (doc_id)
+    """,
+)
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
