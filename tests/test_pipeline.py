@@ -108,3 +108,12 @@ def test_content_fingerprint_ignores_order(spark, raw_csv):
     df = IO.read_raw(spark, raw_csv)
     assert IO.content_fingerprint(df).first() == IO.content_fingerprint(df.repartition(7)).first()
     assert IO.content_fingerprint(df).first() != IO.content_fingerprint(df.limit(10)).first()
+
+
+def test_large_files_are_measured_not_read(spark, tmp_path):
+    from tripweave.sources.tables import file_fingerprints
+
+    (tmp_path / "small").write_bytes(b"x" * 10)
+    (tmp_path / "large").write_bytes(b"y" * 100)
+    got = {r.path.rsplit("/", 1)[1]: (r.bytes, r.sha256) for r in file_fingerprints(spark, str(tmp_path), whole=50).collect()}
+    assert got["large"] == (100, None) and got["small"][0] == 10 and len(got["small"][1]) == 64

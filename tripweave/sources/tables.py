@@ -98,10 +98,21 @@ def write_cleaning(cleaned: Cleaned, directory: str, extension: str = "parquet")
     }
 
 
-def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256) per file under ``path``; for files below 2 GB."""
-    return spark.read.format("binaryFile").load(path).select(
-        "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
+# Files up to this size are hashed as they are: a reader holds one whole file in a row.
+WHOLE_FILE_BYTES = 1 << 30
+
+
+def file_fingerprints(spark: SparkSession, path: str, whole: int = WHOLE_FILE_BYTES) -> DataFrame:
+    """(path, bytes, sha256) per file under ``path``.
+
+    Larger files get a null hash and are never read; ``content_fingerprint`` of the rows
+    serves for them. The length filter reaches the reader, which skips their content.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    size = F.col("length").alias("bytes")
+    hashed = files.filter(F.col("length") <= whole).select("path", size, F.sha2("content", 256).alias("sha256"))
+    return hashed.unionByName(
+        files.filter(F.col("length") > whole).select("path", size, F.lit(None).cast("string").alias("sha256"))
     )
 
 
