@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tripweave.operators import events as E
 from tripweave.operators import pairing
-from tripweave.operators.clean import cleaning_record
+from tripweave.operators.clean import clean, cleaning_record
 
-from .queries import build, joined, register, us
-from .telemetry import telemetry
+from .queries import build, joined, register, run, us
+from .telemetry import SETTINGS, telemetry
 
 
 @register("telemetry", "telemetry", """SELECT row_id, vin, trig AS trigger, name, scalar_text AS scalar,
@@ -215,3 +217,30 @@ def _(spark, sf):
         F.col("vins_after_filters").alias("vins"), "start_events", "end_events", "trajectory_batches",
         "accepted_trips", "accepted_points", "rejection_records", joined(counts).alias("rejection_counts"),
     )
+
+
+# Vehicles of the list queries, in both dialects.
+_LISTED = ("VIN000001", "VIN000003", "VIN000005", "VIN000008")
+_IN_LIST = "vin IN (" + ", ".join(f"'{v}'" for v in _LISTED) + ")"
+
+
+def _listed(spark, sf, **lists):
+    made = clean(run(spark, sf).raw, replace(SETTINGS, **lists))
+    counts = made.discarded.groupBy("reason").agg(F.count(F.lit(1)).alias("row_count"))
+    kept = made.data.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit("retained").alias("reason"), "row_count")
+    return counts.unionByName(kept)
+
+
+def _listed_sql(test: str, reason: str) -> str:
+    named = f"CASE WHEN r1 IS NOT NULL OR reason = 'exact_duplicate' THEN reason WHEN {test} THEN '{reason}' ELSE coalesce(reason, 'retained') END"
+    return f"SELECT {named} AS reason, count(*) AS row_count FROM judged GROUP BY 1"
+
+
+@register("vehicles_included", "judged", _listed_sql(f"NOT ({_IN_LIST})", "vin_not_included"))
+def _(spark, sf):
+    return _listed(spark, sf, include_vins=_LISTED)
+
+
+@register("vehicles_excluded", "judged", _listed_sql(_IN_LIST, "vin_excluded"))
+def _(spark, sf):
+    return _listed(spark, sf, exclude_vins=_LISTED)
