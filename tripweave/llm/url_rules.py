@@ -207,6 +207,8 @@ def report(
     hits = (
         met.filter(F.size(F.array_except("antecedent", "tokens")) == 0).groupBy("tokens").agg(best.alias("hit"))
     )
+    # Written before the join, whose tasks Spark can split then: one token set may be hot.
+    hits = scratch.keep(hits, "hits")
     judged = cut.withColumn("tokens", F.array_sort("tokens")).join(hits, "tokens", "left")
     fixed = host_rule(F.col("host"), F.col("path"), host_rules)
     return judged.select("page_id", "host", "path", fixed.alias("fixed"), "hit").select(
