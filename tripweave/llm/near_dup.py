@@ -9,9 +9,10 @@ Steps, all on Spark tables:
    its member with the most company over all bands. A node starts with its best pivot
    only. What is linked by then needs no further comparison: a pair whose ends have one
    component cannot change the result.
-4. In buckets that still hold several components every pair across components is
-   compared, large buckets in blocks of at most ``BLOCK`` nodes a side, inside tasks;
-   only pairs that survive pruning become rows.
+4. In buckets that still hold several components a node meets one drawn pivot a round,
+   and at last every pair across components is compared, large buckets in blocks of about
+   ``BLOCK`` nodes a side. The blocks carry signatures and texts, so pruning and exact
+   counting happen inside the task and only links become rows.
 5. A candidate's signatures are compared batch by batch. With a uniform prior on the
    similarity, a pair is dropped as soon as the posterior chance of reaching the
    threshold is below ``MISS``. Survivors are counted on full shingle sets.
@@ -116,8 +117,8 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _survivors(left: np.ndarray, right: np.ndarray, looks) -> np.ndarray:
-    """Indices of the rows whose signatures pass every look."""
+def _survivors(left: np.ndarray, right: np.ndarray, looks) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the rows whose signatures pass every look, and how many values agree."""
     alive, matches, seen = np.arange(len(left)), np.zeros(len(left), dtype=int), 0
     for n, least in looks:
         matches = matches + (left[alive, seen:n] == right[alive, seen:n]).sum(axis=1)
@@ -125,7 +126,7 @@ def _survivors(left: np.ndarray, right: np.ndarray, looks) -> np.ndarray:
         alive, matches, seen = alive[passed], matches[passed], n
         if not len(alive):
             break
-    return alive
+    return alive, matches
 
 
 def _signatures(column) -> np.ndarray:
@@ -135,12 +136,18 @@ def _signatures(column) -> np.ndarray:
 def _prune(looks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alive = _survivors(_signatures(batch.column(2)), _signatures(batch.column(3)), looks)
+            alive, _ = _survivors(_signatures(batch.column(2)), _signatures(batch.column(3)), looks)
             yield batch.select([0, 1]).take(pa.array(alive))
 
     return run
 
 
+def _linked(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """Whether the intersection of two sets reaches ``percent`` of their union."""
+    union = len(np.unique(np.concatenate([one, two])))
+    return 100 * (len(one) + len(two) - union) >= percent * union
+
+
 def _similar(size: int, percent: int):
     """Function for ``mapInArrow`` over (a, b, text_a, text_b): the pairs that are linked."""
 
@@ -153,32 +160,51 @@ def _similar(size: int, percent: int):
                 if text_b != last:
                     last, held = text_b, shingle_set(hashes(words_of(text_b.lower())), size)
                 one = shingle_set(hashes(words_of(text_a.lower())), size)
-                common = len(one) + len(held) - len(np.unique(np.concatenate([one, held])))
-                linked.append(100 * common >= percent * (len(one) + len(held) - common))
+                linked.append(_linked(one, held, percent))
             yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
     return run
 
 
-def _block_pairs(looks, percent: int):
-    """Function for ``applyInArrow``: surviving pairs across components in a block pair."""
+def _block_links(looks, percent: int, size: int):
+    """Function for ``applyInArrow``: links that join components within a block pair.
+
+    Pairs that survive pruning are counted here, on the full sets, and never become rows;
+    a pair whose ends have been joined on the way is not counted.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        node, label, n = (table.column(c).to_numpy() for c in ("node", "label", "n"))
-        side = table.column("side").to_numpy()
+        node, label, n, side = (table.column(c).to_numpy() for c in ("node", "label", "n", "side"))
         signed = _signatures(table.column("signature"))
+        texts = table.column("text")
         within = bool(table.column("within")[0].as_py())
-        pairs: list[np.ndarray] = []
-        first = np.flatnonzero(side == 0)
-        for i in first:
+        hashes, sets, above = WordHashes(), {}, {}
+
+        def full(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_set(hashes(words_of(texts[i].as_py().lower())), size)
+            return sets[i]
+
+        def root(x: int) -> int:
+            while (up := above.get(x, x)) != x:
+                above[x] = x = above.get(up, up)
+            return x
+
+        links = []
+        for i in np.flatnonzero(side == 0).tolist():
             other = np.flatnonzero((side == 0) & (node > node[i]) if within else side == 1)
             other = other[label[other] != label[i]]
             other = other[100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i])]
-            if len(other):
-                alive = other[_survivors(np.broadcast_to(signed[i], (len(other), signed.shape[1])), signed[other], looks)]
-                pairs.append(np.stack([np.full(len(alive), node[i]), node[alive]]))
-        a, b = np.concatenate(pairs, axis=1) if pairs else (np.array([], np.int64),) * 2
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+            if not len(other):
+                continue
+            mine = np.broadcast_to(signed[i], (len(other), signed.shape[1]))
+            alive, matches = _survivors(mine, signed[other], looks)
+            for j in other[alive[np.argsort(-matches, kind="stable")]].tolist():
+                one, two = root(int(label[i])), root(int(label[j]))
+                if one != two and _linked(full(i), full(j), percent):
+                    above[max(one, two)] = min(one, two)
+                    links.append(sorted((int(node[i]), int(node[j]))))
+        return pa.table({c: pa.array([x[k] for x in links], pa.int64()) for k, c in enumerate("ab")})
 
     return run
 
@@ -228,7 +254,8 @@ class NearDuplicates:
         shared = rows.groupBy("bucket").agg(
             F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size")
         )
-        shared = shared.filter("low < high").select("bucket", "size")
+        # Written before the join, whose tasks Spark can split then.
+        shared = self.scratch.keep(shared.filter("low < high").select("bucket", "size"), "shared")
         members = self.scratch.keep(rows.join(shared, "bucket"), "members")
         self.scratch.drop(rows)
         return members
@@ -296,26 +323,27 @@ class NearDuplicates:
         ranked = self.scratch.keep(self.members.join(company, "node"), "ranked")
         # First every node against one pivot, the best it meets in any bucket.
         best = F.max(F.struct("company", (-F.col("node")).alias("minus"), "n"))
-        pivots = ranked.groupBy("bucket").agg(best.alias("p"))
+        pivots = self.scratch.keep(ranked.groupBy("bucket").agg(best.alias("p")), "pivots")
         met = ranked.join(pivots, "bucket").filter(F.col("p.minus") != -F.col("node"))
         one = met.groupBy("node", "n").agg(F.max("p").alias("p"))
         self._verify(
             self._comparable(one.select("node", "n", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("m")))
         )
         self.labels = components(self.links, self.scratch)
-        # Then, where components still share a bucket, against one pivot of each bucket.
-        for _ in range(2):
+        # Then, where components still share a bucket, against a pivot drawn from it.
+        for turn in range(2):
             open_rows = self._open(ranked)
             if open_rows.isEmpty():
                 return
-            pivots = open_rows.groupBy("bucket").agg(
-                F.max(F.struct("company", (-F.col("node")).alias("minus"), "n", "label")).alias("p")
+            drawn = F.struct(
+                F.xxhash64("node", F.lit(turn)).alias("draw"), F.col("node").alias("pivot"), F.col("n").alias("m"), "label"
             )
+            pivots = self.scratch.keep(open_rows.groupBy("bucket").agg(F.max(drawn).alias("p")), "pivots")
             across = open_rows.join(pivots, "bucket").filter(F.col("p.label") != F.col("label"))
-            self._verify(
-                self._comparable(across.select("node", "n", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("m")))
-            )
+            one = across.groupBy("node", "n").agg(F.max("p").alias("p"))
+            self._verify(self._comparable(one.select("node", "n", "p.pivot", "p.m")))
             self.labels = components(self.links, self.scratch)
+        # At last all pairs across.
         open_rows = self._open(ranked)
         if not open_rows.isEmpty():
             self._compare_all(open_rows)
@@ -333,11 +361,12 @@ class NearDuplicates:
         )
 
     def _compare_all(self, open_rows: DataFrame) -> None:
-        """Every pair across components of an open bucket, in blocks."""
+        """Every pair across components of an open bucket, in blocks, verified in the task."""
         blocks = F.ceil(F.col("size") / BLOCK)
         mine = F.pmod(F.xxhash64("node"), blocks)
         rows = (
             open_rows.join(self.classes.select("node", "signature"), "node")
+            .join(self.texts, "node")
             .withColumn("mine", mine)
             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
             .select(
@@ -350,16 +379,15 @@ class NearDuplicates:
                 "n",
                 "label",
                 "signature",
+                "text",
             )
         )
-        likely = (
+        links = (
             rows.groupBy("bucket", "i", "j")
-            .applyInArrow(_block_pairs(self.looks, self.percent), "a long, b long")
+            .applyInArrow(_block_links(self.looks, self.percent, self.shingle), "a long, b long")
             .distinct()
         )
-        if self.tested is not None:
-            likely = likely.join(self.tested, ["a", "b"], "left_anti")
-        self._count_exactly(self.scratch.keep(likely, "likely"))
+        self.links = self.links.union(self.scratch.keep(links, "links"))
 
     @property
     def documents(self) -> DataFrame:
