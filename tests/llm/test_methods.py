@@ -248,6 +248,18 @@ def test_language_of_held_out_documents(spark):
     assert sum(r.lang == r.lang_pred for r in out) >= 0.95 * len(out) and all(0 <= r.score <= 1 for r in got)
 
 
+def test_copies_of_a_text_teach_once(spark):
+    rows = [(f"ein kurzer text nummer {'abcdefghij'[i % 10] * (i // 10 + 1)}", "de", 3000 if i < 3 else 1) for i in range(60)]
+    # All texts of fr are copied, so that their rows are far more than the bound allows.
+    rows += [(f"un petit texte {'abcdefghij'[i % 10] * (i // 10 + 1)}", "fr", 2000) for i in range(30)]
+    docs = spark.createDataFrame(rows, "text string, lang string, copies int").repartition(5)
+    docs = docs.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("text", "lang")
+    for bound in (20, 100):
+        sample = language.labelled_sample(docs, Scratch(spark, "test"), "text", "lang", bound)
+        got = sample.groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("features").alias("d")).collect()
+        assert {r.lang: (r.n, r.d) for r in got} == {"de": (min(bound, 60),) * 2, "fr": (min(bound, 30),) * 2}
+
+
 def test_no_letter_is_no_language_and_one_label_is_enough(spark):
     rows = [(1, "eins zwei drei", "de"), (2, "123", "de"), (3, None, None), (4, "quatre", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")

@@ -3,7 +3,7 @@
 A text becomes counts of hashed letter n-grams (one to three letters), square-rooted and
 scaled to length one. Linear support vector machines, one for each pair of families and
 one for each pair of languages of a family, are fitted with Spark ML on a bounded sample
-of labelled rows; the pair machines vote, and the logistic of their margins breaks ties
+of distinct labelled texts; the pair machines vote, and the logistic of their margins breaks ties
 and gives the score.
 
 Defined cases: null text and text without a letter give ``und`` with score 0. Languages
@@ -39,7 +39,7 @@ FAMILIES = {
     "uralic": ("et", "fi", "hu"),
 }
 
-#: Labelled rows that a language is learned from, at most.
+#: Distinct labelled texts that a language is learned from, at most.
 SAMPLE_PER_LANGUAGE = 400
 #: Buckets of the hashed n-grams.
 BUCKETS = 4096
@@ -124,26 +124,28 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def labelled_sample(
     docs: DataFrame, scratch: Scratch, text: str, lang: str, bound: int = SAMPLE_PER_LANGUAGE
 ) -> DataFrame:
-    """(lang, features): at most ``bound`` rows of each language, drawn by a hash of the text.
+    """(lang, features): at most ``bound`` distinct texts of each language, drawn by their hash.
 
-    A first draw at a rate taken from the counts keeps about four times the bound, so
-    that choosing the bound itself orders few rows.
+    Copies of a text count once, in the rate as in the places. A first draw at that rate
+    keeps about four times the bound, so that choosing the bound itself orders few rows.
     """
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
-    counts = rows.groupBy("lang").count()
+    rows = rows.withColumn("draw", F.xxhash64("text"))
+    hashes = scratch.keep(rows.select("lang", "draw").distinct(), "hashes")
     rate = F.least(F.lit(1.0), F.lit(4.0 * bound) / F.col("count"))
-    drawn = rows.withColumn("draw", F.xxhash64("text")).join(
-        F.broadcast(counts.select("lang", rate.alias("rate"))), "lang"
+    rates = hashes.groupBy("lang").count().select("lang", rate.alias("rate"))
+    drawn = hashes.join(F.broadcast(rates), "lang").filter(
+        F.pmod("draw", F.lit(1_000_000)) < F.col("rate") * 1_000_000
     )
-    drawn = drawn.filter(F.pmod("draw", F.lit(1_000_000)) < F.col("rate") * 1_000_000)
     first = Window.partitionBy("lang").orderBy("draw")
-    few = (
-        scratch.keep(drawn.select("lang", "text", "draw"), "drawn")
-        .withColumn("place", F.row_number().over(first))
-        .filter(F.col("place") <= bound)
+    few = scratch.keep(
+        drawn.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= bound).select("lang", "draw"),
+        "drawn",
     )
+    # Each task sends a text once, however many copies it has.
+    few = rows.join(F.broadcast(few), ["lang", "draw"]).groupBy("lang", "draw").agg(F.min("text").alias("text"))
 
     @F.pandas_udf("array<float>")
     def features(texts: pd.Series) -> pd.Series:
