@@ -309,3 +309,29 @@ def test_quotes_are_linked_and_leave_the_text(spark):
         (2, 0): (0, 0, None, 0, None, None),
         (2, 1): (1, 1, None, 1, 1, "abroad"),
     }
+
+
+def test_partial_quotes_of_several_lines_are_linked(spark):
+    five = "One line\nline two,\nLine three.\nline four\nline five"
+    rows = [
+        (1, 0, "u", five + "\n\nSecond paragraph\nof two lines\n\nThird paragraph"),
+        (1, 1, "a", "> Line two,\n> line three.\nlines two and three"),
+        (1, 2, "u", "> second paragraph\n> of two lines\n>\n> third paragraph\ntwo of three paragraphs"),
+        (1, 3, "a", "> line three\n> line two\nnot in this order"),
+        (1, 4, "u", "> line two\n> line four\nnot consecutive"),
+        (1, 5, "a", "> line four\n> line five\n> second paragraph\n>> lines two and three\nacross paragraphs"),
+        (1, 6, "u", "> third paragraph\n> lines two and three\nof two messages"),
+        (2, 0, "u", "> line three\n> line four\nabroad"),
+    ]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.message.conv_id, r.message.turn): r for r in quoting.link_quotes(messages).collect()}
+    assert {k: (r.n_quotes, r.n_linked, r.reply_to, r.root_turn, r.from_conv, r.text) for k, r in got.items()} == {
+        (1, 0): (0, 0, None, 0, None, rows[0][3]),
+        (1, 1): (1, 1, 0, 0, None, "lines two and three"),
+        (1, 2): (1, 1, 0, 0, None, "two of three paragraphs"),
+        (1, 3): (1, 0, None, 3, None, rows[3][3]),
+        (1, 4): (1, 0, None, 4, None, rows[4][3]),
+        (1, 5): (2, 2, 0, 0, None, "across paragraphs"),
+        (1, 6): (1, 0, None, 6, None, rows[6][3]),
+        (2, 0): (1, 1, None, 0, 1, "abroad"),
+    }

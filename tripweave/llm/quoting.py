@@ -4,7 +4,10 @@ Only DataFrame functions. A line's quote level is the number of ``>`` it starts
 (blanks between them do not count). Runs of lines of one level above 0 are quoted
 passages; each is normalised (lower case, runs of other than letters and digits as one
 blank) and hashed. A message offers its own text as original: the whole of it, its
-paragraphs and its lines, level 0 only. A passage belongs to the earliest message of its
+paragraphs, its lines and every run of its consecutive lines, level 0 only; lines without
+letters or digits do not count. Of the runs of lines only those are hashed that begin with
+the two first lines of a quoted passage and have as many lines as it. A quote that is cut
+within a line is no run of lines and is not linked. A passage belongs to the earliest message of its
 conversation that offers it, before the quoting one; if there is none, to the earliest
 of all conversations. There is one original for each passage, so frequent passages
 multiply nothing.
@@ -83,6 +86,29 @@ def offered(runs: Column) -> Column:
     return F.filter(F.array_distinct(F.transform(parts, normalised)), lambda t: t != "")
 
 
+def _bare_lines(text: Column) -> Column:
+    """Normalised lines of a text, without those that have no letters or digits."""
+    return F.filter(F.transform(F.split(text, "\n"), normalised), lambda t: t != "")
+
+
+def _runs_of_lines(own: DataFrame, quotes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(conv_id, turn, hash) of the runs of own lines that may be quoted passages of two lines or more."""
+    asked = scratch.keep(quotes.filter("n_lines > 1").select("head", "n_lines").distinct(), "asked")
+    own = own.withColumn("bare", _bare_lines(F.array_join(F.transform(F.filter("runs", lambda r: r["level"] == 0), lambda r: r["body"]), "\n")))
+    two = F.transform("bare", lambda t, i: F.sha2(F.concat_ws(" ", t, F.get("bare", i + 1)), 256))
+    heads = own.withColumn("two", two).select("conv_id", "turn", "body", F.posexplode_outer("two").alias("i", "head"))
+    # Places are gathered for each message, so that its lines are carried once.
+    places = heads.join(asked, "head").groupBy("conv_id", "turn", "body").agg(
+        F.collect_set(F.struct("i", "n_lines")).alias("places")
+    )
+    places = scratch.keep(places, "places").withColumnsRenamed({"conv_id": "c", "turn": "t", "body": "b"})
+    same = (F.col("conv_id") == F.col("c")) & (F.col("turn") == F.col("t")) & (F.col("body") == F.col("b"))
+    inside = F.filter("places", lambda p: p["i"] + p["n_lines"] <= F.size("bare"))
+    run = lambda p: F.sha2(F.array_join(F.slice("bare", p["i"] + 1, p["n_lines"]), " "), 256)
+    made = own.join(places, same).withColumn("made", F.transform(inside, run))
+    return made.select("conv_id", "turn", F.explode_outer("made").alias("hash")).filter("hash IS NOT NULL")
+
+
 def _links(cut: DataFrame, scratch: Scratch) -> DataFrame:
     """(conv_id, turn, body, at, level, from_conv, from_turn) of each linked passage."""
     # Outer explodes, since the others add filters that Spark moves below the projections,
@@ -91,15 +117,26 @@ def _links(cut: DataFrame, scratch: Scratch) -> DataFrame:
         cut.filter(F.col("content").rlike(_QUOTING))
         .select("conv_id", "turn", "body", F.posexplode_outer("runs").alias("at", "run"))
         .filter("run.level > 0")
-        .select("conv_id", "turn", "body", "at", "run.level", normalised(F.col("run.body")).alias("passage"))
+        .withColumn("bare", _bare_lines(F.col("run.body")))
+        .select(
+            "conv_id",
+            "turn",
+            "body",
+            "at",
+            "run.level",
+            F.array_join("bare", " ").alias("passage"),
+            F.size("bare").alias("n_lines"),
+            F.sha2(F.array_join(F.slice("bare", 1, 2), " "), 256).alias("head"),
+        )
         .filter("passage != ''")
         .withColumn("hash", F.sha2("passage", 256)),
         "quotes",
     )
+    own = cut.filter("conv_id IS NOT NULL AND turn IS NOT NULL")
     originals = (
-        cut.filter("conv_id IS NOT NULL AND turn IS NOT NULL")
-        .select("conv_id", "turn", F.explode_outer(offered(F.col("runs"))).alias("passage"))
+        own.select("conv_id", "turn", F.explode_outer(offered(F.col("runs"))).alias("passage"))
         .select("conv_id", "turn", F.sha2("passage", 256).alias("hash"))
+        .unionByName(_runs_of_lines(own, quotes, scratch))
         .join(quotes.select("hash").distinct(), "hash", "left_semi")
     )
     originals = scratch.keep(
@@ -107,7 +144,7 @@ def _links(cut: DataFrame, scratch: Scratch) -> DataFrame:
     )
     here = originals.select("hash", "conv_id", F.col("from_turn").alias("here_turn"))
     anywhere = originals.groupBy("hash").agg(F.min(F.struct("conv_id", "from_turn")).alias("first"))
-    joined = quotes.join(here, ["hash", "conv_id"], "left").join(anywhere, "hash", "left")
+    joined = quotes.drop("n_lines", "head").join(here, ["hash", "conv_id"], "left").join(anywhere, "hash", "left")
     own = F.col("here_turn") < F.col("turn")
     abroad = ~F.col("first.conv_id").eqNullSafe(F.col("conv_id"))
     linked = joined.select(
