@@ -117,3 +117,31 @@ def test_large_files_are_measured_not_read(spark, tmp_path):
     (tmp_path / "large").write_bytes(b"y" * 100)
     got = {r.path.rsplit("/", 1)[1]: (r.bytes, r.sha256) for r in file_fingerprints(spark, str(tmp_path), whole=50).collect()}
     assert got["large"] == (100, None) and got["small"][0] == 10 and len(got["small"][1]) == 64
+
+
+def test_a_build_records_the_rows_of_every_source_file(spark, raw_csv, tmp_path, monkeypatch):
+    from tripweave.plans.pipeline import build_stage
+
+    # As if every file were too large to be hashed as it is.
+    monkeypatch.setattr(IO.file_fingerprints, "__defaults__", (0,))
+    paths = build_stage(spark, raw_csv, str(tmp_path), ProjectSettings())
+    files = spark.read.parquet(paths["source"]).collect()
+    contents = spark.read.parquet(paths["source_contents"]).collect()
+    assert [f.sha256 for f in files] == [None] and len(contents) == 1 and contents[0].content_hash
+    assert contents[0].rows == spark.read.text(raw_csv).count()
+
+
+def test_file_contents_see_a_change_of_the_same_length(spark, tmp_path):
+    def hashes(name, *texts):
+        (tmp_path / name).mkdir()
+        for i, text in enumerate(texts):
+            (tmp_path / name / f"{i}.csv").write_text(text)
+        return {r.path[-5]: (r.rows, r.content_hash) for r in IO.file_contents(spark, str(tmp_path / name)).collect()}
+
+    one = hashes("one.csv", "a,b\n1,\n3,4\n", "a,b\n5,6\n")
+    two = hashes("two.csv", "a,b\n,1\n3,4\n", "a,b\n5,6\n")
+    assert one["0"] != two["0"] and one["1"] == two["1"] and [one["0"][0], one["1"][0]] == [3, 2]
+    for name, row in (("p.parquet", ("x", None)), ("q.parquet", (None, "x"))):
+        spark.createDataFrame([row], "a string, b string").write.parquet(str(tmp_path / name))
+    p, q = (IO.file_contents(spark, str(tmp_path / n)).first().content_hash for n in ("p.parquet", "q.parquet"))
+    assert p != q

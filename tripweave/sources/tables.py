@@ -105,8 +105,8 @@ WHOLE_FILE_BYTES = 1 << 30
 def file_fingerprints(spark: SparkSession, path: str, whole: int = WHOLE_FILE_BYTES) -> DataFrame:
     """(path, bytes, sha256) per file under ``path``.
 
-    Larger files get a null hash and are never read; ``content_fingerprint`` of the rows
-    serves for them. The length filter reaches the reader, which skips their content.
+    Larger files get a null hash and are not read here; ``file_contents`` has a hash of
+    their rows, and a build writes both. The length filter reaches the reader, which skips their content.
     """
     files = spark.read.format("binaryFile").load(path)
     size = F.col("length").alias("bytes")
@@ -124,6 +124,21 @@ def content_fingerprint(df: DataFrame) -> DataFrame:
     )
 
 
+def file_contents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, rows, content_hash) per file under ``path``, of any size, streamed by the reader.
+
+    Rows are the lines of a CSV file, its header among them, and the rows of a Parquet
+    file. The hash does not depend on their order; it sees which columns are null, which
+    xxhash64 alone does not. Files without rows have no row here.
+    """
+    df = spark.read.text(path) if format_of(path) == "csv" else spark.read.parquet(path)
+    cells = [F.to_json(c) if isinstance(df.schema[c].dataType, T.MapType) else F.col(c) for c in df.columns]
+    row = F.xxhash64(*cells, F.array(*[F.col(c).isNull() for c in df.columns]))
+    return df.select(F.col("_metadata.file_path").alias("path"), row.cast("decimal(38,0)").alias("hash")).groupBy("path").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("hash").cast("string").alias("content_hash")
+    )
+
+
 def load_trips(spark: SparkSession, path: str) -> DataFrame:
     """A written trips table. From CSV the trajectory arrives as JSON text."""
     if format_of(path) == "parquet":
