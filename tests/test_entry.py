@@ -44,5 +44,17 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(mine, key=repr) == sorted(theirs, key=repr)
 
 
+def test_model_queries_train_the_configured_forest():
+    from tripweave.config import ForestSettings
+    from workload.model_queries import CFG
+
+    assert CFG.forest == ForestSettings()
+
+
+def test_a_reloaded_model_predicts_every_split(spark):
+    queries = E.queries()
+    assert queries["model_reloaded"](spark, SF).count() == queries["samples"](spark, SF).count() > 0
+
+
 def test_flagship(spark):
     assert E.entry(spark).count() > 0

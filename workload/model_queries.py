@@ -1,6 +1,6 @@
 """Queries that train and apply the destination model (M-04..M-06, M-10, M-11, I-16, E-10).
 
-Trees have no SQL counterpart; the driver checks rows only. The forest is kept small.
+Trees have no SQL counterpart; the driver checks rows only. The forest has the operator's own settings.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from functools import lru_cache
 
 from pyspark.sql import functions as F
 
-from tripweave.config import ForestSettings, ProjectSettings
+from tripweave.config import ProjectSettings
 from tripweave.functions.geo import km_between
 from tripweave.models.forest import load_model
 from tripweave.models.forest import train
@@ -22,7 +22,7 @@ from .queries import SAMPLES, register, run
 from .scenario_queries import requests
 from .telemetry import SETTINGS
 
-CFG = ProjectSettings(build=SETTINGS, samples=SAMPLES, forest=ForestSettings(trees=10, max_depth=8))
+CFG = ProjectSettings(build=SETTINGS, samples=SAMPLES)
 
 
 @lru_cache(maxsize=4)
@@ -85,7 +85,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = f"{staging_root(spark)}/model-{abs(hash(sf))}"
     model(spark, sf).save(path)
-    p = load_model(spark, path).predict(run(spark, sf).samples.filter("split = 'test'"), 3)
+    p = load_model(spark, path).predict(run(spark, sf).samples, 3)
     return p.select("sample_id", "predicted_latitude", "predicted_longitude", "predicted_cell", "actual_rank", "error_km")
 
 
