@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from tripweave.llm import (
     decontaminate,
     exact_dedup,
+    fingerprints,
     language,
     licenses,
     near_dup,
     packing,
     pii,
     quoting,
+    ranking,
     substring_dedup,
     url_rules,
 )
@@ -181,3 +183,58 @@ def op4_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
         "from_conv",
         "text",
     )
+
+
+@query(
+    "op11_lexical_search",
+    r"""
+    WITH cut AS (
+        SELECT doc_id, row_number() OVER () AS row_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'
+        ) AS terms FROM documents
+    ),
+    held AS (SELECT * FROM cut WHERE len(terms) > 0),
+    totals AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM held),
+    asked AS (
+        SELECT item_id, term, count(*) AS times
+        FROM (
+            SELECT item_id, unnest(regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'
+            )) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)
+        )
+        GROUP BY item_id, term
+    ),
+    places AS (
+        SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest(terms) AS term FROM held)
+        WHERE term IN (SELECT term FROM asked) GROUP BY row_id, term
+    ),
+    weights AS (
+        SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+        FROM places, totals GROUP BY term, n_docs
+    ),
+    lengths AS (
+        SELECT row_id, doc_id, 100 - 25 + (25 * len(terms) * n_docs) // n_terms AS m FROM held, totals
+    ),
+    scores AS (
+        SELECT item_id, row_id, doc_id,
+               sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+        FROM asked JOIN places USING (term) JOIN weights USING (term) JOIN lengths USING (row_id)
+        GROUP BY item_id, row_id, doc_id
+    )
+    SELECT item_id, rank, doc_id, score FROM (
+        SELECT item_id, doc_id, score, row_number() OVER (
+            PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST
+        )::INTEGER AS rank
+        FROM scores WHERE score > 0
+    ) WHERE rank <= 20
+    """,
+)
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_document_fingerprints")
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.report(table(spark, sf_dir, "documents"))
