@@ -18,6 +18,7 @@ from tripweave.llm import (
     pii,
     quoting,
     ranking,
+    repair,
     substring_dedup,
     url_rules,
 )
@@ -238,3 +239,102 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_document_fingerprints")
 def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.report(table(spark, sf_dir, "documents"))
+
+
+def _repair_sql() -> str:
+    """An automaton over the turns in order: for each state (nothing yet, after s, after u,
+    after a) the least cost, audit and repaired text, all of which compare in that order."""
+
+    def then(state: str, cost: str, edit: str, line: str | None = None) -> str:
+        made = f"{state}.r || CASE WHEN {state}.r = '' THEN '' ELSE chr(10) END || {line}" if line else f"{state}.r"
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 'r': {made}}}"
+
+    def least(*options: str) -> str:
+        return f"list_min([{', '.join(options)}])"
+
+    user, assistant, never = "'user:'", "'assistant:'", "{'c': 1000000000::BIGINT, 'a': '~', 'r': ''}"
+    from_any = least(*[then(s, "3", "I", user) for s in ("s0", "ss", "sa")])
+    own = "role || ':' || text"
+
+    def stay(state: str, letter: str, role: str) -> str:
+        return (
+            f"CASE WHEN goes THEN {never} WHEN letter = '{letter}' THEN {then(state, 'stays', 'K', own)}"
+            f" ELSE {then(state, 'stays + 3', 'R', role + ' || text')} END"
+        )
+
+    return f"""
+    WITH RECURSIVE keyed AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k
+        FROM conversations
+    ),
+    chosen AS (
+        SELECT *, xor(list_reduce(
+            list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda c: ord(c)::BIGINT)),
+            lambda crc, b: list_reduce(
+                list_prepend(xor(crc, b), [1::BIGINT, 2, 3, 4, 5, 6, 7, 8]),
+                lambda x, i: xor(x >> 1, 3988292384 * (x & 1))
+            )
+        ), 4294967295) % 20 AS kind
+        FROM keyed
+    ),
+    turns AS (
+        SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+               CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+        FROM chosen WHERE kind <> 0
+    ),
+    placed AS (
+        SELECT *, left(role, 1) AS letter, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text), copy) AS i
+        FROM turns
+    ),
+    judged AS (
+        SELECT *, said = '' AS blank,
+               said <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS duplicate,
+               lag(letter) OVER (PARTITION BY conv_id ORDER BY i) || letter NOT IN ('su', 'ua', 'au') AS illegal
+        FROM placed
+    ),
+    faults AS (
+        SELECT *, blank OR duplicate AS goes,
+               NOT blank AND NOT duplicate AND right(said, 1) NOT IN ('.', '!', '?') AS truncated,
+               3 * (NOT blank AND NOT duplicate AND right(said, 1) NOT IN ('.', '!', '?'))::BIGINT AS stays
+        FROM judged
+    ),
+    marks AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+               count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+               count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal, count(*) AS n
+        FROM faults GROUP BY conv_id
+    ),
+    states AS (
+        SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 'r': ''}} AS s0, {never} AS ss, {never} AS su, {never} AS sa
+        FROM marks
+        UNION ALL
+        SELECT o.conv_id, o.i, {then("s0", "4", "D")},
+               {least(then("ss", "4", "D"), f"CASE WHEN letter = 's' AND NOT goes THEN {then('s0', 'stays', 'K', own)} ELSE {never} END")},
+               {least(then("nu", "4", "D"), stay("s0", "u", user), stay("ss", "u", user), stay("na", "u", user))},
+               {least(then("na", "4", "D"), stay("nu", "a", assistant))}
+        FROM (
+            SELECT conv_id, i, s0, ss, {least("su", from_any)} AS nu,
+                   {least("sa", then("su", "3", "I", assistant), then("s0", "6", "II", user + " || chr(10) || " + assistant), then("ss", "6", "II", user + " || chr(10) || " + assistant))} AS na
+            FROM states
+        ) b JOIN faults o ON o.conv_id IS NOT DISTINCT FROM b.conv_id AND o.i = b.i + 1
+    ),
+    ends AS (
+        SELECT s.conv_id, {least("s0", "sa", then("su", "3", "I", assistant), then("ss", "6", "II", user + " || chr(10) || " + assistant))} AS best
+        FROM states s JOIN marks m ON m.conv_id IS NOT DISTINCT FROM s.conv_id AND m.n = s.i
+    )
+    SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+           coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost,
+           coalesce(best.a, '') AS audit, sha256(coalesce(best.r, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c
+    LEFT JOIN marks m ON m.conv_id IS NOT DISTINCT FROM c.conv_id
+    LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+    """
+
+
+@query("op12_structure_repair", _repair_sql())
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.report(repair.damage(conversations), conversations)
