@@ -1,6 +1,7 @@
-"""Queries that train and apply the destination model (M-04..M-06, M-10, M-11, I-16, E-10).
+"""Queries that train and apply the destination model (M-03..M-07, M-10, M-11, F-04, I-16, E-10).
 
-Trees have no SQL counterpart; the driver checks rows only. The forest has the operator's own settings.
+Trees have no SQL counterpart; what must hold of their predictions has. The forest has the
+operator's own settings. Predictions are written once and read by the queries over them.
 """
 
 from __future__ import annotations
@@ -12,11 +13,11 @@ from pyspark.sql import functions as F
 
 from tripweave.config import ProjectSettings
 from tripweave.functions.geo import km_between
-from tripweave.models.forest import load_model
-from tripweave.models.forest import train
+from tripweave.models.bootstrap import PRIME, THRESHOLDS, balanced_weights
+from tripweave.models.forest import load_model, train
 from tripweave.operators import evaluate
 from tripweave.plans.pipeline import run_summary, score_scenarios, score_trips
-from tripweave.session import staging_root
+from tripweave.session import stage, staging_root
 
 from .queries import SAMPLES, register, run
 from .scenario_queries import requests
@@ -35,15 +36,67 @@ def model(spark, sf):
     return _model(spark.sparkContext.applicationId, spark, sf)
 
 
+@lru_cache(maxsize=4)
+def _predictions(app: str, spark, sf):
+    return stage(model(spark, sf).predict(run(spark, sf).samples, 5), "model-predictions")
+
+
+def predictions(spark, sf):
+    """Predictions of all samples, written once."""
+    return _predictions(spark.sparkContext.applicationId, spark, sf)
+
+
+@lru_cache(maxsize=4)
+def _reloaded(app: str, spark, sf):
+    path = f"{staging_root(spark)}/model-{uuid.uuid4().hex}"
+    model(spark, sf).save(path)
+    return load_model(spark, path)
+
+
+def reloaded(spark, sf):
+    """The model, written and read back."""
+    return _reloaded(spark.sparkContext.applicationId, spark, sf)
+
+
+def _mark_sql() -> str:
+    steps = [f"(key % {PRIME} + (tree + 1) * 1000003 + {CFG.forest.seed}) % {PRIME} AS x", f"(x * 48271 + 11) % {PRIME} AS x"]
+    steps += [f"((x * x) % {PRIME} + x * 16807 % {PRIME}) % {PRIME} AS x", f"(x * 69621 + 7) % {PRIME} AS x"]
+    table = "keyed"
+    for step in steps:
+        table = f"(SELECT actual_cell, key, tree, {step} FROM {table})"
+    return table
+
+
+_DRAWN = " + ".join(f"(x >= {t})::INTEGER" for t in THRESHOLDS)
+
+
+@register("bootstrap_weights", "samples", f"""
+    SELECT actual_cell, tree::INTEGER AS tree, drawn, sum(drawn) OVER (PARTITION BY tree) / (count(*) OVER (PARTITION BY tree) * drawn) AS class_weight
+    FROM (
+        SELECT actual_cell, tree, sum({_DRAWN})::BIGINT AS drawn
+        FROM (SELECT * FROM {_mark_sql().replace("FROM keyed", "FROM (SELECT actual_cell, ('0x' || md5(sample_id)[1:8])::BIGINT AS key, unnest(range(" + str(CFG.forest.trees) + "))::BIGINT AS tree FROM samples WHERE split = 'train')")})
+        GROUP BY actual_cell, tree
+    ) WHERE drawn > 0
+""")
+def _(spark, sf):
+    return balanced_weights(run(spark, sf).samples.filter("split = 'train'"), CFG.forest.trees, CFG.forest.seed)
+
+
 @register("model_predictions")
 def _(spark, sf):
-    return model(spark, sf).predict(run(spark, sf).samples, 5).drop("top_k_candidates")
+    return predictions(spark, sf).drop("top_k_candidates")
+
+
+@register("manifest_round_trip", "manifest", "SELECT vin, split, 42::INTEGER AS seed FROM manifest")
+def _(spark, sf):
+    """The split manifest of a saved model, read back under its checks."""
+    return reloaded(spark, sf).manifest.select("vin", "split", "seed")
 
 
 @register("prediction_checks", "samples", """SELECT sample_id, split, actual_cell, true AS error_holds, true AS rank_holds, true AS order_holds FROM samples""")
 def _(spark, sf):
     """What must hold of every prediction, whatever the trees say."""
-    p = model(spark, sf).predict(run(spark, sf).samples, 5)
+    p = predictions(spark, sf)
     c, rank = F.col("top_k_candidates"), F.col("actual_rank")
     away = km_between(
         F.struct(F.col("predicted_latitude").alias("latitude"), F.col("predicted_longitude").alias("longitude")),
@@ -65,12 +118,10 @@ def _(spark, sf):
 @register("reload_parity", "samples", "SELECT split, count(*) AS predicted, 0::BIGINT AS differing FROM samples GROUP BY split")
 def _(spark, sf):
     """A model read back predicts what the saved one does, over all splits."""
-    path = f"{staging_root(spark)}/parity-{uuid.uuid4().hex}"
     samples = run(spark, sf).samples
-    model(spark, sf).save(path)
     cols = ["predicted_latitude", "predicted_longitude", "predicted_cell", "actual_rank", "error_km"]
     here = model(spark, sf).predict(samples, 3).select("sample_id", "split", F.struct(*cols).alias("here"))
-    back = load_model(spark, path).predict(samples, 3).select("sample_id", F.struct(*cols).alias("back"))
+    back = reloaded(spark, sf).predict(samples, 3).select("sample_id", F.struct(*cols).alias("back"))
     return here.join(back, "sample_id").groupBy("split").agg(
         F.count(F.lit(1)).alias("predicted"), F.count_if(~F.col("here").eqNullSafe(F.col("back"))).alias("differing")
     )
@@ -78,14 +129,12 @@ def _(spark, sf):
 
 @register("model_metrics")
 def _(spark, sf):
-    return evaluate.evaluate_split(model(spark, sf).predict(run(spark, sf).samples, 5), "test", CFG.evaluation)
+    return evaluate.evaluate_split(predictions(spark, sf), "test", CFG.evaluation)
 
 
 @register("model_reloaded")
 def _(spark, sf):
-    path = f"{staging_root(spark)}/model-{abs(hash(sf))}"
-    model(spark, sf).save(path)
-    p = load_model(spark, path).predict(run(spark, sf).samples, 3)
+    p = reloaded(spark, sf).predict(run(spark, sf).samples, 3)
     return p.select("sample_id", "predicted_latitude", "predicted_longitude", "predicted_cell", "actual_rank", "error_km")
 
 
@@ -102,7 +151,7 @@ def _(spark, sf):
 
 @register("run_summary")
 def _(spark, sf):
-    metrics = evaluate.evaluate_split(model(spark, sf).predict(run(spark, sf).samples, 5), "test", CFG.evaluation)
+    metrics = evaluate.evaluate_split(predictions(spark, sf), "test", CFG.evaluation)
     return run_summary(run(spark, sf).build.audit, metrics).select(
         "trip_build.accepted_trips", "trip_build.rejection_records", "model_test.sample_count",
         F.round("model_test.median_haversine_km", 6).alias("median_km"), "scientific_note",

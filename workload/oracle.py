@@ -7,12 +7,20 @@ windows and range joins where the Spark side uses buckets, carries and arrays.
 
 from __future__ import annotations
 
-from tripweave.operators.outcomes import DETAILS
-
 from .telemetry import SETTINGS as D
 from .telemetry import TELEMETRY_SQL
 
 R_M, R_KM = 6371008.8, 6371.0088
+# What a rejection says, by reason.
+DETAILS = {
+    "missing_end_trigger": "No end trigger before the next journey start",
+    "missing_start_coordinate": "Start trigger lacks latitude or longitude",
+    "missing_end_coordinate": "End trigger lacks latitude or longitude",
+    "invalid_trigger_coordinate": "Start or end coordinate is outside geographic bounds",
+    "missing_trajectory": "No usable periodic trajectory array",
+    "invalid_trajectory_coordinate": "Trajectory contains latitude/longitude outside geographic bounds",
+    "unmatched_end_trigger": "End trigger has no preceding unmatched start trigger",
+}
 
 
 def hav(a: str, b: str, c: str, d: str, radius: float = R_M) -> str:
