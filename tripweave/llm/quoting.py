@@ -143,18 +143,25 @@ def _links(cut: DataFrame, scratch: Scratch) -> DataFrame:
         originals.groupBy("hash", "conv_id").agg(F.min("turn").alias("from_turn")), "originals"
     )
     here = originals.select("hash", "conv_id", F.col("from_turn").alias("here_turn"))
-    anywhere = originals.groupBy("hash").agg(F.min(F.struct("conv_id", "from_turn")).alias("first"))
+    # The two least conversations: one of them is another one than the quote's own.
+    least = F.min(F.struct("conv_id", "from_turn"))
+    first = originals.groupBy("hash").agg(least.alias("first"))
+    second = (
+        originals.join(first, "hash").filter(F.col("conv_id") != F.col("first.conv_id")).groupBy("hash").agg(least.alias("second"))
+    )
+    anywhere = scratch.keep(first.join(second, "hash", "left"), "anywhere")
     joined = quotes.drop("n_lines", "head").join(here, ["hash", "conv_id"], "left").join(anywhere, "hash", "left")
     own = F.col("here_turn") < F.col("turn")
-    abroad = ~F.col("first.conv_id").eqNullSafe(F.col("conv_id"))
+    abroad = F.when(F.col("first.conv_id").eqNullSafe(F.col("conv_id")), F.col("second")).otherwise(F.col("first"))
+    joined = joined.withColumn("abroad", abroad)
     linked = joined.select(
         "conv_id",
         "turn",
         "body",
         "at",
         "level",
-        F.when(own, F.col("conv_id")).when(abroad, F.col("first.conv_id")).alias("from_conv"),
-        F.when(own, F.col("here_turn")).when(abroad, F.col("first.from_turn")).alias("from_turn"),
+        F.when(own, F.col("conv_id")).otherwise(F.col("abroad.conv_id")).alias("from_conv"),
+        F.when(own, F.col("here_turn")).otherwise(F.col("abroad.from_turn")).alias("from_turn"),
     )
     return scratch.keep(linked.filter("from_turn IS NOT NULL"), "links")
 
