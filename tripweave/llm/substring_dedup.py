@@ -5,13 +5,15 @@ a half, the whole (9, 18 and 35 words for 35). At each level every full window t
 still a candidate names one of the windows of that length inside it, the one with the
 least hash (leftmost of equals); equal full windows name equal ones at the same place.
 Named windows are counted, and only full windows whose named window repeats go on to the
-next length. At the last length a window names itself, so what survives is exact.
+next length. At the last length a window names itself, so what survives are the windows
+whose own hash repeats.
 Neighbours mostly name the same window: the first level moves one row for about fourteen
 words of the corpus, later ones move rows for what repeats.
 
 Texts with equal word sequences are one class with a count of its copies; a class with
 copies repeats as a whole and is represented once. Hashes have 64 bits and are counted
-with partial sums before the shuffle; no window's occurrences are gathered.
+with partial sums before the shuffle; no window's occurrences are gathered. Two different
+windows are taken for equal with a chance of 2^-64 for each pair of surviving candidates.
 
 Defined cases: null, empty and short texts (fewer words than a window) lose nothing.
 Rows that repeat are copies of each other. A null doc_id takes part like any other.
@@ -47,7 +49,7 @@ def _digest(words: list[bytes]) -> bytes:
 
 
 def _describe(window: int, short: int):
-    """(doc_id, text) to word count, digest of the words, named short windows."""
+    """(doc_id, text, tag) to word count, digest of the words, named short windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -68,12 +70,13 @@ def _describe(window: int, short: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array(counts, pa.int64()),
                     pa.array(digests, pa.binary()),
                     pa.array(named, pa.list_(pa.int64())),
                     pa.array(places, pa.list_(pa.int32())),
                 ],
-                names=["doc_id", "n_words", "sha", "named", "places"],
+                names=["doc_id", "tag", "n_words", "sha", "named", "places"],
             )
 
     return run
@@ -170,12 +173,15 @@ class Repeats:
         scratch = Scratch(spark, "repeats")
         keep = scratch.keep
         first, *longer = lengths(window)
-        source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
+        # Rows are named by id and text: many texts may stand under one id, or under none.
+        source = docs.select(
+            F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"), F.xxhash64(text).alias("tag")
+        )
         kind = source.schema["doc_id"].dataType.simpleString()
         described = keep(
             source.mapInArrow(
                 _describe(window, first),
-                f"doc_id {kind}, n_words long, sha binary, named array<long>, places array<int>",
+                f"doc_id {kind}, tag long, n_words long, sha binary, named array<long>, places array<int>",
             ),
             "described",
         )
@@ -184,7 +190,7 @@ class Repeats:
             .groupBy("sha")
             .agg(
                 F.count(F.lit(1)).alias("copies"),
-                F.min("doc_id").alias("doc_id"),
+                F.min(F.struct("doc_id", "tag")).alias("row"),
                 F.first("named").alias("named"),
                 F.first("places").alias("places"),
             )
@@ -194,18 +200,19 @@ class Repeats:
         )
         self.described = keep(described.select("doc_id", "n_words", "sha"), "documents")
         scratch.drop(described)
-        classes = keep(merged.select("class", "sha", "copies", "doc_id"), "classes")
+        classes = keep(merged.select("class", "sha", "copies", "row.doc_id", "row.tag"), "classes")
         named = merged.select("class", "copies", F.explode(F.arrays_zip("named", "places")).alias("w"))
         named = named.select("class", "copies", F.col("w.named").alias("value"), F.col("w.places").alias("place"))
         places = keep(_repeated(named, F.sum("copies"), scratch), "places")
         scratch.drop(merged)
         self.copied = classes.filter("copies > 1").select("sha")
-        candidates = places.join(classes.withColumnRenamed("doc_id", "first_id"), "class")
+        candidates = places.join(classes.withColumnsRenamed({"doc_id": "first_id", "tag": "first_tag"}), "class")
         # The corpus is shuffled here, once; later levels move what still repeats.
         texts = keep(
-            source.join(candidates, source["doc_id"].eqNullSafe(candidates["first_id"])).select(
-                "class", "sha", "copies", "text", "places"
-            ),
+            source.join(
+                candidates,
+                source["doc_id"].eqNullSafe(candidates["first_id"]) & (source["tag"] == candidates["first_tag"]),
+            ).select("class", "sha", "copies", "text", "places"),
             "texts",
         )
         work = texts.select("class", "sha", "text", "places")
