@@ -11,11 +11,13 @@ shingle is given by the leading bits of its hash, its least hash is the bin's va
 sorted order a hash is the least of its bin exactly if it differs from the one before in
 those bits. ``extra`` follows the shortest item: an item at containment 0.8 shares at
 least s of its q shingles, each of which is a bin's value with probability
-``p = (1 - exp(-load)) / load`` at least, and the item is missed with probability
-``(1 - p)^s``: below 1e-5 for every q. Items under eight shingles take all hashes.
+``p = (1 - exp(-load)) / load`` at least. None of them is with probability ``(1 - p)^s``:
+below 1e-5 for every q. If an item has under nine shingles, all hashes are compared, for
+all items: no fewer can find it.
 
-An item and a document that share a value are a candidate if at least a quarter of the
-expected values agree. Candidates are verified on their exact shingles, as text.
+An item and a document are a candidate if at least ``m - sqrt(2 m ln 1e5)`` values agree,
+and one at least, where ``m = s p`` are expected: by Chernoff's bound fewer do with
+probability 1e-5 at most. Candidates are verified on their exact shingles, as text.
 
 Defined cases: an item or document with fewer than five words is one shingle of its
 whole sequence; without words it has none and matches nothing; null text is empty. Items
@@ -37,7 +39,9 @@ CONTAINED = 0.8
 #: Shingles of all items up to which they are broadcast; beyond that the join shuffles.
 BROADCAST_SHINGLES = 200_000
 #: Least shingles of the shortest item, and bins for it as a power of two over the partition.
-RESOLUTION = ((32, -1), (16, 0), (8, 1))
+RESOLUTION = ((32, -1), (16, 0), (9, 1))
+#: Probability of missing an item that a document contains, at most.
+MISS = 1e-5
 
 
 def words(text: Column) -> Column:
@@ -69,6 +73,12 @@ def resolution(shortest: int) -> tuple[int | None, float]:
     return None, 1.0
 
 
+def least_agreeing(q: Column, contained: float, p: float) -> Column:
+    """Values of an item of ``q`` shingles that agree but with probability ``MISS``."""
+    expected = F.ceil(q * contained) * F.lit(p)
+    return F.greatest(expected - F.sqrt(2 * expected * math.log(1 / MISS)), F.lit(1.0))
+
+
 def signature(hashes: Column, extra: int | None) -> Column:
     """The bins' least hashes; all hashes without ``extra``."""
     if extra is None:
@@ -111,7 +121,7 @@ class Leaks:
             values.join(postings, "value")
             .groupBy("doc_id", "body", "item_id", "q")
             .agg(F.count_distinct("value").alias("agree"))
-            .filter(F.col("agree") >= F.col("q") * contained * p / 4)
+            .filter(F.col("agree") >= least_agreeing(F.col("q"), contained, p))
             .select("doc_id", "body", "item_id")
         )
         candidates = scratch.keep(candidates, "candidates")
