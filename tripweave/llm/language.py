@@ -56,7 +56,7 @@ def family_of(language: str) -> str:
 def profile(text: str | None) -> np.ndarray | None:
     """Hashed n-gram profile of a whole text; None where it has no letter."""
     letters = _NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
-    if not letters:
+    if not any(c.isalpha() for c in letters):  # superscripts and number signs are no letters
         return None
     points = np.frombuffer(f" {letters} ".encode("utf-32-le", "replace"), dtype=np.uint32)
     one, two, three = _MULTIPLIERS
@@ -210,7 +210,8 @@ def report(
 ) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
     ready(docs.sparkSession)
-    model = fit(docs.filter(~held_out(doc_id)), text, lang, sample_per_language)
+    # A row without an id has no known remainder and does not teach.
+    model = fit(docs.filter(~held_out(doc_id) & F.col(doc_id).isNotNull()), text, lang, sample_per_language)
     return docs.select(
         F.col(doc_id).alias("doc_id"),
         held_out(doc_id).alias("held_out"),
