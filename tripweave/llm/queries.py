@@ -162,7 +162,8 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_pii")
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.report(table(spark, sf_dir, "documents"))
-    return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
+    counts = [f"n_{kind}" for kind in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
 @query("op2_license_scan")
