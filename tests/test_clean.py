@@ -2,7 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripweave.config import BuildSettings
-from tripweave.operators.clean import cleaning_record, clean, with_series_values
+from tripweave.operators.clean import clean, cleaning_record, judge, repeated_contents, with_series_values
+from tripweave.operators.events import extract_events
+from tripweave.plans.build import build_trips
 
 from .helpers import B, RAW_SCHEMA, at, batch, end, start
 
@@ -106,10 +108,34 @@ def test_many_copies_of_one_row_fold_on_the_map_side(spark):
     c = clean(raw, BuildSettings(row_id_column="rid"))
     assert [r.source_row_id for r in c.data.collect()] == [0]
     assert c.discarded.count() == 4999
-    plan = c.data._jdf.queryExecution().executedPlan().toString()
+    told = judge(raw, BuildSettings(row_id_column="rid"))
+    plan = repeated_contents(told.rows)._jdf.queryExecution().executedPlan().toString()
     assert "partial_min" in plan and "Window" not in plan
 
 
+def test_content_is_exchanged_once_for_a_whole_build(spark):
+    """Reading what stays, what goes and the counts moves no content; events move it once."""
+    rows = start("A", 0) + batch("A", 60, [48.8, 48.805], [2.2, 2.204], [70.0, 70.0]) + end("A", 600)
+    raw = spark.createDataFrame(rows + rows, RAW_SCHEMA)
+    build = build_trips(raw)
+    plans = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plans(build.data)
+    for lean in (build.discarded, build.judged.counts):
+        assert "series" not in plans(lean).split("ReadSchema: ", 1)[1].split("\n", 1)[0]
+    events = plans(extract_events(build.data, build.settings))
+    assert events.count("Exchange hashpartitioning") == 1
+    assert "Exchange hashpartitioning" not in plans(build.data.filter("vin = 'A'"))
+    assert sorted((r.reason or "", r.row_count) for r in build.reason_counts.collect()) == [("", 9), ("exact_duplicate", 9)]
+
+
+def test_absent_values_are_not_confused_with_others(spark):
+    # Equal texts in different columns, and nulls in either, are different contents.
+    base = ("A", B.start_trigger, B.latitude_signal, "1", None, at(0))
+    rows = [(*base, "x", None), (*base, None, "x"), (*base, None, None), (*base, "x", "x"), (*base, None, "x")]
+    c = clean(spark.createDataFrame(rows, RAW_SCHEMA))
+    assert c.data.count() == 4 and [r.reason for r in c.discarded.collect()] == ["exact_duplicate"]
+
+
 def test_series_reader(spark):
     texts = ["[1,2]", "[1.5]", '["1"]', "[1e3,-2]", "[Infinity]", "[[1]]", "1", None, "[true]"]
     df = with_series_values(spark.createDataFrame([(t,) for t in texts], "series string"))

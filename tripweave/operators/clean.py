@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..config import BuildSettings
 from ..schema import require_columns
+from ..session import stage
 
 CANONICAL = ("vin", "trigger", "signal", "scalar", "series", "timestamp")
 ROW_ID = "source_row_id"
@@ -93,22 +94,24 @@ def as_series_text(df: DataFrame, name: str) -> Column:
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
-    """Dense 0-based id in scan order (file order for a single file).
+    """Dense 0-based id in scan order (file order for a single file)."""
+    return _dense(df.withColumn(ROW_ID, F.monotonically_increasing_id()))
 
-    Spark's own id counts from partition << 33; the offsets table has one row per
-    input partition, so the join below moves no data rows.
+
+def _dense(df: DataFrame, written: bool = False) -> DataFrame:
+    """Spark's own ids, which count from partition << 33, as numbers without gaps.
+
+    The offsets table has one row per partition of the scan that gave the ids, so the join
+    moves no data rows. A lazy ``df`` is evaluated twice; for a ``written`` one the offsets
+    are written too.
     """
-    tagged = df.withColumn("_mono", F.monotonically_increasing_id()).withColumn(
-        "_part", F.shiftright("_mono", 33)
-    )
-    sizes = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    part = F.shiftright(ROW_ID, 33)
+    sizes = df.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    return (
-        tagged.join(F.broadcast(offsets), "_part")
-        .withColumn(ROW_ID, F.col("_offset") + F.col("_mono") - F.shiftleft(F.col("_part"), 33))
-        .drop("_part", "_mono", "_offset")
-    )
+    offsets = stage(offsets, "offsets") if written else offsets
+    dense = F.col("_offset") + F.col(ROW_ID) - F.shiftleft(F.col("_part"), 33)
+    return df.join(F.broadcast(offsets), part == F.col("_part")).withColumn(ROW_ID, dense).drop("_part", "_offset")
 
 
 def canonical(raw: DataFrame, cfg: BuildSettings) -> DataFrame:
@@ -216,77 +219,96 @@ def late_reason(cfg: BuildSettings, values: Column | None = None) -> Column:
     )
 
 
-def with_late_reason(rows: DataFrame, cfg: BuildSettings) -> DataFrame:
-    """Append ``reason`` by the late rules; only rows that reach the last one are parsed."""
-    reaches = late_reason(cfg).isNull() & (F.col("trigger") == cfg.periodic_trigger)
-    parsed = with_series_values(rows, when=reaches)
-    return parsed.withColumn("reason", late_reason(cfg, F.col("series_values"))).drop("series_values")
-
+def _content_hash(content: list[str]) -> list[Column]:
+    """Two hashes of 64 bits over a row's content; rows of equal content have equal ones.
 
-def first_copies(rows: DataFrame) -> DataFrame:
-    """One row per distinct content, with its smallest row id and its copy count.
-
-    An aggregation and not a window: copies fold on the map side, so a row copied
-    a billion times still sends one record per map task.
+    Nulls are told from absent values by flags, which the hash itself would skip.
     """
-    content = [c for c in rows.columns if c != ROW_ID]
-    return rows.groupBy(*content).agg(
-        F.min(ROW_ID).alias(ROW_ID), F.count(F.lit(1)).alias("_copies")
-    )
+    flags = [F.col(c).isNull() for c in content]
+    return [F.xxhash64(F.lit(seed), *flags, *content).alias(f"_hash{seed}") for seed in (0, 1)]
 
 
-def retained_rows(rows: DataFrame, cfg: BuildSettings) -> DataFrame:
-    """Canonical rows that pass every rule, with ``series_values`` parsed once.
-
-    The rules read only content, so they commute with removing copies: the cheap
-    ones run on the scan, the parsing of arrays on first copies alone.
+@dataclass(frozen=True)
+class Judged:
+    """Every received row with one reason or none, from one pass over the raw table.
+
+    ``rows`` is written: row id, the rules' verdicts, a hash of the content, and the content
+    of rows that may stay, arrays parsed. Copies are found on the hashes alone: 24 bytes a row
+    are exchanged and fold on the map side, so a row copied a billion times sends one record
+    per map task. Only contents that repeat are listed (``repeated``), and what reads the rows
+    is joined with that list.
     """
-    kept = rows.filter(relevant(cfg)).filter(early_reason().isNull() & late_reason(cfg).isNull())
-    if cfg.drop_exact_duplicates:
-        kept = first_copies(kept).drop("_copies")
-    periodic = F.col("trigger") == cfg.periodic_trigger
-    return with_series_values(kept, when=periodic).filter(~periodic | F.col("series_values").isNotNull())
 
-
-def discard_log(rows: DataFrame, cfg: BuildSettings) -> DataFrame:
-    """(source_row_id, reason) of every discarded row."""
-    early = rows.withColumn("reason", early_reason())
-    lost_early = early.filter(F.col("reason").isNotNull()).select(ROW_ID, "reason")
-    survivors = early.filter(F.col("reason").isNull()).drop("reason")
-    firsts = first_copies(survivors) if cfg.drop_exact_duplicates else survivors
-    late = with_late_reason(firsts, cfg).filter(F.col("reason").isNotNull()).select(ROW_ID, "reason")
-    log = lost_early.unionByName(late)
-    if not cfg.drop_exact_duplicates:
-        return log
-    # Row ids are unique, so this anti join has no hot key however hot a content is.
-    repeated = survivors.select(ROW_ID).join(firsts.select(ROW_ID), ROW_ID, "left_anti")
-    return log.unionByName(repeated.withColumn("reason", F.lit("exact_duplicate")))
+    rows: DataFrame
+    repeated: DataFrame | None
+    content: list[str]
+
+    @property
+    def verdicts(self) -> DataFrame:
+        """``rows`` with ``reason``: the early rules, then copies, then the late ones."""
+        if self.repeated is None:
+            return self.rows.withColumn("reason", F.coalesce("_early", "_late"))
+        same = (F.col("_hash0") == F.col("_first0")) & (F.col("_hash1") == F.col("_first1")) & F.col("_early").isNull()
+        copy = F.when(F.col("_first_id") != F.col(ROW_ID), "exact_duplicate")
+        return self.rows.join(self.repeated, same, "left").withColumn("reason", F.coalesce("_early", copy, "_late"))
+
+    @property
+    def retained(self) -> DataFrame:
+        """Rows that pass every rule, with ``series_values``."""
+        kept = self.verdicts.filter(F.col("_early").isNull() & F.col("_late").isNull() & F.col("reason").isNull())
+        return kept.select(*self.content, ROW_ID, "series_values")
+
+    @property
+    def discarded(self) -> DataFrame:
+        """(source_row_id, reason) of every discarded row."""
+        return self.verdicts.filter(F.col("reason").isNotNull()).select(ROW_ID, "reason")
+
+    @property
+    def counts(self) -> DataFrame:
+        """(reason, row_count); reason is null for the retained rows."""
+        return self.verdicts.groupBy("reason").agg(F.count(F.lit(1)).alias("row_count"))
+
+
+def repeated_contents(rows: DataFrame) -> DataFrame:
+    """(_first0, _first1, _first_id): hashes that more than one row has, and the least row id."""
+    return (
+        rows.filter(F.col("_early").isNull())
+        .groupBy(F.col("_hash0").alias("_first0"), F.col("_hash1").alias("_first1"))
+        .agg(F.min(ROW_ID).alias("_first_id"), F.count(F.lit(1)).alias("_copies"))
+        .filter("_copies > 1")
+        .drop("_copies")
+    )
 
 
-def reason_counts(rows: DataFrame, cfg: BuildSettings) -> DataFrame:
-    """(reason, row_count); reason is null for the retained rows."""
-    early = rows.withColumn("reason", early_reason())
-    lost_early = early.filter(F.col("reason").isNotNull()).groupBy("reason").agg(
-        F.count(F.lit(1)).alias("row_count")
+def judge(raw: DataFrame, cfg: BuildSettings) -> Judged:
+    """Run the rules once and write what they say."""
+    own_ids = cfg.row_id_column is None
+    if own_ids:
+        # The scan's ids are written and made dense from what was written: one evaluation.
+        raw = raw.withColumn(ROW_ID, F.monotonically_increasing_id())
+        cfg = replace(cfg, row_id_column=ROW_ID)
+    rows = canonical(raw, cfg)
+    content = [c for c in rows.columns if c != ROW_ID]
+    cheap = F.coalesce(early_reason(), late_reason(cfg))
+    periodic = F.col("trigger") == cfg.periodic_trigger
+    parsed = with_series_values(rows, when=cheap.isNull() & periodic)
+    told = parsed.withColumn("_early", early_reason()).withColumn("_late", late_reason(cfg, F.col("series_values")))
+    stays = F.col("_early").isNull() & F.col("_late").isNull()
+    written = stage(
+        told.select(
+            ROW_ID,
+            "_early",
+            "_late",
+            *_content_hash(content),
+            *[F.when(stays, F.col(c)).alias(c) for c in (*content, "series_values")],
+        ),
+        "judged",
     )
-    survivors = early.filter(F.col("reason").isNull()).drop("reason")
+    if own_ids:
+        written = _dense(written, written=True)
     if not cfg.drop_exact_duplicates:
-        late = with_late_reason(survivors, cfg).groupBy("reason").agg(F.count(F.lit(1)).alias("row_count"))
-        return lost_early.unionByName(late)
-    # Each group stands for one kept row and its dropped copies.
-    per_reason = (
-        with_late_reason(first_copies(survivors), cfg)
-        .groupBy("reason")
-        .agg(F.count(F.lit(1)).alias("row_count"), F.sum(F.col("_copies") - 1).alias("_repeats"))
-    )
-    repeats = F.struct(F.lit("exact_duplicate").alias("reason"), F.col("_repeats").alias("row_count"))
-    split = per_reason.select(F.inline(F.array(F.struct("reason", "row_count"), repeats)))
-    return (
-        lost_early.unionByName(split)
-        .groupBy("reason")
-        .agg(F.sum("row_count").alias("row_count"))
-        .filter("row_count > 0")
-    )
+        return Judged(written, None, content)
+    return Judged(written, stage(repeated_contents(written), "repeated"), content)
 
 
 def cleaning_record(counts: DataFrame) -> DataFrame:
@@ -307,6 +329,5 @@ def cleaning_record(counts: DataFrame) -> DataFrame:
 
 
 def clean(raw: DataFrame, cfg: BuildSettings | None = None) -> Cleaned:
-    cfg = cfg or BuildSettings()
-    rows = canonical(raw, cfg)
-    return Cleaned(retained_rows(rows, cfg), discard_log(rows, cfg), reason_counts(rows, cfg))
+    told = judge(raw, cfg or BuildSettings())
+    return Cleaned(told.retained, told.discarded, told.counts)

@@ -27,9 +27,10 @@ TIMESTAMP_NOTE = (
 class TripBuild:
     """Outputs of one build.
 
-    Three tables are staged because several steps read them: ``events`` (end of the
-    work on raw rows), ``paired`` (the timeline, by route) and ``outcomes`` (end of
-    the work per trip). Everything else is a lazy view of those and the raw table.
+    Four tables are staged because several steps read them: ``judged`` (the only pass over
+    the raw table: rules, copies, parsed arrays), ``events`` (end of the work on rows),
+    ``paired`` (the timeline, by route) and ``outcomes`` (end of the work per trip).
+    Everything else is a lazy view of those.
     """
 
     raw: DataFrame
@@ -40,17 +41,22 @@ class TripBuild:
     def rows(self) -> DataFrame:
         return C.canonical(self.raw, self.settings)
 
+    @cached_property
+    def judged(self) -> C.Judged:
+        return C.judge(self.raw, self.settings)
+
     @cached_property
     def data(self) -> DataFrame:
-        return C.retained_rows(self.rows, self.settings)
+        return self.judged.retained
 
     @cached_property
     def discarded(self) -> DataFrame:
-        return C.discard_log(self.rows, self.settings)
+        return self.judged.discarded
 
     @cached_property
     def reason_counts(self) -> DataFrame:
-        return C.reason_counts(self.rows, self.settings)
+        """Counted once; both audits read it."""
+        return stage(self.judged.counts, "reasons")
 
     @cached_property
     def events(self) -> DataFrame:
