@@ -182,3 +182,33 @@ def test_equal_departures_are_one_moment(spark, trips):
     same = spark.range(1000).selectExpr("'V00' AS vin", "timestamp'2026-02-13 12:30:00' AS departure", "id")
     counted = S.with_trip_counts(same, ordered, __import__("tripweave").SpreadSettings())
     assert counted.count() == 1000 and counted.select("completed", "started").distinct().count() == 1
+
+
+@pytest.mark.parametrize("fan", [2, 3, 64])
+def test_last_ended_trips_are_found_by_blocks(spark, fan):
+    """Overlapping trips, some open for long; against a look at every trip."""
+    import random
+    from datetime import datetime, timedelta
+
+    from tripweave.operators.scenarios import last_ended
+
+    rnd, t0 = random.Random(4), datetime(2026, 1, 1)
+    trips, asked = [], []
+    for vin, n, open_share in (("A", 150, 0.0), ("B", 150, 0.9), ("C", 3, 0.5), ("D", 40, 1.0)):
+        for i in range(n):
+            start = t0 + timedelta(minutes=10 * i)
+            long = rnd.random() < open_share
+            end = start + timedelta(minutes=10**5 if long else rnd.randint(1, 200))
+            trips.append((vin, i + 1, f"{vin}{i + 1}", start, end))
+        for _ in range(15):
+            departure = t0 + timedelta(minutes=rnd.randint(-5, 10 * n + 300))
+            started = sum(t[0] == vin and t[3] < departure for t in trips)
+            asked.append((f"q{len(asked)}", vin, f"{vin}{rnd.randint(1, n)}", departure, started, rnd.choice([0, 1, 3, 20])))
+    table = spark.createDataFrame(trips, "VIN string, ordinal long, trip_id string, StartTrip timestamp, EndTrip timestamp")
+    rows = spark.createDataFrame(asked, "k string, VIN string, reference_trip_id string, departure timestamp, started long, _limit int")
+    found = {}
+    for r in last_ended(rows, "k", table, F.col("trip_id"), fan).collect():
+        found.setdefault(r.k, set()).add(r.item)
+    for k, vin, reference, departure, _, limit in asked:
+        fit = [t[2] for t in trips if t[0] == vin and t[3] < departure and t[4] < departure and t[2] != reference]
+        assert found.get(k, set()) == set(fit[len(fit) - min(limit, len(fit)) :]), k

@@ -179,3 +179,27 @@ def test_repeat_filter_equals_brute_force(spark):
         if not kept or haversine(kept[-1], p) >= REPEAT_M:
             kept.append(p)
     assert got == kept and len(kept) < 1900
+
+
+@pytest.mark.parametrize("few", [1, 7, 1024])
+def test_quantiles_narrow_through_ties_and_scales(spark, few):
+    rng = np.random.default_rng(9)
+    groups = {
+        "ties": np.repeat([1.0, 2.0, 3.0], [500, 500, 1]),
+        "scales": 10.0 ** rng.integers(-200, 200, 700),
+        "one": np.array([4.0]),
+        "two": np.array([-1.0, 5.0]),
+        "even": np.sort(rng.normal(size=900)),
+        None: np.concatenate([np.zeros(600), rng.random(300)]),
+    }
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    marks = {"least": 0.0, "low": 0.1, "mid": 0.5, "high": 0.9, "most": 1.0}
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", marks, few).collect()}
+    assert set(got) == set(groups)
+    for g, xs in groups.items():
+        for name, q in marks.items():
+            ordered = np.sort(xs)
+            spot = q * (len(xs) - 1)
+            a, b = ordered[int(spot)], ordered[min(int(spot) + 1, len(xs) - 1)]
+            assert got[g][name] == a + (b - a) * (spot - int(spot)), (g, name)

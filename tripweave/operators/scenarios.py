@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SampleSettings, SpreadSettings
@@ -196,25 +196,52 @@ def eligible_history_rows(located: DataFrame, trips: DataFrame) -> DataFrame:
     )
 
 
-def last_ended(rows: DataFrame, key: str, trips: DataFrame, item: Column) -> DataFrame:
+#: Children of a block of ordinals; trips of a finest block.
+FAN = 64
+
+
+def last_ended(rows: DataFrame, key: str, trips: DataFrame, item: Column, fan: int = FAN) -> DataFrame:
     """(key, item) of the last ``_limit`` eligible trips by start, for rows with VIN,
-    reference_trip_id, departure, completed, started and _limit.
+    reference_trip_id, departure, started and _limit.
 
-    Of the trips that had begun, ``started - completed`` were still under way. So many
-    numbers more than the limit, and one for the reference trip, hold the answer.
+    Trips may overlap, so any number of those that had begun may still be under way. A
+    vehicle's ordinals are cut into blocks, those into blocks again, each with its least
+    EndTrip. A block whose least end lies before the departure holds an eligible trip (or
+    the reference trip), so of the blocks of one size no request looks into more than the
+    last ``_limit + 1`` of such: whatever is under way, it reads ``fan`` times as many rows.
     """
-    reach = F.col("_limit") + F.col("started") - F.col("completed")
-    numbers = F.sequence(F.greatest(F.lit(1).cast("bigint"), F.col("started") - reach), F.col("started"))
-    found = (
-        rows.filter("started > 0 AND _limit > 0")
-        .select(key, "VIN", "reference_trip_id", "departure", "_limit", F.explode(numbers).alias("ordinal"))
+    ends = trips.select("VIN", "ordinal", "EndTrip")
+    most = ends.agg(F.max("ordinal")).first()[0] or 0
+    sizes, index = [], {}
+    while (sizes[-1] if sizes else 1) * fan < most:
+        size = (sizes[-1] if sizes else 1) * fan
+        below = index[sizes[-1]] if sizes else ends.select("VIN", (F.col("ordinal") - 1).alias("_block"), F.col("EndTrip").alias("_least"))
+        made = below.groupBy("VIN", F.expr(f"_block div {fan}").alias("_block")).agg(F.min("_least").alias("_least"))
+        index[size] = stage(made, "blocks")
+        sizes.append(size)
+    asked = rows.filter("started > 0 AND _limit > 0").select(
+        key, "VIN", "reference_trip_id", "departure", "_limit", "started"
+    )
+    last = Window.partitionBy(key).orderBy(F.col("_block").desc())
+    widest = sizes[-1] if sizes else 1
+    open_blocks = asked.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(started - 1) div {widest}"))))
+    for size in reversed(sizes):
+        kept = (
+            open_blocks.join(index[size], ["VIN", "_block"])
+            .filter(F.col("_least") < F.col("departure"))
+            .withColumn("_place", F.row_number().over(last))
+            .filter(F.col("_place") <= F.col("_limit") + 1)
+        )
+        smaller = size // fan
+        low, high = F.col("_block") * fan, F.least(F.col("_block") * fan + fan - 1, F.expr(f"(started - 1) div {smaller}"))
+        open_blocks = kept.select(*asked.columns, F.explode(F.sequence(low, high)).alias("_block"))
+    return (
+        open_blocks.withColumn("ordinal", F.col("_block") + 1)
         .join(trips, ["VIN", "ordinal"])
         .filter((F.col("EndTrip") < F.col("departure")) & (F.col("trip_id") != F.col("reference_trip_id")))
-    )
-    latest = found.groupBy(key, "_limit").agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    size = F.size("_items")
-    return latest.select(
-        key, F.explode(F.slice("_items", F.greatest(size - F.col("_limit"), F.lit(0)) + 1, F.col("_limit"))).alias("item")
+        .withColumn("_place", F.row_number().over(last))
+        .filter(F.col("_place") <= F.col("_limit"))
+        .select(key, item.alias("item"))
     )
 
 

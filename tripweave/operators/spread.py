@@ -147,63 +147,102 @@ def with_neighbour_marks(
     )
 
 
+#: Values of a bracket that are ordered as they are, and marks that cut a wider one.
+FEW, MARKS = 1024, 256
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     quantiles: dict[str, float],
-    accuracy: int = 100000,
+    few: int = FEW,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one column per name.
 
-    A mergeable sketch brackets each quantile. Values outside all brackets are only
-    counted; distinct values inside (about 6/accuracy of the rows) are ordered. A
-    group of at most ``accuracy`` rows takes the bracket (min, max). ``value`` must
-    have no nulls. Runs the sketch at once and reads ``df`` again later.
+    A quantile lies between two ranks, and each rank is searched by narrowing. A bracket
+    (low, high) of values is known to hold the rank; counts of the values up to ``low`` and
+    strictly between tell whether ``low`` or ``high`` is the answer. Otherwise the values
+    between are cut at ``MARKS`` marks of a mergeable sketch and the four parts around the
+    rank are the next bracket. What lies strictly between two marks shrinks by a factor of
+    over 50 in each pass, whatever ties there are, until ``few`` values are left. So no task
+    ever holds more than that of a group, and passes grow with the logarithm of its rows.
+
+    ``value`` must have no nulls. Runs its passes at once: pass a written table.
     """
     keys = list(keys) or ["_all"]
     keyed = df if keys != ["_all"] else df.withColumn("_all", F.lit(1))
     keyed = keyed.select(*keys, F.col(value).alias("_v"))
-    slack = 3.0 / accuracy
-    edges = [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")]
-    for name, q in quantiles.items():
-        edges.append(F.percentile_approx("_v", max(0.0, q - slack), accuracy).alias(f"_lo_{name}"))
-        edges.append(F.percentile_approx("_v", min(1.0, q + slack), accuracy).alias(f"_hi_{name}"))
-    whole = F.col("_n") <= accuracy
-    bounds = keyed.groupBy(*keys).agg(*edges).select(
-        *[F.col(k).alias(f"_key_{k}") for k in keys],
-        "_n",
-        *[F.when(whole, F.col("_min")).otherwise(F.col(f"_lo_{n}")).alias(f"_lo_{n}") for n in quantiles],
-        *[F.when(whole, F.col("_max")).otherwise(F.col(f"_hi_{n}")).alias(f"_hi_{n}") for n in quantiles],
-    )
-    # Written before the join, so that adaptive execution knows its size and may split
-    # the other side.
-    bounds = stage(bounds, "bounds")
-
-    match = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
     v = F.col("_v")
-    inside, zone = F.lit(False), F.lit(0)
-    for name in quantiles:
-        inside = inside | v.between(F.col(f"_lo_{name}"), F.col(f"_hi_{name}"))
-        zone = zone + F.when(v > F.col(f"_hi_{name}"), 1).otherwise(0)
-    # Outside values with the same number of brackets below them form one interval.
-    counted = (
-        keyed.join(bounds, match, "inner")
-        .select(*keys, "_n", "_v", inside.alias("_inside"), zone.alias("_zone"))
-        .groupBy(*keys, "_n", "_inside", "_zone", F.when(F.col("_inside"), v).alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_at"))
-    )
-    lower = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counted.withColumn("_before", F.coalesce(F.sum("_c").over(lower), F.lit(0)))
-
-    def value_at(rank: Column) -> Column:
-        hit = (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_c"))
-        return F.max(F.when(hit & F.col("_inside"), F.col("_at")))
-
+    names = list(quantiles)
+    ranks = [f"{i}_{side}" for i in range(len(names)) for side in ("a", "b")]
+    spots = {f"{i}_{side}": q for i, q in enumerate(quantiles.values()) for side in ("a", "b")}
+
+    def rank(r: str) -> Column:
+        below = F.floor(F.lit(float(spots[r])) * (F.col("_n") - 1))
+        return below if r.endswith("a") else F.least(below + 1, F.col("_n") - 1)
+
+    def with_state(state: DataFrame) -> DataFrame:
+        named = state.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+        match = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+        return keyed.join(named, match, "inner")
+
+    def between(r: str) -> Column:
+        return (v > F.col(f"_low_{r}")) & (v < F.col(f"_high_{r}"))
+
+    def counted(brackets: DataFrame) -> DataFrame:
+        """Count what the brackets hold; a rank that falls on an end of its own is found."""
+        columns = [c for c in brackets.columns if c not in keys]
+        counts = []
+        for r in ranks:
+            counts += [F.count_if(v <= F.col(f"_low_{r}")).alias(f"_upto_{r}"), F.count_if(between(r)).alias(f"_inside_{r}")]
+        found = with_state(brackets).groupBy(*keys, *columns).agg(*counts)
+        for r in ranks:
+            at_low = rank(r) < F.col(f"_upto_{r}")
+            at_high = rank(r) >= F.col(f"_upto_{r}") + F.col(f"_inside_{r}")
+            value_at = F.when(at_low, F.col(f"_low_{r}")).when(at_high, F.col(f"_high_{r}"))
+            found = found.withColumn(f"_value_{r}", value_at)
+        # Written before the join, so that adaptive execution may split the other side.
+        return stage(found, "brackets")
+
+    ends = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    edges = [c.alias(n) for r in ranks for c, n in ((F.col("_least"), f"_low_{r}"), (F.col("_most"), f"_high_{r}"))]
+    state = counted(stage(ends.select(*keys, "_n", *edges), "ends"))
+
+    def wide(r: str) -> Column:
+        return F.col(f"_value_{r}").isNull() & (F.col(f"_inside_{r}") > few)
+
+    any_wide = F.lit(False)
+    for r in ranks:
+        any_wide = any_wide | wide(r)
+    shares = [i / MARKS for i in range(MARKS + 1)]
+    while not state.filter(any_wide).isEmpty():
+        columns = [c for c in state.columns if c not in keys]
+        marks = [
+            F.percentile_approx(F.when(wide(r) & between(r), v), shares, 10 * MARKS).alias(f"_marks_{r}") for r in ranks
+        ]
+        cut = with_state(state).groupBy(*keys, *columns).agg(*marks)
+        narrowed = []
+        for r in ranks:
+            at = F.floor((rank(r) - F.col(f"_upto_{r}")) * MARKS / F.col(f"_inside_{r}")).cast("int")
+            low, high = F.get(f"_marks_{r}", at - 1), F.get(f"_marks_{r}", at + 3)
+            narrowed += [
+                F.when(wide(r), F.coalesce(low, F.col(f"_low_{r}"))).otherwise(F.col(f"_low_{r}")).alias(f"_low_{r}"),
+                F.when(wide(r), F.coalesce(high, F.col(f"_high_{r}"))).otherwise(F.col(f"_high_{r}")).alias(f"_high_{r}"),
+            ]
+        state = counted(stage(cut.select(*keys, "_n", *narrowed), "cuts"))
+
+    columns = [c for c in state.columns if c not in keys]
+    rest = [
+        F.sort_array(F.collect_list(F.when(F.col(f"_value_{r}").isNull() & between(r), v))).alias(f"_rest_{r}") for r in ranks
+    ]
+    left = with_state(state).groupBy(*keys, *columns).agg(*rest)
     results = []
-    for name, q in quantiles.items():
+    for i, (name, q) in enumerate(quantiles.items()):
+        a, b = (
+            F.coalesce(F.col(f"_value_{r}"), F.get(f"_rest_{r}", (rank(r) - F.col(f"_upto_{r}")).cast("int")))
+            for r in (f"{i}_a", f"{i}_b")
+        )
         spot = F.lit(float(q)) * (F.col("_n") - 1)
-        below = F.floor(spot)
-        a, b = value_at(below), value_at(F.least(below + 1, F.col("_n") - 1))
-        results.append((a + (b - a) * F.max(spot - below)).alias(name))
-    return ranked.groupBy(*keys).agg(*results).drop("_all")
+        results.append((a + (b - a) * (spot - F.floor(spot))).alias(name))
+    return left.select(*keys, *results).drop("_all")
