@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tripweave.llm import decontaminate, language, licenses, queries, quoting, substring_dedup
+from tripweave.llm import decontaminate, language, licenses, pii, queries, quoting, substring_dedup
 
 
 # -- license scan ----------------------------------------------------------------------
@@ -177,3 +177,74 @@ def test_the_private_data_query_keeps_the_order_of_its_contract(spark, tmp_path)
     got = queries.op9_pii(spark, str(tmp_path))
     assert got.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
     assert got.select(F.sha2("spans", 256) == F.col("base_sha256")).first()[0]
+
+
+# -- personal data ---------------------------------------------------------------------
+
+
+def segmentations(n, scored):
+    """Every way to cut tokens 0..n into plain tokens and candidate segments of a type."""
+    if n == 0:
+        return [(0.0, ())]
+    out = [(v, p) for v, p in segmentations(n - 1, scored)]
+    for (i, j), (_, by_type) in scored.items():
+        if j == n:
+            out += [(v + s, (*p, (i, j, k))) for v, p in segmentations(i, scored) for k, s in zip(pii.TYPES, by_type)]
+    return out
+
+
+def test_best_path_and_sums_equal_enumeration():
+    rnd = random.Random(2)
+    for text in ("12 34-5678 9012", "a1@b2.co 5555", "+1 (22) 333-4444", "x9f8e7d6c5b4a39281706f5 77 88"):
+        (start, end), *_ = pii.islands(text)
+        tokens, _, before = pii._island(text, start, end)
+        field = pii.Field()
+        names = {f for i, j in pii.candidates(tokens) for f in pii.features(tokens, i, j, "")}
+        field.weights.update({(k, f): rnd.gauss(0, 1) for k in pii.TYPES for f in names})
+        scored = field.scores(tokens, before)
+        every = segmentations(len(tokens), scored)
+        value, path = max(every)
+        best = field.best(tokens, before)
+        assert sum(b[3] for b in best) == pytest.approx(value) and {b[:3] for b in best} == set(path)
+        # The step moves each weight by the gold count less the expected one.
+        gold = set(path)
+        total = sum(math.exp(v) for v, _ in every)
+        expected = {}
+        for v, p in every:
+            for i, j, k in p:
+                for f in scored[i, j][0]:
+                    expected[k, f] = expected.get((k, f), 0.0) + math.exp(v) / total
+        before_step = dict(field.weights)
+        field.step(tokens, before, gold, 1.0)
+        for i, j, k in gold:
+            for f in scored[i, j][0]:
+                expected[k, f] = expected.get((k, f), 0.0) - 1
+        for key, off in expected.items():
+            assert field.weights[key] == pytest.approx(before_step.get(key, 0.0) - off, abs=2e-2)
+
+
+def test_the_field_finds_what_no_pattern_does():
+    rnd = random.Random(7)
+    digits = lambda k: "".join(rnd.choice("0123456789") for _ in range(k))
+    secret = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(40))
+
+    def card():
+        while True:
+            made = "4" + digits(15)
+            if pii.luhn(made):
+                return made
+
+    samples = []
+    for _ in range(60):
+        samples += [f"word +1 ({digits(3)}) 555-{digits(4)} more", f"word {rnd.randint(1, 200)}.{rnd.randint(1, 200)}.3.4 x"]
+        samples += [f"word {card()} x", f"ann.{digits(2)}@mail{digits(1)}.example.com", f'is token = "{secret()}" then']
+    field = pii.fit(samples)
+    kinds = lambda text: [(k, text[a:b]) for k, a, b in pii.all_spans(text, field)]
+    hidden = secret()
+    assert kinds(f"see {hidden} there") == [("secret", hidden)] or kinds(f'token = "{hidden}"') == [("secret", hidden)]
+    assert kinds(f'the token = "{hidden}" was') == [("secret", hidden)]
+    assert kinds("call 1 (204) 555-1234 now") == [("phone", "1 (204) 555-1234")]
+    for plain in ("in 2024 there", "about 1234567 people", "at 12.5 percent", "the abcdefghijklmnopqrst word", ""):
+        assert kinds(plain) == [], plain
+    for text in ("+1 (204) 555-1234", "a@b.example.com", "59.36.80.30"):
+        assert [s[0] for s in kinds(text)] == [s[0] for s in pii.base_spans(text)]

@@ -6,9 +6,13 @@ chunks that hold a digit or an ``@``. An island is cut into tokens; every run of
 ``LONGEST`` tokens is a candidate segment, scored as a whole (its shape, its digit
 groups, length, check sum, the word before it) for each type, and dynamic programming
 over the tokens chooses boundaries and types together. Weights maximise the conditional
-likelihood, by forward and backward sums, on a bounded sample of islands labelled by the
-patterns. A segment that the best path takes is added if its log odds against plain text
-pass a margin and it meets no pattern's span.
+likelihood, by forward and backward sums, on a bounded sample of islands. These are labelled
+by the patterns, by names that announce a secret (``token = "..."``), and by what becomes of
+pattern spans that are written otherwise: a phone without its plus stays a phone, the first
+digits of a number are plain text. So the field knows forms that no pattern finds: phones
+without a plus, and secrets (mixed runs of letters and digits) by their own looks, announced
+or not. A segment that the best path takes is added if its log odds against plain text pass a
+margin and it meets no pattern's span.
 
 Defined cases: null and empty texts have no spans. Offsets are code points, ends
 exclusive. Spans are ordered by kind, then start. Rows that repeat, and null ids, are
@@ -29,6 +33,8 @@ from pyspark.sql import functions as F
 from tripweave.llm.common import ready
 
 KINDS = ("email", "ip", "card", "phone")
+#: What the field tells apart: the kinds of the patterns, and secrets.
+TYPES = (*KINDS, "secret")
 
 #: Islands that the field is fitted on, and the longest of them in characters.
 SAMPLE_ISLANDS, SAMPLE_CHARS = 600, 200
@@ -96,7 +102,23 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 _HIT = re.compile(r"[0-9@]")
 _SPACE = re.compile(r"\s")
-_TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|\s+|[^\s]", re.ASCII)
+#: Letters and digits of a mixed run, which is one token.
+MIXED = 16
+_TOKEN = re.compile(
+    rf"(?=[0-9]*[A-Za-z])(?=[A-Za-z]*[0-9])[A-Za-z0-9]{{{MIXED},}}|[0-9]+|[A-Za-z]+|\s+|[^\s]", re.ASCII
+)
+_ANNOUNCED = re.compile(
+    rf"(?i)(?:token|secret|password|passwd|pwd|api[ _-]?key|key)[\x20\t]*[=:][\x20\t]*[\"']?([a-z0-9]{{{MIXED},}})(?![a-z0-9])"
+)
+
+
+def _mixed(token: str) -> bool:
+    return len(token) >= MIXED and not token.isdigit() and not token.isalpha() and token.isalnum()
+
+
+def announced(text: str) -> list[tuple[str, int, int]]:
+    """Secrets that a name stands before. They teach the field; they are not spans by themselves."""
+    return [("secret", *m.span(1)) for m in _ANNOUNCED.finditer(text) if _mixed(m[1])]
 
 
 def islands(text: str) -> Iterator[tuple[int, int]]:
@@ -148,6 +170,9 @@ def features(tokens: list[str], first: int, last: int, before: str) -> list[str]
         out.append(f"luhn:{luhn(digits)}")
     if len(groups) == 4 and marks == ".":
         out.append(f"octets:{all(_octet(t) for t in part if "0" <= t[0] <= "9")}")
+    mixed = [t for t in part if _mixed(t)]
+    if mixed:
+        out.append(f"mixed:{len(part)}:{min(len(mixed[0]) // 8, 8)}:{set(mixed[0].lower()) <= set('0123456789abcdef')}")
     if "@" in text:
         out.append(f"at:{text.count('@')}:{'.' in text.split('@')[-1].strip('.')}")
     return out
@@ -155,7 +180,8 @@ def features(tokens: list[str], first: int, last: int, before: str) -> list[str]
 
 def candidates(tokens: list[str]) -> Iterator[tuple[int, int]]:
     """Segments that can be data at all: with an @, or without letters and with
-    ``LEAST_DIGITS`` digits; on one line, from a letter, digit, + or ( to a letter or digit."""
+    ``LEAST_DIGITS`` digits; on one line, from a letter, digit, + or ( to a letter or digit.
+    A mixed run is a segment by itself."""
     n = len(tokens)
     next_at = [n + LONGEST] * (n + 1)  # none ahead: out of reach
     for i in range(n - 1, -1, -1):
@@ -164,8 +190,12 @@ def candidates(tokens: list[str]) -> Iterator[tuple[int, int]]:
         if not (token[0].isalnum() or token[0] in "+("):
             continue
         at, digits = next_at[i], 0
+        if _mixed(token):
+            yield i, i + 1
         for j in range(i, min(n, i + LONGEST)):
             c = tokens[j][0]
+            if at >= i + LONGEST and _mixed(tokens[j]):
+                break
             if c.isspace():
                 if j < at < i + LONGEST or "\n" in tokens[j]:
                     break  # no blanks in an address, no data over lines
@@ -189,7 +219,7 @@ class Field:
         weigh = self.weights
         for i, j in candidates(tokens):
             found = features(tokens, i, j, before if i == 0 else "")
-            out[i, j] = found, [sum(weigh.get((k, f), 0.0) for f in found) for k in KINDS]
+            out[i, j] = found, [sum(weigh.get((k, f), 0.0) for f in found) for k in TYPES]
         return out
 
     def best(self, tokens: list[str], before: str) -> list[tuple[int, int, str, float]]:
@@ -197,7 +227,7 @@ class Field:
         scored = self.scores(tokens, before)
         ends = defaultdict(list)
         for (i, j), (_, by_kind) in scored.items():
-            top = max(range(len(KINDS)), key=by_kind.__getitem__)
+            top = max(range(len(TYPES)), key=by_kind.__getitem__)
             if by_kind[top] > 0:
                 ends[j].append((i, top, by_kind[top]))
         value, back = [0.0] * (len(tokens) + 1), [None] * (len(tokens) + 1)
@@ -205,7 +235,7 @@ class Field:
             value[j] = value[j - 1]
             for i, kind, score in ends[j]:
                 if value[i] + score > value[j]:
-                    value[j], back[j] = value[i] + score, (i, KINDS[kind], score)
+                    value[j], back[j] = value[i] + score, (i, TYPES[kind], score)
         out, j = [], len(tokens)
         while j:
             if back[j] is None:
@@ -231,7 +261,7 @@ class Field:
         for i in range(n - 1, -1, -1):
             behind[i] = _log_sum([behind[i + 1], *(behind[j] + s for j, s in by_start[i])])
         for (i, j), (found, by_kind) in scored.items():
-            for kind, score in zip(KINDS, by_kind, strict=True):
+            for kind, score in zip(TYPES, by_kind, strict=True):
                 move = ((i, j, kind) in gold) - math.exp(ahead[i] + score + behind[j] - ahead[n])
                 if abs(move) > 1e-3:
                     for f in found:
@@ -251,17 +281,42 @@ def _island(text: str, start: int, end: int) -> tuple[list[str], list[int], str]
     return [m[0] for m in found], [m.start() for m in found], word
 
 
+def rewritten(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
+    """The text with one span written otherwise, and the spans that are right for it."""
+
+    def put(span: tuple[str, int, int], new: str, kind: str | None) -> tuple[str, list[tuple[str, int, int]]]:
+        _, a, b = span
+        moved = len(new) - (b - a)
+        others = [
+            (k, x + moved * (x >= b), y + moved * (x >= b)) for k, x, y in spans if (k, x, y) != span and (y <= a or x >= b)
+        ]
+        return text[:a] + new + text[b:], others + ([(kind, a, a + len(new))] if kind else [])
+
+    for span in spans:
+        kind, a, b = span
+        own = text[a:b]
+        if kind == "phone":
+            yield put(span, own.lstrip("+"), "phone")
+            yield put(span, "".join(c if c.isdigit() else "-" for c in own.lstrip("+")).replace("--", "-"), "phone")
+        elif kind == "card":
+            yield put(span, _digits(own)[:4], None)
+            yield put(span, _digits(own)[:7], None)
+        elif kind == "ip":
+            yield put(span, ".".join(own.split(".")[:2]), None)
+
+
 def fit(samples: list[str], rounds: int = 6) -> Field:
-    """Learn from islands with a little text before them, labelled by the patterns."""
+    """Learn from islands with a little text before them, as they are and rewritten."""
     field = Field()
     ready_made = []
-    for text in samples:
-        spans = base_spans(text)
-        for start, end in islands(text):
-            tokens, starts, before = _island(text, start, end)
-            place = {s: i for i, s in enumerate([*starts, end])}
-            gold = {(place[a], place[b], k) for k, a, b in spans if a in place and b in place}
-            ready_made.append((tokens, before, gold))
+    for sample in samples:
+        spans = base_spans(sample) + announced(sample)
+        for text, right in ((sample, spans), *rewritten(sample, spans)):
+            for start, end in islands(text):
+                tokens, starts, before = _island(text, start, end)
+                place = {s: i for i, s in enumerate([*starts, end])}
+                gold = {(place[a], place[b], k) for k, a, b in right if a in place and b in place}
+                ready_made.append((tokens, before, gold))
     for turn in range(rounds):
         for tokens, before, gold in ready_made:
             field.step(tokens, before, gold, 0.5 / (1 + turn))
@@ -286,7 +341,7 @@ def all_spans(text: str, field: Field) -> list[tuple[str, int, int]]:
             a, b = starts[i], starts[j - 1] + len(tokens[j - 1])
             if odds >= MARGIN and not any(x < b and a < y for x, y in near):
                 added.append((kind, a, b))
-    return sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
+    return sorted(base + added, key=lambda s: (TYPES.index(s[0]), s[1], s[2]))
 
 
 def _written(spans: list[tuple[str, int, int]]) -> str:
