@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tripweave.config import BuildSettings, SpreadSettings
 from tripweave.operators.events import BATCH, END, START
 from tripweave.operators.pairing import pair_events
-from tripweave.operators.spread import exact_quantiles, with_ordinal, with_time_bucket
+from tripweave.operators.spread import exact_quantiles, with_ordinal, with_prefix, with_time_bucket
 
 
 def timeline(seed, hot=400, cold=40):
@@ -203,3 +203,18 @@ def test_quantiles_narrow_through_ties_and_scales(spark, few):
             spot = q * (len(xs) - 1)
             a, b = ordered[int(spot)], ordered[min(int(spot) + 1, len(xs) - 1)]
             assert got[g][name] == a + (b - a) * (spot - int(spot)), (g, name)
+
+
+@pytest.mark.parametrize("most", [1, 5, 10**6])
+def test_prefixes_grow_until_few_share_them(spark, most):
+    rnd = random.Random(5)
+    texts = {f"g1380{rnd.randrange(10)}:{rnd.randrange(10**5)}" for _ in range(300)} | {"g", "g1380", "x", "é", "éa"}
+    df = with_prefix(spark.createDataFrame([(t,) for t in texts], "cell string"), "cell", "p", 5, most)
+    rows = df.collect()
+    assert all(r.cell.startswith(r.p) for r in rows)
+    sizes = {}
+    for r in rows:
+        sizes.setdefault(r.p, []).append(r.cell)
+    assert all(len(v) <= most or max(map(len, v)) == len(p) for p, v in sizes.items())
+    ranked = with_ordinal(df, [], "p", ["cell"], "n").collect()
+    assert [r.cell for r in sorted(ranked, key=lambda r: r.n)] == sorted(texts, key=lambda t: t.encode())

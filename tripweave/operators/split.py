@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SampleSettings
-from .spread import with_ordinal
+from .spread import with_ordinal, with_prefix
 
 SPLITS = ("train", "validation", "test")
 
@@ -19,11 +19,11 @@ def split_hash(vin: Column, seed: int) -> Column:
 def split_cutoffs(vins: DataFrame, cfg: SampleSettings) -> DataFrame:
     """One row: vehicle count and the last draw key of test and of validation.
 
-    ``vins`` has a unique ``vin`` column. Ranks come from counts per hash prefix
-    (65,536 at most), so no task ever sorts all vehicles.
+    ``vins`` has a unique ``vin`` column. Ranks come from counts per hash prefix, which
+    grows until few vehicles share it, so no task ever sorts all vehicles.
     """
     keyed = vins.select(split_hash(F.col("vin"), cfg.split_seed).alias("draw"))
-    keyed = keyed.withColumn("prefix", F.substring("draw", 1, 4))
+    keyed = with_prefix(keyed, "draw", "prefix", 4)
     ranked = with_ordinal(keyed, [], "prefix", ["draw"], "rank")
     total = keyed.agg(F.count(F.lit(1)).alias("n"))
     n = F.col("n")

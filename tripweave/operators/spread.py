@@ -105,6 +105,26 @@ def with_ordinal(
     )
 
 
+def with_prefix(df: DataFrame, text: str, name: str, length: int, most: int = HOT_ROWS) -> DataFrame:
+    """Append ``name``: a prefix of ``text``, as long as it takes for at most ``most`` rows to
+    share it (or the whole text). Prefixes sort as the texts do.
+
+    Starts at ``length`` characters; prefixes that too many rows share grow by as many, and
+    only their rows change.
+    """
+    out = df.withColumn(name, F.substring(text, 1, length))
+    while True:
+        crowded = out.groupBy(name).agg(F.count(F.lit(1)).alias("_rows"), F.max(F.length(text)).alias("_longest"))
+        crowded = crowded.filter((F.col("_rows") > most) & (F.col("_longest") > F.length(name)))
+        crowded = stage(crowded.select(F.col(name).alias("_crowded")), "prefixes")
+        if crowded.isEmpty():
+            return out
+        longer = F.expr(f"substring({text}, 1, length({name}) + {length})")
+        grown = F.when(F.col("_crowded").isNotNull(), longer).otherwise(F.col(name))
+        out = out.join(crowded, F.col(name) == F.col("_crowded"), "left").withColumn(name, grown).drop("_crowded")
+        out = stage(out, "prefixed")
+
+
 def with_neighbour_marks(
     df: DataFrame,
     keys: Sequence[str],

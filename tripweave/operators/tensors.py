@@ -9,7 +9,7 @@ from ..config import SampleSettings
 from ..functions.geo import bearing_between, km_between
 from ..functions.paths import first_of
 from ..schema import FEATURES
-from .spread import with_ordinal
+from .spread import with_ordinal, with_prefix
 
 
 def _of_train(samples: DataFrame) -> DataFrame:
@@ -51,10 +51,11 @@ def scaled_context(samples: DataFrame, statistics: DataFrame) -> DataFrame:
 def vocabulary(samples: DataFrame) -> DataFrame:
     """(cell, label): training cells in text order, labels from 0.
 
-    Labels come from counts per text prefix, so ranking needs no single sort.
+    Labels come from counts per text prefix, so ranking needs no single sort. A prefix grows
+    until few cells share it.
     """
     cells = _of_train(samples).select(F.col("actual_cell").alias("cell")).distinct()
-    ranked = with_ordinal(cells.withColumn("_p", F.substring("cell", 1, 5)), [], "_p", ["cell"], "_r")
+    ranked = with_ordinal(with_prefix(cells, "cell", "_p", 5), [], "_p", ["cell"], "_r")
     return ranked.select("cell", (F.col("_r") - 1).cast("int").alias("label"))
 
 

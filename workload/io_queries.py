@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import functions as F
 
-from tripweave.operators.clean import ROW_ID, clean, with_row_id
+from tripweave.operators.clean import ROW_ID, canonical, clean, with_row_id
 from tripweave.operators.scenarios import validated
 from tripweave.session import staging_root
 from tripweave.sources import tables as IO
@@ -20,14 +21,22 @@ def folder(spark, sf, name: str) -> str:
     return f"{staging_root(spark)}/{name}-sf{sf.rstrip('/').rsplit('sf', 1)[-1]}"
 
 
-def _row_counts(spark, paths: dict[str, str]):
-    parts = [
-        spark.read.parquet(path).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("output"), "row_count")
-        for name, path in paths.items()
-    ]
+def _contents(spark, outputs):
+    """(output, row_count, digest) of written tables: the sum of 32 hash bits of each row's text."""
+    parts = []
+    for name, path, cells in outputs:
+        text = F.concat_ws(":", *[c.cast("string") for c in cells])
+        bits = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+        found = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("row_count"), F.sum(bits).alias("digest"))
+        parts.append(found.select(F.lit(name).alias("output"), "row_count", "digest"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def _contents_sql(name: str, cells: str, table: str) -> str:
+    bits = f"('0x' || md5(concat_ws(':', {cells}))[1:8])::BIGINT"
+    return f"SELECT '{name}' AS output, count(*) AS row_count, sum({bits})::BIGINT AS digest FROM {table}"
+
+
 @register("row_ids")
 def _(spark, sf):
     numbered = with_row_id(spark.read.parquet(f"{sf}/events.parquet"))
@@ -54,22 +63,55 @@ def _(spark, sf):
     )
 
 
-@register("written_build", "accepted points lineage rejected judged", """SELECT 'trips' AS output, count(*) AS row_count FROM accepted
-  UNION ALL SELECT 'points', count(*) FROM points UNION ALL SELECT 'cleaned_source', count(*) FROM lineage
-  UNION ALL SELECT 'rejected', count(*) FROM rejected
-  UNION ALL SELECT 'cleaning_audit', count(DISTINCT reason)+1 FROM judged WHERE reason IS NOT NULL""")
+_AUDIT_ROWS = """(SELECT 'preconstruction' AS stage, reason, count(*) AS n FROM judged WHERE reason IS NOT NULL GROUP BY reason
+  UNION ALL SELECT * FROM (SELECT 'post_reconstruction', 'not_used_by_accepted_trip',
+    (SELECT count(*) FROM judged WHERE reason IS NULL) - (SELECT count(*) FROM lineage) AS n) WHERE n > 0)"""
+
+
+@register("written_build", "accepted points lineage rejected judged", " UNION ALL ".join([
+    _contents_sql("trips", "trip_id, s_us, e_us, n", "accepted"),
+    _contents_sql("points", "trip_id, printf('%.6f %.6f', lat, lon)", "points"),
+    _contents_sql("cleaned_source", "row_id, trip_ids, roles", "lineage"),
+    _contents_sql("rejected", "vin, s_us, e_us, reason, detail", "rejected"),
+    _contents_sql("cleaning_audit", "stage, reason, n", _AUDIT_ROWS),
+]))
 def _(spark, sf):
     paths = IO.write_build(run(spark, sf).build, folder(spark, sf, "build"))
-    paths.pop("audit")
-    return _row_counts(spark, paths)
+    c = F.col
+    return _contents(spark, [
+        ("trips", paths["trips"], [c("trip_id"), us("StartTrip"), us("EndTrip"), c("point_count")]),
+        ("points", paths["points"], [c("trip_id"), F.format_string("%.6f %.6f", "latitude", "longitude")]),
+        ("cleaned_source", paths["cleaned_source"], [c(ROW_ID), F.array_join("trip_ids", ";"), F.array_join("source_roles", ";")]),
+        ("rejected", paths["rejected"], [c("VIN"), us("StartTrip"), us("EndTrip"), c("reason"), c("detail")]),
+        ("cleaning_audit", paths["cleaning_audit"], [c("stage"), c("reason"), c("row_count")]),
+    ])
+
+
+@register("written_cleaning", "judged", " UNION ALL ".join([
+    _contents_sql("cleaned_raw", "row_id, vin, trig, signal, series, ts", "(SELECT * FROM judged WHERE reason IS NULL)"),
+    _contents_sql("discarded_rows", "row_id, reason", "(SELECT * FROM judged WHERE reason IS NOT NULL)"),
+]))
+def _(spark, sf):
+    paths = IO.write_cleaning(clean(run(spark, sf).raw, SETTINGS), folder(spark, sf, "cleaning"))
+    c = F.col
+    return _contents(spark, [
+        ("cleaned_raw", paths["cleaned_raw"], [c(ROW_ID), c("vin"), c("trigger"), c("signal"), c("series"), us("timestamp")]),
+        ("discarded_rows", paths["discarded_rows"], [c(ROW_ID), c("reason")]),
+    ])
 
 
-@register("written_cleaning", "judged", """SELECT 'cleaned_raw' AS output, count(*) FILTER (reason IS NULL) AS row_count FROM judged
-  UNION ALL SELECT 'discarded_rows', count(*) FILTER (reason IS NOT NULL) FROM judged""")
+@register("raw_from_csv", "canon", """SELECT coalesce(vin, '') AS vin, coalesce(trig, '') AS trigger,
+  coalesce(signal, '') AS signal, scalar, series, count(*) AS n FROM canon GROUP BY ALL""")
 def _(spark, sf):
-    paths = IO.write_cleaning(clean(run(spark, sf).raw, SETTINGS), folder(spark, sf, "cleaning"))
-    paths.pop("cleaning_audit")
-    return _row_counts(spark, paths)
+    """Raw telemetry written as CSV and read by the reader of raw files, then made canonical.
+    CSV does not tell empty text from none; both are missing."""
+    path = folder(spark, sf, "raw") + ".csv"
+    run(spark, sf).raw.drop(SETTINGS.row_id_column).write.mode("overwrite").options(**IO.CSV).csv(path)
+    rows = canonical(IO.read_raw(spark, path), replace(SETTINGS, row_id_column=None))
+    texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("vin", "trigger", "signal")]
+    return rows.select(*texts, "scalar", "series").groupBy("vin", "trigger", "signal", "scalar", "series").agg(
+        F.count(F.lit(1)).alias("n")
+    )
 
 
 @register("request_file", "requests", "SELECT vin, trip_id, flaw AS error FROM requests")

@@ -249,18 +249,23 @@ def _cells_of(df, column, most):
     ).select("sample_id", "position", "part", F.round("v", 6).alias("value"))
 
 
+_POINTS = SAMPLES.max_trajectory_points
+
+
 @register("trajectory_tensor", "expanded points", f"""SELECT sample_id, position, part, round(value,6)+0.0::DOUBLE AS value FROM (
   SELECT x.trip_id || printf('@%.3f', x.f) AS sample_id, CAST(g.i AS INT) AS position, part,
-   CASE WHEN g.i >= x.cnt THEN 0.0::DOUBLE ELSE CASE part WHEN 0 THEN (p.lat-o.lat)*100 WHEN 1 THEN (p.lon-o.lon)*100 WHEN 2 THEN p.step/1000
+   CASE WHEN g.i >= x.kept THEN 0.0::DOUBLE ELSE CASE part WHEN 0 THEN (p.lat-o.lat)*100 WHEN 1 THEN (p.lon-o.lon)*100
+    WHEN 2 THEN CASE WHEN g.i=0 THEN 0.0::DOUBLE ELSE p.step/1000 END
     WHEN 3 THEN CASE WHEN g.i=0 THEN 0.0::DOUBLE ELSE sin(radians({bearing('q.lat', 'q.lon', 'p.lat', 'p.lon')})) END
     WHEN 4 THEN CASE WHEN g.i=0 THEN 1.0::DOUBLE ELSE cos(radians({bearing('q.lat', 'q.lon', 'p.lat', 'p.lon')})) END
-    ELSE (g.i+1)/x.cnt END END AS value
-  FROM expanded x CROSS JOIN range(12) g(i) CROSS JOIN (SELECT CAST(range AS INT) AS part FROM range(6)) d
-  LEFT JOIN points p ON p.trip_id=x.trip_id AND p.idx=g.i LEFT JOIN points q ON q.trip_id=x.trip_id AND q.idx=g.i-1
-  LEFT JOIN points o ON o.trip_id=x.trip_id AND o.idx=0)""")
+    ELSE (g.i+1)/x.kept END END AS value
+  FROM (SELECT *, least(cnt, {_POINTS}) AS kept, greatest(cnt - {_POINTS}, 0) AS skipped FROM expanded) x
+  CROSS JOIN range({_POINTS}) g(i) CROSS JOIN (SELECT CAST(range AS INT) AS part FROM range(6)) d
+  LEFT JOIN points p ON p.trip_id=x.trip_id AND p.idx=g.i+x.skipped LEFT JOIN points q ON q.trip_id=x.trip_id AND q.idx=g.i+x.skipped-1
+  LEFT JOIN points o ON o.trip_id=x.trip_id AND o.idx=x.skipped)""")
 def _(spark, sf):
     s = run(spark, sf).samples
-    return _cells_of(s, X.trajectory_tensor(F.col("trajectory_prefix"), 12), 12)
+    return _cells_of(s, X.trajectory_tensor(F.col("trajectory_prefix"), _POINTS), _POINTS)
 
 
 @register("history_tensor", "samples accepted", """SELECT sample_id, position, part, round(coalesce(value, 0.0::DOUBLE),6)+0.0::DOUBLE AS value FROM (
