@@ -22,7 +22,8 @@ probability 1e-5 at most. Candidates are verified on their exact shingles, as te
 Defined cases: an item or document with fewer than five words is one shingle of its
 whole sequence; without words it has none and matches nothing; null text is empty. Items
 with one item_id count each for themselves, the best is shown. Rows that repeat give one
-row of the result; a null doc_id is a document like others.
+row of the result; a null doc_id is a document like others. Texts may have any length; an
+empty table on either side gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ All other digests take the ordinary shuffle, where none is hot any more.
 
 Defined cases: null text counts as empty; the row with the largest doc_id stays; a null
 doc_id loses to any other; rows that repeat both doc_id and text are the same document,
-so the report says the same of each and :func:`deduplicate` leaves one. An empty table
+so the report says the same of each and :func:`deduplicate` leaves one: of rows with one
+doc_id and text that differ in other columns, any. Texts may have any length. An empty table
 gives an empty one. Other columns, whatever their names, pass through untouched.
 """
 

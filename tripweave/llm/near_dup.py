@@ -23,7 +23,8 @@ more similar one less.
 Defined cases: null text, empty text and white space have no shingles: linked with
 nothing, kept. Fewer words than a shingle's make one shingle of the whole. Rows with one
 doc_id are one document: the links of all its texts are joined. A null doc_id is linked
-with nothing and kept. Other columns pass through :func:`deduplicate`.
+with nothing and kept. Texts may have any length. An empty table gives an empty one. Other
+columns pass through :func:`deduplicate`, whatever their names.
 """
 
 from __future__ import annotations

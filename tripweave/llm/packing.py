@@ -11,7 +11,9 @@ Two pieces of one source or one cluster never share a bin.
 Defined cases: a document without words takes no room and gets no bin (null). A null
 source or cluster conflicts with nothing; null text has no words. Rows that repeat are
 numbered (``copy``) and packed each for itself, in different bins, since they share a
-cluster. Pieces of one document share its cluster too. An empty table gives an empty one.
+cluster. Pieces of one document share its cluster too. An empty table gives an empty one. A text
+longer than a bin is cut into pieces, however many. Other columns are left behind, whatever
+their names.
 """
 
 from __future__ import annotations

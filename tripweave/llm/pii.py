@@ -15,8 +15,10 @@ or not. A segment that the best path takes is added if its log odds against plai
 margin and it meets no pattern's span.
 
 Defined cases: null and empty texts have no spans. Offsets are code points, ends
-exclusive. Spans are ordered by kind, then start. Rows that repeat, and null ids, are
-judged alike. Without labelled islands the patterns alone answer.
+exclusive. Spans are ordered by kind, then start; of types that score alike the one listed
+first is taken. Rows that repeat, and null ids, are judged alike. Texts may have any length;
+an empty table gives an empty one; other columns are ignored. Without labelled islands the
+patterns alone answer.
 """
 
 from __future__ import annotations

@@ -21,7 +21,10 @@ whose original is nowhere stay, for they would be lost.
 Defined cases: null text is empty and stays null; null conv_id or turn: the message
 is its own root, quotes nothing in its conversation and is no original. Messages that
 repeat (conv_id, turn) are judged each by its own text, and any of them can be quoted.
-Passages without letters or digits are not linked. Other columns pass through.
+Passages without letters or digits are not linked. "Earliest" of all conversations is the
+least conv_id. Of rows that repeat (conv_id, turn) and text any is the original. Texts may
+have any length; an empty table gives an empty one. Other columns pass through, whatever
+their names (``message`` holds them).
 """
 
 from __future__ import annotations

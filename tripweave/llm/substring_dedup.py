@@ -16,7 +16,8 @@ with partial sums before the shuffle; no window's occurrences are gathered. Two
 windows are taken for equal with a chance of 2^-64 for each pair of surviving candidates.
 
 Defined cases: null, empty and short texts (fewer words than a window) lose nothing.
-Rows that repeat are copies of each other. A null doc_id takes part like any other.
+Rows that repeat are copies of each other. A null doc_id takes part like any other. Texts
+may have any length; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations

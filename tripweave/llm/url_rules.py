@@ -12,7 +12,8 @@ Defined cases: a null url, or one without ``://``, has an empty host and path an
 tokens; it is allowed. Pages without a label teach nothing; with no labels at all there
 are no rules and the method allows. Labels that contradict each other for one page count
 as block. Rows that repeat are judged alike; of equal confidence the rule of larger
-support, then of smaller text decides. Other columns are left behind.
+support, then of smaller text decides. A url may have any length. An empty table gives an
+empty one. Other columns are left behind.
 """
 
 from __future__ import annotations
