@@ -10,6 +10,10 @@ of ``documents``. A stage learns and counts on its own input.
    the least doc_id stays.
 4. decontamination: documents that contain a benchmark item go.
 5. packing: what is left is dealt into sequences; the result says where each piece goes.
+
+Every stage takes null, empty and very long texts, rows that repeat, null ids, an empty table and
+other columns, as its operator states; ties between copies go as said above, and rows that tie in
+id and text too are one row.
 """
 
 from __future__ import annotations
