@@ -145,3 +145,32 @@ def test_file_contents_see_a_change_of_the_same_length(spark, tmp_path):
         spark.createDataFrame([row], "a string, b string").write.parquet(str(tmp_path / name))
     p, q = (IO.file_contents(spark, str(tmp_path / n)).first().content_hash for n in ("p.parquet", "q.parquet"))
     assert p != q
+
+
+def test_predictions_carry_no_list_of_all_cells(spark, finished):
+    from tripweave.models.forest import BEAM
+    from tripweave.operators.samples import prepare_samples
+
+    _, _, paths = finished
+    model = load_model(spark, paths["model"])
+    samples = prepare_samples(spark.read.parquet(paths["trips"]))
+    scored = model.score(samples, 3)
+    cells = {r[0] for r in samples.filter("split = 'train'").select("actual_cell").distinct().collect()}
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert len(cells) > BEAM and not any(c in plan for c in cells)
+    sizes = scored.select(F.size("cells").alias("n"), F.size("probabilities").alias("m"))
+    assert {(r.n, r.m) for r in sizes.distinct().collect()} == {(BEAM, BEAM)}
+    found = {r[0] for r in scored.select(F.explode("cells")).distinct().collect()}
+    assert found <= cells
+
+
+def test_a_tampered_manifest_is_refused(spark, finished, tmp_path):
+    import shutil
+
+    _, _, paths = finished
+    shutil.copytree(paths["model"], tmp_path / "model")
+    manifest = spark.read.parquet(paths["model"] + "/manifest")
+    swapped = F.when(F.col("split") == "test", "train").otherwise(F.col("split"))
+    manifest.withColumn("split", swapped).write.mode("overwrite").parquet(str(tmp_path / "model" / "manifest"))
+    with pytest.raises(ValueError, match="not the one"):
+        load_model(spark, str(tmp_path / "model"))
