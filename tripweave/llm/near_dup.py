@@ -11,8 +11,9 @@ Steps, all on Spark tables:
    component cannot change the result.
 4. In buckets that still hold several components a node meets one drawn pivot a round,
    and at last every pair across components is compared, large buckets in blocks of about
-   ``BLOCK`` nodes a side. The blocks carry signatures and texts, so pruning and exact
-   counting happen inside the task and only links become rows.
+   ``BLOCK`` nodes a side. The blocks carry signatures, never texts; a pair that several
+   buckets hold belongs to its first common band. Of the survivors each component's
+   likeliest is counted exactly first, then those that still lie across components.
 5. A candidate's signatures are compared batch by batch. With a uniform prior on the
    similarity, a pair is dropped as soon as the posterior chance of reaching the
    threshold is below ``MISS``. Survivors are counted on full shingle sets.
@@ -101,16 +102,20 @@ def describe(size: int):
     return run
 
 
+def _band_keys(signed: np.ndarray) -> np.ndarray:
+    """The bucket of each signature in each band."""
+    signed = signed.reshape(-1, BANDS, BAND_ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), signed.shape[:2]).copy()
+    for i in range(BAND_ROWS):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + signed[:, :, i])
+    return key.astype(np.int64)
+
+
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        signed = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32)
-        signed = signed.reshape(-1, BANDS, BAND_ROWS).astype(np.uint64)
-        key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), signed.shape[:2]).copy()
-        for i in range(BAND_ROWS):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + signed[:, :, i])
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(key.astype(np.int64).ravel()),
+                pa.array(_band_keys(_signatures(batch.column(2))).ravel()),
                 pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)),
                 pa.array(np.repeat(batch.column(1).to_numpy(zero_copy_only=False), BANDS)),
             ],
@@ -167,31 +172,17 @@ def _similar(size: int, percent: int):
     return run
 
 
-def _block_links(looks, percent: int, size: int):
-    """Function for ``applyInArrow``: links that join components within a block pair.
+def _block_survivors(looks, percent: int):
+    """Function for ``applyInArrow``: pairs across components that pass every look.
 
-    Pairs that survive pruning are counted here, on the full sets, and never become rows;
-    a pair whose ends have been joined on the way is not counted.
+    Of the buckets that hold a pair only that of its first common band returns it.
     """
 
     def run(table: pa.Table) -> pa.Table:
         node, label, n, side = (table.column(c).to_numpy() for c in ("node", "label", "n", "side"))
         signed = _signatures(table.column("signature"))
-        texts = table.column("text")
-        within = bool(table.column("within")[0].as_py())
-        hashes, sets, above = WordHashes(), {}, {}
-
-        def full(i: int) -> np.ndarray:
-            if i not in sets:
-                sets[i] = shingle_set(hashes(words_of(texts[i].as_py().lower())), size)
-            return sets[i]
-
-        def root(x: int) -> int:
-            while (up := above.get(x, x)) != x:
-                above[x] = x = above.get(up, up)
-            return x
-
-        links = []
+        bucket, within = table.column("bucket")[0].as_py(), table.column("within")[0].as_py()
+        found = [np.empty((0, 3), dtype=np.int64)]
         for i in np.flatnonzero(side == 0).tolist():
             other = np.flatnonzero((side == 0) & (node > node[i]) if within else side == 1)
             other = other[label[other] != label[i]]
@@ -199,13 +190,16 @@ def _block_links(looks, percent: int, size: int):
             if not len(other):
                 continue
             mine = np.broadcast_to(signed[i], (len(other), signed.shape[1]))
-            alive, matches = _survivors(mine, signed[other], looks)
-            for j in other[alive[np.argsort(-matches, kind="stable")]].tolist():
-                one, two = root(int(label[i])), root(int(label[j]))
-                if one != two and _linked(full(i), full(j), percent):
-                    above[max(one, two)] = min(one, two)
-                    links.append(sorted((int(node[i]), int(node[j]))))
-        return pa.table({c: pa.array([x[k] for x in links], pa.int64()) for k, c in enumerate("ab")})
+            alive, agree = _survivors(mine, signed[other], looks)
+            if not len(alive):
+                continue
+            other = other[alive]
+            bands = (signed[other] == signed[i]).reshape(-1, BANDS, BAND_ROWS).all(axis=2)
+            own = _band_keys(signed[i])[0][bands.argmax(axis=1)] == bucket
+            a, b = np.minimum(node[other], node[i]), np.maximum(node[other], node[i])
+            found.append(np.stack([a, b, agree], axis=1)[own])
+        rows = np.concatenate(found)
+        return pa.table({c: pa.array(rows[:, k], pa.int64()) for k, c in enumerate(("a", "b", "agree"))})
 
     return run
 
@@ -361,13 +355,20 @@ class NearDuplicates:
             named.join(mixed.filter("low < high").select("bucket"), "bucket", "left_semi"), "open"
         )
 
+    def _across(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose ends have different components, with these."""
+        of_a = self.labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+        of_b = self.labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+        named = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
+        named = named.withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")})
+        return named.filter("la != lb")
+
     def _compare_all(self, open_rows: DataFrame) -> None:
-        """Every pair across components of an open bucket, in blocks, verified in the task."""
+        """Every pair across components of an open bucket: signatures in blocks, then texts."""
         blocks = F.ceil(F.col("size") / BLOCK)
         mine = F.pmod(F.xxhash64("node"), blocks)
         rows = (
             open_rows.join(self.classes.select("node", "signature"), "node")
-            .join(self.texts, "node")
             .withColumn("mine", mine)
             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
             .select(
@@ -380,15 +381,23 @@ class NearDuplicates:
                 "n",
                 "label",
                 "signature",
-                "text",
             )
         )
-        links = (
-            rows.groupBy("bucket", "i", "j")
-            .applyInArrow(_block_links(self.looks, self.percent, self.shingle), "a long, b long")
-            .distinct()
+        keep = self.scratch.keep
+        survivors = rows.groupBy("bucket", "i", "j").applyInArrow(
+            _block_survivors(self.looks, self.percent), "a long, b long, agree long"
         )
-        self.links = self.links.union(self.scratch.keep(links, "links"))
+        survivors = keep(survivors, "survivors")
+        if survivors.isEmpty():
+            return
+        ends = self._across(survivors).select(F.explode(F.array("la", "lb")).alias("label"), "agree", "a", "b")
+        likeliest = ends.groupBy("label").agg(F.max(F.struct("agree", "a", "b")).alias("p"))
+        likeliest = keep(likeliest.select("p.a", "p.b").distinct(), "likeliest")
+        self._count_exactly(likeliest)
+        self.labels = components(self.links, self.scratch)
+        # What these joined needs no count; of the rest every pair is counted.
+        rest = self._across(survivors).join(likeliest, ["a", "b"], "left_anti").select("a", "b")
+        self._count_exactly(keep(rest, "rest"))
 
     @property
     def documents(self) -> DataFrame:
