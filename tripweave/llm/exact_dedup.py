@@ -108,9 +108,9 @@ def report(
     hot = _frequent_winners(digests, scratch, counters)
     few = F.broadcast(hot)
     rest = digests.join(few, ["sha", "check"], "left_anti")
-    judged = digests.join(few, ["sha", "check"]).unionByName(
-        rest.join(_winners(rest), ["sha", "check"])
-    )
+    # Written before the join, whose tasks Spark can split then, however many copies are left.
+    others = scratch.keep(_winners(rest), "others")
+    judged = digests.join(few, ["sha", "check"]).unionByName(rest.join(others, ["sha", "check"]))
     return judged.select(
         "doc_id",
         "keep_id",
