@@ -2,7 +2,9 @@
 
 Labelled urls are baskets of tokens: host suffixes, path segments, query keys, the file
 ending. Spark's FP-growth mines the token combinations that are frequent among labelled
-pages together with a label; a rule says that a combination means ``block``. Rules stay
+pages together with a label; a rule says that a combination means ``block``. Tokens that
+the very same labelled pages have are mined as one item: a path that many pages share is
+one item however deep it is, and a rule on it names all its tokens. Rules stay
 if support and confidence suffice, if they lift the base rate, and if no shorter rule is
 as confident. They match through an inverted index: each rule hangs on the rarest of its
 tokens, a page meets only rules that hang on one of its own, and the whole combination
@@ -107,29 +109,73 @@ def host_rule(host: Column, path: Column, rules: tuple[HostRule, ...]) -> Column
     return found
 
 
+def _items(baskets: DataFrame, least: float) -> DataFrame:
+    """(item, part): the tokens of at least ``least`` baskets (page, tokens), folded.
+
+    Tokens of one and the same set of pages are one item, named by the first of them;
+    ``part`` lists them. A set of pages is told by its size and two sums of hashes. As
+    itemsets they would differ in nothing, yet double in number with each of them.
+    """
+    sums = [F.sum(F.xxhash64("page", F.lit(k)).cast("decimal(38,0)")).alias(f"sum{k}") for k in (0, 1)]
+    sets = (
+        baskets.select("page", F.explode("tokens").alias("token"))
+        .groupBy("token")
+        .agg(F.count(F.lit(1)).alias("n"), *sums)
+        .filter(F.col("n") >= least)
+    )
+    return sets.groupBy("n", "sum0", "sum1").agg(
+        F.min("token").alias("item"), F.array_sort(F.collect_set("token")).alias("part")
+    ).select("item", "part")
+
+
+def _hung(rules: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rules with the ``token`` of theirs that is rarest by ``counts`` (token, count)."""
+    every = rules.select("antecedent", F.explode("antecedent").alias("token")).join(counts, "token", "left")
+    rarest = F.min(F.struct(F.coalesce("count", F.lit(0)), "token")).alias("r")
+    return rules.join(every.groupBy("antecedent").agg(rarest), "antecedent").select(*rules.columns, "r.token")
+
+
 def mine(
     labelled: DataFrame, scratch: Scratch, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE
 ) -> DataFrame:
-    """Rules (antecedent, confidence, support, lift) of baskets (tokens, blocked).
+    """Rules (antecedent, confidence, support) of baskets (tokens, blocked).
 
     A rule goes if one of its subsets, itself a rule, is at least as confident.
     """
-    baskets = labelled.filter("size(tokens) > 0").select(
-        F.when(F.col("blocked"), F.array_append("tokens", F.lit(BLOCK))).otherwise(F.col("tokens")).alias("items")
+    # Written, so that a page has one name however often it is read.
+    baskets = labelled.filter("size(tokens) > 0").select(F.uuid().alias("page"), "tokens", "blocked")
+    baskets = scratch.keep(baskets, "baskets")
+    pages = max(1, baskets.count())
+    support = min(1.0, max(min_support, MIN_PAGES / pages))
+    items = scratch.keep(_items(baskets, support * pages), "items")
+    # Of an item's tokens the one that names it stands for all.
+    named = (
+        baskets.select("page", F.explode("tokens").alias("item"))
+        .join(items.select("item"), "item", "left_semi")
+        .groupBy("page")
+        .agg(F.collect_set("item").alias("items"))
     )
-    support = min(1.0, max(min_support, MIN_PAGES / max(1, baskets.count())))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
-    rules = scratch.keep(
+    none = F.array().cast("array<string>")
+    folded = baskets.select("page", "blocked").join(named, "page", "left").withColumn("items", F.coalesce("items", none))
+    folded = folded.select(F.when(F.col("blocked"), F.array_append("items", F.lit(BLOCK))).otherwise(F.col("items")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(folded)
+    found = scratch.keep(
         model.associationRules.filter((F.col("consequent")[0] == BLOCK) & (F.col("lift") > 1)).select(
-            F.array_sort("antecedent").alias("antecedent"), "confidence", "support"
+            "antecedent", "confidence", "support"
         ),
-        "rules",
+        "found",
     )
-    short = rules.select(
-        F.explode("antecedent").alias("token"),
-        F.col("antecedent").alias("part"),
-        F.col("confidence").alias("sure"),
+    whole = (
+        found.select("antecedent", F.explode("antecedent").alias("item"))
+        .join(items, "item")
+        .groupBy("antecedent")
+        .agg(F.array_sort(F.flatten(F.collect_list("part"))).alias("whole"))
     )
+    rules = found.join(whole, "antecedent").select(F.col("whole").alias("antecedent"), "confidence", "support")
+    rules = scratch.keep(rules, "rules")
+    # A subset is met under one token of its own, that of the fewest rules.
+    counts = rules.select(F.explode("antecedent").alias("token")).groupBy("token").count()
+    short = _hung(rules, counts).select("token", F.col("antecedent").alias("part"), F.col("confidence").alias("sure"))
     long = rules.select("antecedent", "confidence", F.explode("antecedent").alias("token"))
     needless = (
         long.join(short, "token")
@@ -148,11 +194,7 @@ def _indexed(rules: DataFrame, pages: DataFrame) -> DataFrame:
     """Rules under the token that the fewest pages have."""
     wanted = rules.select(F.explode("antecedent").alias("token")).distinct()
     counts = pages.select(F.explode("tokens").alias("token")).groupBy("token").count().join(wanted, "token")
-    hung = rules.select("*", F.explode("antecedent").alias("token")).join(counts, "token", "left")
-    rarest = F.min(F.struct(F.coalesce("count", F.lit(0)), "token")).alias("r")
-    return hung.groupBy("antecedent", "confidence", "support").agg(rarest).select(
-        "antecedent", "confidence", "support", F.col("r.token").alias("token")
-    )
+    return _hung(rules, counts)
 
 
 def report(
