@@ -66,6 +66,43 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == linked_by_hand(rows)
 
 
+def test_blocks_return_a_pair_once_and_carry_no_text():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**32, near_dup.BANDS * near_dup.BAND_ROWS, dtype=np.uint32)
+    signed = np.repeat(base[None], 6, axis=0)
+    for row in range(1, 6):
+        signed[row, rng.choice(signed.shape[1], 12, replace=False)] = 7 + row
+    keys, found = near_dup._band_keys(signed), Counter()
+    for bucket in np.unique(keys).tolist():
+        held = np.flatnonzero((keys == bucket).any(axis=1))
+        if len(held) < 2:
+            continue
+        columns = {
+            "bucket": [bucket] * len(held), "within": [True] * len(held), "side": [0] * len(held),
+            "node": held, "label": np.where(held == 5, 4, held), "n": [100] * len(held),
+            "signature": [signed[k].tobytes() for k in held],
+        }
+        run = near_dup._block_survivors(near_dup.required_matches(80), 80)
+        for r in run(near_dup.pa.table(columns)).to_pylist():
+            assert r["agree"] == (signed[r["a"]] == signed[r["b"]]).sum()
+            found[r["a"], r["b"]] += 1
+    # Nodes 4 and 5 are one component.
+    assert found == Counter(set(itertools.combinations(range(6), 2)) - {(4, 5)})
+
+
+def test_unlinked_nodes_of_one_bucket_send_each_text_once_per_survivor(spark, monkeypatch):
+    """A bucket whose nodes are alike in their signatures' bands but not near: no pair is counted."""
+    counted = []
+    exact = near_dup.NearDuplicates._count_exactly
+    monkeypatch.setattr(near_dup.NearDuplicates, "_count_exactly", lambda self, p: (counted.append(p.count()), exact(self, p)))
+    monkeypatch.setattr(near_dup, "BLOCK", 64)
+    rnd = random.Random(4)
+    shared = [f"s{k}" for k in range(60)]
+    rows = [(i, " ".join(shared + [f"w{rnd.randrange(10**9)}" for _ in range(70)])) for i in range(400)]
+    got = near_dup.report(frame(spark, rows), shingle=4).collect()
+    assert all(r.kept for r in got) and sum(counted) == 0
+
+
 def test_pruning_bound_is_the_chance_of_a_miss():
     rng = np.random.default_rng(1)
     for n, least in near_dup.required_matches(80, 1e-3):
@@ -290,6 +327,55 @@ def test_url_rules_are_mined_and_fixed_rules_go_first(spark):
         assert got[i].verdict == (rule.verdict if rule else "block" if i % 4 == 0 else "allow"), url
 
 
+def rules_by_hand(baskets, min_confidence=url_rules.MIN_CONFIDENCE):
+    """Every combination of page-set classes, by enumeration."""
+    least, base = url_rules.MIN_PAGES, sum(bad for _, bad in baskets) / len(baskets)
+    pages = {}
+    for i, (tokens, _) in enumerate(baskets):
+        for t in tokens:
+            pages.setdefault(t, set()).add(i)
+    classes = {}
+    for t, on in pages.items():
+        if len(on) >= least:
+            classes.setdefault(frozenset(on), []).append(t)
+    rules = {}
+    for size in range(1, len(classes) + 1):
+        for some in itertools.combinations(classes, size):
+            on = frozenset.intersection(*some)
+            blocked = sum(baskets[i][1] for i in on)
+            if blocked >= least and blocked / len(on) >= min_confidence and blocked / len(on) > base:
+                rules[frozenset(t for c in some for t in classes[c])] = blocked / len(on)
+    return {r: c for r, c in rules.items() if not any(s < r and rules[s] >= c for s in rules)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mined_rules_equal_enumeration(spark, seed):
+    rnd = random.Random(seed)
+    baskets = []
+    for _ in range(600):
+        tokens = {t for t in "abcdef" if rnd.random() < 0.4}
+        tokens |= {"twin of a", "third of a"} & ({"twin of a", "third of a"} if "a" in tokens else set())
+        tokens |= {"always"} | ({"rare"} if rnd.random() < 0.01 else set())
+        chance = 0.9 if {"a", "b"} <= tokens else 0.75 if "c" in tokens else 0.2
+        baskets.append((sorted(tokens), rnd.random() < chance))
+    labelled = spark.createDataFrame(baskets, "tokens array<string>, blocked boolean").repartition(3)
+    got = url_rules.mine(labelled, Scratch(spark, "test")).collect()
+    want = rules_by_hand(baskets)
+    assert len(want) > 2 and {frozenset(r.antecedent): r.confidence for r in got} == pytest.approx(want)
+    assert len(got) == len(want)
+
+
+def test_deep_shared_paths_are_one_item(spark):
+    """Thirty segments that many pages share would be 2^30 itemsets."""
+    deep = "/".join(f"level{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(30))
+    rows = [(i, f"https://h{'ab'[i % 2]}.example.net/{deep if i % 3 == 0 else 'plain'}/{i}") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    marks = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(0, 300, 2)], "doc_id long, quality int, toxic int")
+    got = url_rules.report(pages, marks).collect()
+    assert {r.page_id: r.verdict for r in got} == {i: "block" if i % 3 == 0 else "allow" for i in range(300)}
+    assert {len(r.mined_rule.split(" & ")) >= 30 for r in got if r.verdict == "block"} == {True}
+
+
 def test_quotes_are_linked_and_leave_the_text(spark):
     rows = [
         (1, 0, "u", "Hello there friend.\nSecond line.\n\nA paragraph here"),
