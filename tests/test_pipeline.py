@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -110,24 +111,26 @@ def test_content_fingerprint_ignores_order(spark, raw_csv):
     assert IO.content_fingerprint(df).first() != IO.content_fingerprint(df.limit(10)).first()
 
 
-def test_large_files_are_measured_not_read(spark, tmp_path):
+def test_files_of_any_size_are_hashed_part_by_part(spark, tmp_path):
     from tripweave.sources.tables import file_fingerprints
 
-    (tmp_path / "small").write_bytes(b"x" * 10)
-    (tmp_path / "large").write_bytes(b"y" * 100)
-    got = {r.path.rsplit("/", 1)[1]: (r.bytes, r.sha256) for r in file_fingerprints(spark, str(tmp_path), whole=50).collect()}
-    assert got["large"] == (100, None) and got["small"][0] == 10 and len(got["small"][1]) == 64
+    contents = {"small": b"x" * 10, "empty": b"", "two parts": b"y" * 128, "odd %20é": bytes(range(256)) * 5}
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r.path.rsplit("/", 1)[1]: (r.bytes, r.sha256) for r in file_fingerprints(spark, str(tmp_path), part_bytes=64).collect()}
+    # Spark lists no empty files.
+    assert got == {name: (len(data), hashlib.sha256(data).hexdigest()) for name, data in contents.items() if data}
 
 
-def test_a_build_records_the_rows_of_every_source_file(spark, raw_csv, tmp_path, monkeypatch):
+def test_a_build_records_the_rows_of_every_source_file(spark, raw_csv, tmp_path):
     from tripweave.plans.pipeline import build_stage
 
-    # As if every file were too large to be hashed as it is.
-    monkeypatch.setattr(IO.file_fingerprints, "__defaults__", (0,))
     paths = build_stage(spark, raw_csv, str(tmp_path), ProjectSettings())
     files = spark.read.parquet(paths["source"]).collect()
     contents = spark.read.parquet(paths["source_contents"]).collect()
-    assert [f.sha256 for f in files] == [None] and len(contents) == 1 and contents[0].content_hash
+    with open(raw_csv, "rb") as source:
+        assert [f.sha256 for f in files] == [hashlib.sha256(source.read()).hexdigest()]
+    assert len(contents) == 1 and contents[0].content_hash
     assert contents[0].rows == spark.read.text(raw_csv).count()
 
 

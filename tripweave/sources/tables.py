@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from typing import TYPE_CHECKING
+from urllib.parse import quote
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,22 +103,46 @@ def write_cleaning(cleaned: Cleaned, directory: str, extension: str = "parquet")
     }
 
 
-# Files up to this size are hashed as they are: a reader holds one whole file in a row.
-WHOLE_FILE_BYTES = 1 << 30
+#: Bytes of a file that a task holds at once while it hashes it.
+PART_BYTES = 8 << 20
 
 
-def file_fingerprints(spark: SparkSession, path: str, whole: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """(path, bytes, sha256) per file under ``path``.
+def _open(path: str):
+    """A byte stream of a file as Spark names it."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return open("/" + rest.lstrip("/"), "rb")
+    system, name = pyarrow.fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return system.open_input_stream(name)
 
-    Larger files get a null hash and are not read here; ``file_contents`` has a hash of
-    their rows, and a build writes both. The length filter reaches the reader, which skips their content.
+
+def _hash_files(part_bytes: int):
+    """Function for ``mapInArrow`` over (path, bytes): adds the sha256, read part by part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path in batch.column(0).to_pylist():
+                digest = hashlib.sha256()
+                with _open(path) as stream:
+                    while part := stream.read(part_bytes):
+                        digest.update(part)
+                found.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=["path", "bytes", "sha256"])
+
+    return run
+
+
+def file_fingerprints(spark: SparkSession, path: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(path, bytes, sha256) per file under ``path``, of any size.
+
+    Spark lists the files and deals them into tasks by size; a task streams each of its
+    files and holds ``part_bytes`` of it. The hash is of the file's bytes in order, so
+    one file is one task's work. Spark lists no empty files; a folder without others gives an
+    empty table.
     """
-    files = spark.read.format("binaryFile").load(path)
-    size = F.col("length").alias("bytes")
-    hashed = files.filter(F.col("length") <= whole).select("path", size, F.sha2("content", 256).alias("sha256"))
-    return hashed.unionByName(
-        files.filter(F.col("length") > whole).select("path", size, F.lit(None).cast("string").alias("sha256"))
-    )
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"))
+    return files.mapInArrow(_hash_files(part_bytes), "path string, bytes long, sha256 string")
 
 
 def content_fingerprint(df: DataFrame) -> DataFrame:
