@@ -66,43 +66,6 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == linked_by_hand(rows)
 
 
-def test_blocks_return_a_pair_once_and_carry_no_text():
-    rng = np.random.default_rng(6)
-    base = rng.integers(0, 2**32, near_dup.BANDS * near_dup.BAND_ROWS, dtype=np.uint32)
-    signed = np.repeat(base[None], 6, axis=0)
-    for row in range(1, 6):
-        signed[row, rng.choice(signed.shape[1], 12, replace=False)] = 7 + row
-    keys, found = near_dup._band_keys(signed), Counter()
-    for bucket in np.unique(keys).tolist():
-        held = np.flatnonzero((keys == bucket).any(axis=1))
-        if len(held) < 2:
-            continue
-        columns = {
-            "bucket": [bucket] * len(held), "within": [True] * len(held), "side": [0] * len(held),
-            "node": held, "label": np.where(held == 5, 4, held), "n": [100] * len(held),
-            "signature": [signed[k].tobytes() for k in held],
-        }
-        run = near_dup._block_survivors(near_dup.required_matches(80), 80)
-        for r in run(near_dup.pa.table(columns)).to_pylist():
-            assert r["agree"] == (signed[r["a"]] == signed[r["b"]]).sum()
-            found[r["a"], r["b"]] += 1
-    # Nodes 4 and 5 are one component.
-    assert found == Counter(set(itertools.combinations(range(6), 2)) - {(4, 5)})
-
-
-def test_unlinked_nodes_of_one_bucket_send_each_text_once_per_survivor(spark, monkeypatch):
-    """A bucket whose nodes are alike in their signatures' bands but not near: no pair is counted."""
-    counted = []
-    exact = near_dup.NearDuplicates._count_exactly
-    monkeypatch.setattr(near_dup.NearDuplicates, "_count_exactly", lambda self, p: (counted.append(p.count()), exact(self, p)))
-    monkeypatch.setattr(near_dup, "BLOCK", 64)
-    rnd = random.Random(4)
-    shared = [f"s{k}" for k in range(60)]
-    rows = [(i, " ".join(shared + [f"w{rnd.randrange(10**9)}" for _ in range(70)])) for i in range(400)]
-    got = near_dup.report(frame(spark, rows), shingle=4).collect()
-    assert all(r.kept for r in got) and sum(counted) == 0
-
-
 def test_pruning_bound_is_the_chance_of_a_miss():
     rng = np.random.default_rng(1)
     for n, least in near_dup.required_matches(80, 1e-3):
