@@ -178,3 +178,23 @@ def test_a_tampered_manifest_is_refused(spark, finished, tmp_path):
     manifest.withColumn("split", swapped).write.mode("overwrite").parquet(str(tmp_path / "model" / "manifest"))
     with pytest.raises(ValueError, match="not the one"):
         load_model(spark, str(tmp_path / "model"))
+
+
+def test_a_manifest_is_saved_and_checked_without_a_model(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as E
+    from tripweave.models import forest
+    from workload import model_queries
+
+    def no_training(*_):
+        raise AssertionError("the manifest needs no trees")
+
+    monkeypatch.setattr(model_queries, "model", no_training)
+    assert E.queries()["manifest_round_trip"](spark, "/root/testdata/sf0.001").count() > 0
+    rows = [("a", "train", 42), ("b", "test", 42), ("c", "validation", 42)]
+    manifest = spark.createDataFrame(rows, "vin string, split string, seed int")
+    forest.save_manifest(manifest, str(tmp_path))
+    assert sorted(map(tuple, forest.load_manifest(spark, str(tmp_path)).collect())) == rows
+    other = manifest.replace({"c": "d"}, subset="vin")
+    other.write.mode("overwrite").parquet(str(tmp_path / "manifest"))
+    with pytest.raises(ValueError, match="not the one"):
+        forest.load_manifest(spark, str(tmp_path))
