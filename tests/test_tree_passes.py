@@ -46,3 +46,49 @@ def test_rows_that_stand_still_leave_the_walk():
     some = np.array([3, 5, 499])
     assert walk(tree.feature, tree.cut, tree.left, x.T.copy(), some, 0).tolist() == slow[some].tolist()
     assert len(tree.descend(x[:0])) == 0
+
+
+def test_every_core_reads_as_many_training_rows(spark):
+    from pyspark.sql import functions as F
+    from tripweave.config import ForestSettings
+    from tripweave.models import forest
+    from tripweave.schema import FEATURES
+
+    part = (F.xxhash64("id") % 1000) / 50_000
+    training = spark.range(0, 700_000, 1, 8).select(
+        F.col("id").cast("string").alias("sample_id"), *[F.lit(1.0).alias(f) for f in FEATURES],
+        (48.2 + part).alias("actual_latitude"), (2.1 + part * part).alias("actual_longitude"),
+        F.concat(F.lit("g"), F.floor(part * 100).cast("string")).alias("actual_cell"),
+    )
+    square, centre = forest._square(training, 0.01)
+    table = forest.training_table(training, square, centre, ForestSettings(trees=10))
+    held = [r["count"] for r in table.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == 700_000
+    assert len(held) == spark.sparkContext.defaultParallelism and max(held) * len(held) <= 1.3 * sum(held)
+
+
+def test_small_batches_are_worked_on_together(monkeypatch):
+    import pyarrow as pa
+    from tripweave.models import trees
+
+    rows = arrays(300, 11, True)
+    table = pa.table({"key": rows["key"].astype(np.int64), "x": rows["x"].tolist(), "y": rows["y"].tolist()})
+    table = table.set_column(1, "x", table["x"].cast(pa.list_(pa.float32())))
+    nodes, problem = np.zeros(1, np.int64), Plain(4, 2, 40, 4)
+    growths = {
+        g: trees.Growth(0, Tree(), nodes, nodes, trees.drawn_features(7, g, nodes, nodes, problem.features, problem.drawn))
+        for g in range(problem.trees)
+    }
+    seen = []
+
+    def counted(batch):
+        seen.append(batch.num_rows)
+        return rows_of(batch)
+
+    run = trees._ranges([(problem, 0)], counted)
+    apart = list(run(iter(table.to_batches(max_chunksize=7)), growths))
+    assert seen == [300]
+    monkeypatch.setattr(trees, "JOINED_ROWS", 100)
+    again = list(run(iter(table.to_batches(max_chunksize=7)), growths))
+    assert seen[1:] == [105, 105, 90] and again == apart
+    assert list(trees._joined(iter([]), 100)) == []
