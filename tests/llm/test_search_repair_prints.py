@@ -11,6 +11,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tripweave.llm import fingerprints, ranking, repair
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -324,6 +325,15 @@ def test_tables_find_all_pairs_within_the_radius(spark):
         fingerprints.near_pairs(prints, fingerprints.RADIUS + 1)
 
 
+def test_the_tables_of_prints_are_not_broadcast(spark):
+    # Few prints in bytes, 28 times as many rows once exploded: the driver held them all.
+    prints = spark.range(1000).select(F.xxhash64("id").alias("high"), F.xxhash64(F.lit(1), "id").alias("low"))
+    pairs = fingerprints.near_pairs(prints)
+    pairs.collect()
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_prints_number_their_near_ones(spark):
     words = [f"word{i:03d}" for i in range(200)]
     docs = [(1, " ".join(words)), (2, " ".join(words)), (3, " ".join(words[:199] + ["other"])), (4, "far away")]

@@ -285,8 +285,10 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
             same &= block(ends[0], ends[1], i) == block(ends[2], ends[3], i)
         mine = F.when(same, k).otherwise(mine)
     apart = distance(*ends)
+    # Never broadcast: an explode is planned as if it made one row of each, so the tables are
+    # taken to be 28 times smaller than they are, and the driver would build them whole.
     return (
-        left.join(right, "key")
+        left.join(right.hint("merge"), "key")
         .filter(ordered & (apart <= radius) & (F.shiftrightunsigned("key", 16 * kept) == mine))
         .select(*ends, apart.alias("distance"))
     )
