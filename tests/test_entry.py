@@ -56,5 +56,30 @@ def test_a_reloaded_model_predicts_every_split(spark):
     assert queries["model_reloaded"](spark, SF).count() == queries["samples"](spark, SF).count() > 0
 
 
+def test_metrics_of_the_test_split_score_no_other(spark, monkeypatch):
+    from workload import model_queries as M
+    from workload.queries import run, stand_in_scores
+    from tripweave.operators.ranking import prediction_rows
+
+    scored = []
+
+    class StandIn:
+        def predict(self, samples, top_k):
+            scored.append({r["split"] for r in samples.select("split").distinct().collect()})
+            return prediction_rows(stand_in_scores(samples), top_k, M.SAMPLES.grid_cell_degrees)
+
+    monkeypatch.setattr(M, "model", lambda spark, sf: StandIn())
+    M._predictions.cache_clear()
+    try:
+        metrics = E.queries()["model_metrics"](spark, SF).first().asDict()
+        assert scored == [{"test"}]
+        everything = M.predictions(spark, SF)
+        assert scored[0].isdisjoint(scored[1]) and len(scored) == 2
+        assert everything.count() == run(spark, SF).samples.count()
+        assert M.evaluate.evaluate_split(everything, "test", M.CFG.evaluation).first().asDict() == metrics
+    finally:
+        M._predictions.cache_clear()
+
+
 def test_flagship(spark):
     assert E.entry(spark).count() > 0
